@@ -90,6 +90,20 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+def parities(unit: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For each document a bitmap of the parity of elements by hash bin: 256, 512 or 1024 bits for under 128, 300 and more elements.
+
+    Two bitmaps of a size differ in at most as many bits as the sets differ in elements.
+    """
+    count = np.diff(offsets)
+    size = np.where(count < 128, 256, np.where(count < 300, 512, 1024))
+    begin = np.cumsum(size) - size
+    doc = np.repeat(np.arange(len(count)), count)
+    bits = np.bincount(begin[doc] + (mix(unit + U(3)) % size[doc].astype(U)).astype(np.int64), minlength=int(size.sum())) & 1
+    longs = np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size // 64)]).astype(np.int32), pa.array(longs))
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in text_parts(batch.column(1)):
@@ -101,7 +115,8 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, shingle: in
                 sums.append(pa.array((p[offsets[1:]] - p[offsets[:-1]]).view(np.int64)))
             keys = band_keys(signatures(unit, offsets, size), rows)
             bands = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), *sums, bands], names=["id", "n", "k1", "k2", "bands"])
+            columns = [ids, pa.array(np.diff(offsets).astype(np.int64)), *sums, bands, parities(unit, offsets)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "k1", "k2", "bands", "odd"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -112,6 +127,13 @@ def _listed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "units"])
 
 
+def _may_be_similar(similar: float) -> F.Column:
+    """False only for pairs (n, odd) and (n0, odd0) that can't reach the similarity: by their sizes, or by the bits in which the bitmaps differ."""
+    differ = F.aggregate(F.zip_with("odd", "odd0", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = differ * (1 + similar) <= (1 - similar) * (F.col("n") + F.col("n0")) + 1e-6
+    return (F.least("n", "n0") >= similar * F.greatest("n", "n0") - 1e-6) & ((F.size("odd") != F.size("odd0")) | near)
+
+
 def _verified(pairs: DataFrame, units: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) whose exact weighted Jaccard similarity is `similar` or more."""
     a = units.select(F.col("id").alias("a"), F.col("units").alias("ua"))
@@ -128,18 +150,20 @@ def near_duplicates(
     Equal documents fold into one first. Within a bucket, members are held against one centre a
     round, so that links grow with the bucket, not with its square. Buckets whose members aren't
     all in one class after the rounds have the members outside their largest class held against
-    every member of another class, so no link between classes is missed.
+    every member of another class, so no link between classes is missed. Pairs that sizes or parity
+    bitmaps prove to be below the similarity never leave the join; the others are compared exactly.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = ws.keep(
-        one.mapInArrow(lambda it: _signed(it, size, rows, shingle), "id long, n long, k1 long, k2 long, bands array<long>"), "signed"
+        one.mapInArrow(lambda it: _signed(it, size, rows, shingle), "id long, n long, k1 long, k2 long, bands array<long>, odd array<long>"), "signed"
     )
-    firsts = ws.keep(signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "firsts")
+    firsts = ws.keep(signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "firsts")
     bands = firsts.select(F.col("first").alias("id"), F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = ws.keep(bands.join(shared, "bucket"), "members")
+    members = bands.join(shared, "bucket").join(firsts.select(F.col("first").alias("id"), "n", "odd"), "id")
+    members = ws.keep(members.select("bucket", "id", "n", "odd"), "members")
     wanted = members.select("id").distinct()
     units = ws.keep(one.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: _listed(it, shingle), "id long, units array<long>"), "units")
     links = _linked(ws, members, units, similar)
@@ -158,17 +182,17 @@ def _linked(ws: Workspace, members: DataFrame, units: DataFrame, similar: float,
     links = None
     placed = members.withColumn("c", F.col("id"))
     for k in range(rounds):
-        order = F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(centres)), F.lit(k)).alias("o"), "id", "c")
-        centre = placed.groupBy("bucket").agg(F.min(order).alias("m")).select("bucket", F.col("m.id").alias("b0"), F.col("m.c").alias("bc"))
-        pairs = placed.join(centre, "bucket").where("c <> bc").select(F.least("id", "b0").alias("a"), F.greatest("id", "b0").alias("b")).distinct()
+        order = F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(centres)), F.lit(k)).alias("o"), "id", "c", "n", "odd")
+        centre = placed.groupBy("bucket").agg(F.min(order).alias("m")).select("bucket", F.col("m.id").alias("b0"), F.col("m.c").alias("bc"), F.col("m.n").alias("n0"), F.col("m.odd").alias("odd0"))
+        pairs = placed.join(centre, (placed["bucket"] == centre["bucket"]) & (F.col("c") != F.col("bc")) & _may_be_similar(similar)).select(F.least("id", "b0").alias("a"), F.greatest("id", "b0").alias("b")).distinct()
         new = ws.keep(_verified(pairs, units, similar), "links")
         links = new if links is None else links.unionByName(new)
         placed = _placed(ws, members, links)
     sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.col("m.c").alias("most"))
     mixed = ws.keep(placed.join(largest, "bucket"), "mixed")
-    rest = mixed.where("c <> most").select("bucket", F.col("id").alias("x"), F.col("c").alias("xc"))
-    pairs = mixed.join(rest, "bucket").where("c <> xc").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    rest = mixed.where("c <> most").select(F.col("bucket").alias("b"), F.col("id").alias("x"), F.col("c").alias("xc"), F.col("n").alias("n0"), F.col("odd").alias("odd0"))
+    pairs = mixed.join(rest, (F.col("bucket") == F.col("b")) & (F.col("c") != F.col("xc")) & _may_be_similar(similar)).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
     return links.unionByName(ws.keep(_verified(pairs, units, similar), "links"))
 
 
