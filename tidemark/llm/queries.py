@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_string_tiling
+from .language import op4_language
 from .minhash import op6_dartminhash
+from .mixing import OP3_SQL, op3_mixing
+from .sstable import op9_sstable
+from .substrings import op8_longest_factors
+from .vectors import op7_pstable
 
-QUERIES = {"op6_dartminhash": op6_dartminhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
+    "op5_string_tiling": op5_string_tiling,
+    "op6_dartminhash": op6_dartminhash,
+    "op7_pstable": op7_pstable,
+    "op8_longest_factors": op8_longest_factors,
+    "op9_sstable": op9_sstable,
+}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
