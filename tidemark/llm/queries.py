@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from .decontaminate import op5_string_tiling
 from .language import op4_language
+from .lines import OP10_SQL, op10_line_chunks
 from .minhash import op6_dartminhash
 from .mixing import OP3_SQL, op3_mixing
+from .quality import op1_cotraining
 from .sstable import op9_sstable
 from .substrings import op8_longest_factors
 from .vectors import op7_pstable
+from .warc import OP2_SQL, op2_merkle_fixity
 
 QUERIES = {
+    "op1_cotraining": op1_cotraining,
+    "op2_merkle_fixity": op2_merkle_fixity,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
     "op5_string_tiling": op5_string_tiling,
@@ -18,5 +23,6 @@ QUERIES = {
     "op7_pstable": op7_pstable,
     "op8_longest_factors": op8_longest_factors,
     "op9_sstable": op9_sstable,
+    "op10_line_chunks": op10_line_chunks,
 }
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_merkle_fixity": OP2_SQL, "op3_mixing": OP3_SQL, "op10_line_chunks": OP10_SQL}
