@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import catalog_queries, policy_queries, profile_queries, search_queries, sql_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_PARTS = (profile_queries, catalog_queries, search_queries, policy_queries, sql_queries)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
