@@ -59,36 +59,41 @@ def join_theta(spark, sf):
 
 
 _O = "o_custkey, o_orderkey"
-_W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _w():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
 _WSQL = "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 
 
 @B.add(f"SELECT {_O}, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER v AS INT) AS rk, CAST(dense_rank() OVER v AS INT) AS dr FROM orders WINDOW w AS {_WSQL}, v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
 def win_rank(spark, sf):
     v = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(_W).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"))
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(_w()).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"))
 
 
 @B.add(f"SELECT {_O}, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running FROM orders")
 def win_running(spark, sf):
-    s = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(_W.rowsBetween(Window.unboundedPreceding, 0))
+    s = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(_w().rowsBetween(Window.unboundedPreceding, 0))
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", s.cast("double").alias("running"))
 
 
 @B.add(f"SELECT {_O}, coalesce(lag(o_orderkey) OVER w, -1) AS before, coalesce(lead(o_orderkey) OVER w, -1) AS after FROM orders WINDOW w AS {_WSQL}")
 def win_lag_lead(spark, sf):
-    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.coalesce(F.lag("o_orderkey").over(_W), F.lit(-1)).alias("before"), F.coalesce(F.lead("o_orderkey").over(_W), F.lit(-1)).alias("after"))
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.coalesce(F.lag("o_orderkey").over(_w()), F.lit(-1)).alias("before"), F.coalesce(F.lead("o_orderkey").over(_w()), F.lit(-1)).alias("after"))
 
 
 @B.add(f"SELECT {_O}, CAST(ntile(3) OVER w AS INT) AS third, floor(percent_rank() OVER w * 10000 + 0.5) / 10000.0 AS pr, floor(cume_dist() OVER w * 10000 + 0.5) / 10000.0 AS cd FROM orders WINDOW w AS {_WSQL}")
 def win_ntile(spark, sf):
     four = lambda c: F.floor(c * 10_000 + F.lit(0.5)) / F.lit(10_000.0)
-    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.ntile(3).over(_W).alias("third"), four(F.percent_rank().over(_W)).alias("pr"), four(F.cume_dist().over(_W)).alias("cd"))
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.ntile(3).over(_w()).alias("third"), four(F.percent_rank().over(_w())).alias("pr"), four(F.cume_dist().over(_w())).alias("cd"))
 
 
 @B.add(f"SELECT {_O}, first_value(o_orderkey) OVER w AS first_key, last_value(o_orderkey) OVER w AS last_key, coalesce(nth_value(o_orderkey, 2) OVER w, -1) AS second_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def win_first_last(spark, sf):
-    w = _W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = _w().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.first("o_orderkey").over(w).alias("first_key"), F.last("o_orderkey").over(w).alias("last_key"), F.coalesce(F.nth_value("o_orderkey", 2).over(w), F.lit(-1)).alias("second_key"))
 
 
