@@ -5,8 +5,8 @@ equal windows, wherever they are, meet in one bucket. Only texts' stretches whos
 stretch (or holds its 32-byte string twice) are looked at further; equal stretches fold into one.
 A task sorts its buckets' suffixes by their first `length` bytes with tripled ranks; previous and next
 smaller positions in suffix order then give each window's longest earlier factor, cut off at `length`,
-and previous and next greater ones the later factor. Buckets of more than HOT different stretches
-aren't held by a task: their windows are dealt out by 128-bit hashes and counted.
+and previous and next greater ones the later factor. Buckets whose different stretches have more than
+BUCKET_BYTES aren't held by a task: their windows are dealt out by 128-bit hashes and counted.
 
 Defined results: documents are rows; a null text is empty; a text shorter than `length` stays whole; rows that repeat
 a document count as copies of it; an empty table gives no row.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .store import Workspace
 from .words import U, mix, prefix, raw, span_hash, text_parts
 
-LENGTH, GRAM, HOT, BATCH = 400, 32, 128, 1 << 20
+LENGTH, GRAM, BUCKET_BYTES, BATCH = 400, 32, 7 << 18, 1 << 18
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -173,7 +173,7 @@ def _ranges(flag: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def _ordered(batches: Iterator[pa.RecordBatch], length: int, first_stays: bool) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by key, first document and place, of at most HOT a key, to the runs of their repeated starts."""
+    """Stretches sorted by key, first document and place, of at most BUCKET_BYTES a key, to the runs of their repeated starts."""
     held: list[tuple] = []
     size = 0
 
@@ -195,8 +195,6 @@ def _ordered(batches: Iterator[pa.RecordBatch], length: int, first_stays: bool)
             if size > BATCH and row[0] != held[-1][0]:
                 yield work()
                 size = 0
-            elif held and size + len(row[4]) >= (1 << 21) - 1:
-                raise ValueError("a bucket of HOT stretches at most is over 2 MB")
             held.append(row)
             size += len(row[4])
     if held:
@@ -252,8 +250,8 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, text: str, length: int, firs
     parts = ws.keep(texts.mapInArrow(lambda it: _cut(it, length), "t1 long, t2 long, first long, key long, lo int, h binary, part binary"), "parts")
     one = parts.groupBy("key", "h").agg(F.count("*").alias("many"), F.min(F.struct("first", "lo")).alias("place"), F.first("part").alias("part"))
     one = one.select("key", "h", "place.first", "place.lo", "many", "part")
-    kinds = parts.groupBy("key", "h").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("kinds"), F.sum("m").alias("all"))
-    hot = ws.keep(kinds.where(F.col("kinds") > HOT).select("key"), "hot")
+    kinds = parts.groupBy("key", "h").agg(F.max(F.octet_length("part")).alias("size")).groupBy("key").agg(F.sum("size").alias("size"))
+    hot = ws.keep(kinds.where(F.col("size") > BUCKET_BYTES).select("key"), "hot")
     few = one.join(hot, "key", "left_anti").select("key", "h", "first", "many", "part", "lo").repartition("key").sortWithinPartitions("key", "first", "lo")
     small = few.mapInArrow(lambda it: _ordered(it, length, first_stays), "key long, h binary, ranges array<int>")
     windows = one.join(hot, "key").mapInArrow(lambda it: _windows(it, length), "h1 long, h2 long, key long, h binary, first long, lo long, at long, many long")
