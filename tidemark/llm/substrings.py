@@ -261,7 +261,15 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, text: str, length: int, firs
     large = hits.groupBy("key", "h").agg(F.flatten(F.collect_list(F.array(F.col("at").cast("int"), (F.col("at") + 1).cast("int")))).alias("ranges"))
     flagged = ws.keep(small.unionByName(large).where("size(ranges) > 0"), "flagged")
     pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("ranges"), 1) - 1), lambda k: F.array(F.col("lo") + F.get("ranges", 2 * k), F.col("lo") + F.get("ranges", 2 * k + 1)))
-    back = parts.select("t1", "t2", "first", "key", "h", "lo").join(flagged, ["key", "h"]).select("t1", "t2", pairs.alias("r"))
+    where = parts.select("t1", "t2", "first", "key", "h", "lo", (F.octet_length("part") - length + 1).alias("n"))
+    later = None
+    if first_stays:  # of equal stretches the first is judged by its windows, the others go whole
+        where = where.join(one.select("key", "h", F.col("first").alias("_pf"), F.col("lo").alias("_pl")), ["key", "h"])
+        leads = F.col("first").eqNullSafe(F.col("_pf")) & (F.col("lo") == F.col("_pl"))
+        later = where.where(~leads).select("t1", "t2", F.array(F.array("lo", F.col("lo") + F.col("n"))).alias("r"))
+        where = where.where(leads)
+    back = where.join(flagged, ["key", "h"]).select("t1", "t2", pairs.alias("r"))
+    back = back if later is None else back.unionByName(later)
     ranges = ws.keep(back.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("ranges")), "ranges")
     ws.drop(found, wanted, parts, windows, flagged)
     return copies, ranges
