@@ -188,7 +188,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     of = of.select("label", "f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "first").alias("component"))
     named = hashed.select("id", "label", "f1", "f2").join(of, ["label", "f1", "f2"]).select("id", "n", "component")
     out = rows.select("id").join(named, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = ws.keep(out.withColumn("kept", F.col(id_col) == F.col("component_id")), "out")
+    out = ws.keep(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))), "out")
     ws.drop(hashed, firsts, links)
     return out
 

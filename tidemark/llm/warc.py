@@ -135,7 +135,7 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     leaves, first = replica(ws, records)
     second = damaged(records).select(F.col("page_id").alias("_p"), F.sha2("record", 256).alias("found"))
-    held = leaves.join(second, F.col("page_id") == F.col("_p")).select("shard", "at", F.col("found").alias("digest"))
+    held = leaves.join(second, F.col("page_id").eqNullSafe(F.col("_p"))).select("shard", "at", F.col("found").alias("digest"))
     found, _ = audit(ws, first, tree(ws, ws.keep(held, "held"), first))
     found = found.select(F.col("shard").alias("_s"), F.col("at").alias("_a"), "status")
     out = leaves.join(found, (F.col("shard") == F.col("_s")) & (F.col("at") == F.col("_a")), "left")
