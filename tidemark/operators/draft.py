@@ -21,7 +21,9 @@ QUESTION_DATES = ("date", "dt", "day", "time", "created", "updated", "paid", "si
 QUESTION_METRICS = ("amount", "revenue", "sales", "price", "cost", "profit", "margin", "quantity", "qty", "count", "total", "fee")
 GENERIC_NAMES = ("status", "type", "category", "code", "name", "description", "value")
 VAGUE_COMMENTS = ("status", "type", "code", "value", "data")
-SYNTHETIC = "[test-only synthetic metadata]"
+SYNTHETIC = "TEST_ONLY_SYNTHETIC_METADATA"
+ABSTRACT_NAMES = ("status", "state", "type", "code", "category", "segment", "channel")
+GAP_METRICS = ("amount", "revenue", "sales", "profit", "cost", "price", "total", "qty", "quantity", "count")
 
 
 def hinted(name: Column, hints: tuple[str, ...]) -> Column:
@@ -88,7 +90,7 @@ def column_gaps(comment: Column, name: Column, is_pii: Column, join_key: Column)
     """Reasons why a column's metadata needs a person."""
     none, n = classify_comment(comment) == "no_comment", F.lower(name)
     return F.array_compact(F.array(
-        F.when(none, "missing_column_comment"), F.when(none & n.isin(*GENERIC_NAMES), "abstract_column_without_comment"),
+        F.when(none, "missing_column_comment"), F.when(none & n.isin(*ABSTRACT_NAMES), "abstract_column_without_comment"),
         F.when(is_pii, "pii_policy_needs_confirmation"), F.when(join_key | (n == "id") | n.endswith("_id"), "join_key_ambiguity"),
     ))
 
@@ -97,7 +99,7 @@ def table_gaps(profiles: DataFrame) -> DataFrame:
     """(table, gaps): several date columns or several measures need a decision."""
     n = safe_token(F.col("column"))
     dates = F.count_if((F.col("type_guess") == "date") | hinted(n, QUESTION_DATES))
-    measures = F.count_if((F.col("type_guess") == "number") & hinted(n, QUESTION_METRICS))
+    measures = F.count_if((F.col("type_guess") == "number") & hinted(n, GAP_METRICS))
     g = profiles.groupBy("table").agg(dates.alias("d"), measures.alias("m"))
     return g.select("table", F.array_compact(F.array(F.when(F.col("d") >= 2, "multiple_candidate_date_columns"), F.when(F.col("m") >= 2, "multiple_metric_like_numeric_columns"))).alias("gaps"))
 

@@ -15,7 +15,8 @@ from ..functions.text import norm, words
 
 # Broad business words (Korean) that make no match on their own.
 GENERIC = ("고객", "매출", "금액", "날짜", "지역", "상품", "건수", "수량")
-SALT, DIMENSIONS = "semantic-registry-deterministic-v1", 32
+#: Any text does; an index and its queries must share it.
+SALT, DIMENSIONS = "tidemark-v1", 32
 # Priority of a card by how the question matched it.
 PRIORITY = {"verified_query": 1100, "direct": 1000, "alias": 950, "related": 850, "ambiguity": 650, "reverse_question": 625}
 

@@ -149,9 +149,9 @@ def corpus_reconcile(spark, sf):
     return both.select(F.col("t").alias("table_name"), F.coalesce("planned", F.lit(-1)).cast("long").alias("planned"), F.coalesce("loaded", F.lit(-1)).alias("loaded"), F.col("planned").eqNullSafe(F.col("loaded")).alias("equal"))
 
 
-_COMMENTS = [("orders", "status", "Order state as shown to the buyer", "string"), ("orders", "amount", "", "number"), ("orders", "note", None, "string"), ("customers", "code", "code", "string"), ("customers", "price", "name of the tariff", "number"), ("customers", "since", "date of entry", "number"), ("customers", "x", "made up [test-only synthetic metadata]", "string")]
+_COMMENTS = [("orders", "status", "Order state as shown to the buyer", "string"), ("orders", "amount", "", "number"), ("orders", "note", None, "string"), ("customers", "code", "code", "string"), ("customers", "price", "name of the tariff", "number"), ("customers", "since", "date of entry", "number"), ("customers", "x", "made up TEST_ONLY_SYNTHETIC_METADATA", "string")]
 _CV = values_sql("tab, col, comment, guess", _COMMENTS)
-_KIND = "CASE WHEN trim(coalesce(comment, '')) = '' THEN 'no_comment' WHEN contains(comment, '[test-only synthetic metadata]') THEN 'test_only_synthetic_comment' ELSE 'real_db_comment' END"
+_KIND = "CASE WHEN trim(coalesce(comment, '')) = '' THEN 'no_comment' WHEN contains(comment, 'TEST_ONLY_SYNTHETIC_METADATA') THEN 'test_only_synthetic_comment' ELSE 'real_db_comment' END"
 
 
 def _commented(spark):
