@@ -177,7 +177,7 @@ def near_duplicates(
     return out
 
 
-def _linked(ws: Workspace, members: DataFrame, units: DataFrame, similar: float, rounds: int = 1, centres: int = 3) -> DataFrame:
+def _linked(ws: Workspace, members: DataFrame, units: DataFrame, similar: float, rounds: int = 3, centres: int = 3) -> DataFrame:
     """Links that connect all that verified pairs of a common bucket connect."""
     links = None
     placed = members.withColumn("c", F.col("id"))
