@@ -172,7 +172,7 @@ def near_duplicates(
     out = signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left").groupBy("id").agg(
         F.min(F.coalesce("first", "id")).alias("copy_of"), F.min(F.coalesce("class_id", "id")).alias("class_id")
     )
-    out = ws.keep(out.select(F.col("id").alias(id_col), "class_id", "copy_of", (F.col("id") == F.col("class_id")).alias("kept")), "out")
+    out = ws.keep(out.select(F.col("id").alias(id_col), "class_id", "copy_of", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")), "out")
     ws.drop(signed, firsts, members, units, named)
     return out
 
