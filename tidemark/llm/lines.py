@@ -54,11 +54,12 @@ def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     keyed = each.select("_id", "_th", "pos", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     place = F.struct("_id", "_th", "pos")
     repeated = keyed.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h1", "h2", F.col("a").alias("first"))
-    occurring = ws.keep(keyed.join(repeated, ["h1", "h2"]), "occurring")
+    # sort-merge joins at every size: small inputs would broadcast these sides, large ones not
+    occurring = ws.keep(keyed.join(repeated.hint("merge"), ["h1", "h2"]), "occurring")
     first = occurring.where(place.eqNullSafe(F.col("first"))).groupBy("h1", "h2").agg(F.min("text").alias("first_text"))
     gone = occurring.where(~place.eqNullSafe(F.col("first"))).join(first, ["h1", "h2"]).where("text = first_text")
     gone = ws.keep(gone.groupBy("_id", "_th").agg(F.collect_set("pos").alias("gone")), "gone").withColumnsRenamed({"_id": "_gi", "_th": "_gt"})
-    joined = whole.join(gone, F.col("_id").eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left")
+    joined = whole.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left")
     stays = F.filter("chunks", lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c["pos"]))
     kept = joined.select("_id", F.size("chunks").alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).alias("n"), F.array_join(F.transform(stays, lambda c: c["text"]), "\n").alias("kept_text"))
     out = kept.select(
