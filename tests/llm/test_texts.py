@@ -243,6 +243,28 @@ def test_fixity_audit_descends_to_damage_only(spark):
     assert warc.audit(ws, e, warc.tree(ws, empty, e))[0].count() == 0
 
 
+def test_fixity_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "b" * i) for i in range(40)] + [(None, "n", f"null {i % 1500}") for i in range(3000)]
+    rows += [(9, "u", f"html {i}") for i in range(5)] + [(9, "u", "html 0")] + [(5, "v", f"html {i}") for i in range(3)] + [(7, "w", "html")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op2_merkle_fixity"](spark, str(tmp_path)).collect()
+    want = pages.select("page_id", F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")), 256)).collect()
+    assert sorted((str(r.page_id), r.sha256) for r in got) == sorted((str(i), d) for i, d in want)
+    assert len({(r.shard, r.record_offset) for r in got}) == len(rows)
+    assert all(r.status == {5: "corrupt", 7: "missing"}.get(r.page_id, "ok") for r in got)
+
+
+def test_one_of_two_records_of_an_id_is_damaged(spark):
+    records = spark.createDataFrame([(1, "aa"), (1, "bb"), (None, "cc"), (None, "cc"), (None, "dd")], "page_id long, record string")
+    ws = Workspace(spark, "t")
+    leaves, first = warc.replica(ws, records)
+    second = spark.createDataFrame([(1, "bb"), (1, "ab"), (None, "cc"), (None, "dd")], "page_id long, record string")
+    bad, _ = warc.audit(ws, first, warc.tree(ws, ws.keep(warc.placed(leaves, second), "held"), first))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert {(r.digest, r.status) for r in bad.join(leaves, ["shard", "at"]).collect()} == {(digest("aa"), "corrupt"), (digest("cc"), "missing")} and bad.count() == 2
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<p>é\r\n\r\nx</p>"), (2, None, None), (3, "http://b", "WARC/1.0\r\n")], "page_id long, url string, html string")
     records = pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))

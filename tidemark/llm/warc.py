@@ -104,6 +104,25 @@ def replica(ws: Workspace, pages: DataFrame, id_col: str = "page_id") -> tuple[D
     return leaves, tree(ws, leaves)
 
 
+def placed(leaves: DataFrame, second: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Records (id, record) of a second replica at the places that the first's leaves give them: shard, at, digest.
+
+    Of the records of one id, those with a leaf's digest take that leaf, one each; the others take the leaves
+    that are left, both in the order of their digests. So any number of records may share an id, or have none.
+    """
+    a = leaves.select(F.col(id_col).alias("_a"), "shard", "at", "digest")
+    b = second.select(F.col(id_col).alias("_b"), F.sha2("record", 256).alias("found"))
+    a = a.withColumn("k", F.row_number().over(Window.partitionBy("_a", "digest").orderBy("at")))
+    b = b.withColumn("j", F.row_number().over(Window.partitionBy("_b", "found").orderBy(F.lit(1))))
+    both = a.join(b, F.col("_a").eqNullSafe(F.col("_b")) & (F.col("digest") == F.col("found")) & (F.col("k") == F.col("j")), "full")
+    ws = Workspace(leaves.sparkSession, "placed")
+    both = ws.keep(both, "both")
+    a = both.where("found is null").select("_a", "shard", "at", F.row_number().over(Window.partitionBy("_a").orderBy("digest", "at")).alias("k"))
+    b = both.where("digest is null").select("_b", "found", F.row_number().over(Window.partitionBy("_b").orderBy("found")).alias("j"))
+    rest = a.join(b, F.col("_a").eqNullSafe(F.col("_b")) & (F.col("k") == F.col("j")))
+    return both.where("digest = found").unionByName(rest, allowMissingColumns=True).select("shard", "at", F.col("found").alias("digest"))
+
+
 def write_warc(pages: DataFrame, path: str) -> None:
     """Records as WARC files, one for each partition: Spark's text writer with the records' closing lines as separator."""
     pages.select(F.regexp_replace("record", "\r\n\r\n$", "").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
@@ -134,9 +153,8 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     leaves, first = replica(ws, records)
-    second = damaged(records).select(F.col("page_id").alias("_p"), F.sha2("record", 256).alias("found"))
-    held = leaves.join(second, F.col("page_id").eqNullSafe(F.col("_p"))).select("shard", "at", F.col("found").alias("digest"))
-    found, _ = audit(ws, first, tree(ws, ws.keep(held, "held"), first))
+    held = ws.keep(placed(leaves, damaged(records)), "held")
+    found, _ = audit(ws, first, tree(ws, held, first))
     found = found.select(F.col("shard").alias("_s"), F.col("at").alias("_a"), "status")
     out = leaves.join(found, (F.col("shard") == F.col("_s")) & (F.col("at") == F.col("_a")), "left")
     return out.select("page_id", "shard", F.col("at").alias("record_offset"), "n_bytes", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
