@@ -12,27 +12,26 @@ from tidemark.llm.language import fit, label_languages
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.sstable import token_shards
-from tidemark.llm.store import Workspace
+from tidemark.llm.store import Workspace, row_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any language - null texts and such without letters - go."""
-    found = label_languages(docs, fit(docs), spans=False).where("lang_pred = 'und'").select("_id").distinct()
-    return _without(docs, found)
+    found = label_languages(_keyed(docs), fit(docs), id_col="_key", spans=False).where("lang_pred = 'und'")
+    return _without(docs, found.select("_id.*"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"))
-    return _without(docs, gone)
+    """One document of each group stays, that of the smallest doc_id; rows of equal doc_id and text are one document."""
+    return _without(docs, near_duplicates(docs, keyed=True).where("not kept").select("r1", "r2"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select(F.col("doc_id").alias("_id")).distinct())
+    found = contaminated(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
+    return _without(docs, found.select("_key.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +44,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_shards(docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    return docs.select(F.struct(r1.alias("r1"), r2.alias("r2")).alias("_key"), "text")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    """docs but for the rows (r1, r2) of gone, by id and text: ids may be repeated or null."""
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumns({"_r1": r1, "_r2": r2})
+    gone = gone.distinct()
+    return rows.join(gone, (rows["_r1"] == gone["r1"]) & (rows["_r2"] == gone["r2"]), "left_anti").drop("_r1", "_r2")
 
 
 STAGES: list[tuple[str, Stage]] = [

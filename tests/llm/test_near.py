@@ -74,6 +74,32 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (i == r.class_id) for i, r in got.items())
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(2)), (None, text(1)), (None, text(3)), (None, text(4)), (None, None), (5, text(2)), (5, text(5)), (5, text(5) + " end"), (6, text(6)), (6, text(6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.copy_of, r.kept) for r in M.near_duplicates(df).collect()}
+    assert {(1, 1, 1, True), (None, 1, 1, False), (None, None, None, True), (5, 2, 2, False), (5, 5, 5, True), (5, 5, 5, False), (6, 6, 6, True)} <= got
+    stays = [tuple(r) for r in dict(P.STAGES)["minhash_near_dedup"](spark, df, "").collect()]
+    assert all(stays.count(r) == rows.count(r) for r in rows if r[1] not in (text(1), text(2), text(5), text(5) + " end"))
+    assert sorted(str(i) for i, t in stays if t in (text(1), text(2))) == ["1", "2"] and sum(i == 5 for i, _ in stays) == 1
+
+
+def test_stages_reject_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    good = [f"the quick brown fox number {w} jumps over lazy dogs" for w in ("one", "two", "three", "four", "five", "six")]
+    item = "a secret benchmark question about seven green bottles on the wall"
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(None, good[0], "en"), (None, "12 34", "en"), (3, "!!!", "en"), (None, item, "en"), (4, item, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.createDataFrame([("a", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage, left = dict(P.STAGES), lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
+    assert left(stage["language_id"](spark, df, "")) == sorted(str(r) for r in rows if r[1] not in ("12 34", "!!!"))
+    assert left(stage["benchmark_decontamination"](spark, df, str(tmp_path))) == sorted(str(r) for r in rows if r[1] != item)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -7,7 +7,8 @@ dart falls on one of `size` coordinates, and a coordinate keeps its earliest dar
 documents agree on a coordinate with the probability of their weighted Jaccard similarity.
 
 Defined results: a null or wordless text links with nothing and stays; documents of equal runs
-are one class; repeated rows of one doc_id fold into one; extra columns are ignored.
+are one class; rows of equal doc_id (null or not) and equal text fold into one, rows of one doc_id and
+different texts are judged each; null ids come after all others; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import Workspace
+from .store import Workspace, row_key
 from .words import U, mix, shingles, text_parts, words
 
 #: 20 bands of 5 coordinates miss a pair of similarity 0.8 once in 2,800, one of 0.9 never in practice.
@@ -106,17 +107,17 @@ def parities(unit: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in text_parts(batch.column(1)):
-            ids, text = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+        for a, b in text_parts(batch.column(3)):
+            *keys, text = (c.slice(a, b - a) for c in batch.columns)
             unit, offsets = elements(text, shingle)
             sums = []
             for salt in (1, 2):
                 p = np.concatenate([[U(0)], np.cumsum(mix(unit + U(salt)), dtype=U)])
                 sums.append(pa.array((p[offsets[1:]] - p[offsets[:-1]]).view(np.int64)))
-            keys = band_keys(signatures(unit, offsets, size), rows)
-            bands = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.ravel().view(np.int64)))
-            columns = [ids, pa.array(np.diff(offsets).astype(np.int64)), *sums, bands, parities(unit, offsets)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "k1", "k2", "bands", "odd"])
+            hashes = band_keys(signatures(unit, offsets, size), rows)
+            bands = pa.ListArray.from_arrays(np.arange(len(hashes) + 1, dtype=np.int32) * hashes.shape[1], pa.array(hashes.ravel().view(np.int64)))
+            columns = [*keys, pa.array(np.diff(offsets).astype(np.int64)), *sums, bands, parities(unit, offsets)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "r1", "r2", "n", "k1", "k2", "bands", "odd"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -143,9 +144,12 @@ def _verified(pairs: DataFrame, units: DataFrame, similar: float) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, rows: int = ROWS, shingle: int = SHINGLE, similar: float = SIMILAR
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, rows: int = ROWS, shingle: int = SHINGLE, similar: float = SIMILAR, keyed: bool = False
 ) -> DataFrame:
-    """One row per document: id, class_id (smallest id that links lead to), copy_of (smallest id of equal runs), kept.
+    """One row per document, by id and text: id, class_id (smallest id that links lead to), copy_of (smallest id of equal runs), kept.
+
+    One document of each class is kept, that of the smallest id, and of texts of that id the one of the
+    smallest row_key(). With keyed, the columns r1 and r2 of row_key() are returned too.
 
     Equal documents fold into one first. Within a bucket, members are held against one centre a
     round, so that links grow with the bucket, not with its square. Buckets whose members aren't
@@ -155,25 +159,34 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
-    one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    r1, r2 = row_key(F.col(id_col), F.col(text_col))
+    one = docs.select(F.col(id_col).cast("long").alias("id"), r1.alias("r1"), r2.alias("r2"), F.col(text_col).cast("string").alias("text"))
     signed = ws.keep(
-        one.mapInArrow(lambda it: _signed(it, size, rows, shingle), "id long, n long, k1 long, k2 long, bands array<long>, odd array<long>"), "signed"
+        one.mapInArrow(lambda it: _signed(it, size, rows, shingle), "id long, r1 long, r2 long, n long, k1 long, k2 long, bands array<long>, odd array<long>"), "signed"
     )
-    firsts = ws.keep(signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "firsts")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")
+    firsts = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(place).alias("m"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    firsts = ws.keep(firsts.withColumn("first", F.monotonically_increasing_id()), "firsts")  # numbers are those of the files from here on
     bands = firsts.select(F.col("first").alias("id"), F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = bands.join(shared, "bucket").join(firsts.select(F.col("first").alias("id"), "n", "odd"), "id")
-    members = ws.keep(members.select("bucket", "id", "n", "odd"), "members")
-    wanted = members.select("id").distinct()
-    units = ws.keep(one.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: _listed(it, shingle), "id long, units array<long>"), "units")
+    members = bands.join(shared, "bucket").join(firsts.select(F.col("first").alias("id"), F.coalesce("m.id", "first").alias("seed"), "n", "odd"), "id")
+    members = ws.keep(members.select("bucket", "id", "seed", "n", "odd"), "members")
+    wanted = firsts.select(F.col("first").alias("id"), "m.r1", "m.r2").join(members.select("id").distinct(), "id", "left_semi")
+    texts = one.select("r1", "r2", "text").join(wanted, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("id", "text")
+    units = ws.keep(texts.mapInArrow(lambda it: _listed(it, shingle), "id long, units array<long>"), "units")
     links = _linked(ws, members, units, similar)
-    classes = connected_components(ws, links).select(F.col("id").alias("first"), F.col("component").alias("class_id"))
-    named = ws.keep(firsts.select("k1", "k2", "n", "first").join(classes, "first", "left").withColumn("class_id", F.coalesce("class_id", "first")), "named")
-    out = signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left").groupBy("id").agg(
-        F.min(F.coalesce("first", "id")).alias("copy_of"), F.min(F.coalesce("class_id", "id")).alias("class_id")
-    )
-    out = ws.keep(out.select(F.col("id").alias(id_col), "class_id", "copy_of", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")), "out")
-    ws.drop(signed, firsts, members, units, named)
+    classes = ws.keep(connected_components(ws, links).select(F.col("id").alias("first"), "component"), "classes")
+    kept = classes.join(firsts.select("first", "m"), "first").groupBy("component").agg(F.min("m").alias("kept"))
+    named = firsts.select("k1", "k2", "n", "first", "m").join(classes.join(kept, "component").select("first", "kept"), "first", "left")
+    named = ws.keep(named.select("k1", "k2", "n", "m", F.coalesce("kept", "m").alias("c")), "named")
+    each = signed.select("id", "r1", "r2", "n", "k1", "k2").dropDuplicates(["r1", "r2"]).join(named, ["k1", "k2", "n"], "left")
+    linked = F.col("m").isNotNull()
+    out = each.select(
+        F.col("id").alias(id_col), F.when(linked, F.col("c.id")).otherwise(F.col("id")).alias("class_id"), F.when(linked, F.col("m.id")).otherwise(F.col("id")).alias("copy_of"),
+        F.when(linked, (F.col("c.r1") == F.col("r1")) & (F.col("c.r2") == F.col("r2"))).otherwise(F.lit(True)).alias("kept"), *(["r1", "r2"] if keyed else []),
+    )
+    out = ws.keep(out, "out")
+    ws.drop(signed, firsts, members, units, classes, named)
     return out
 
 
@@ -182,7 +195,7 @@ def _linked(ws: Workspace, members: DataFrame, units: DataFrame, similar: float,
     links = None
     placed = members.withColumn("c", F.col("id"))
     for k in range(rounds):
-        order = F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(centres)), F.lit(k)).alias("o"), "id", "c", "n", "odd")
+        order = F.struct(F.xxhash64("seed", F.pmod("bucket", F.lit(centres)), F.lit(k)).alias("o"), "id", "c", "n", "odd")
         centre = placed.groupBy("bucket").agg(F.min(order).alias("m")).select("bucket", F.col("m.id").alias("b0"), F.col("m.c").alias("bc"), F.col("m.n").alias("n0"), F.col("m.odd").alias("odd0"))
         pairs = placed.join(centre, (placed["bucket"] == centre["bucket"]) & (F.col("c") != F.col("bc")) & _may_be_similar(similar)).select(F.least("id", "b0").alias("a"), F.greatest("id", "b0").alias("b")).distinct()
         new = ws.keep(_verified(pairs, units, similar), "links")

@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,6 +50,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits of hash of a row's id and text, never null: ids may be repeated or null."""
+    parts = (doc_id.isNull(), doc_id, text.isNull(), text)
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
 class Workspace:
     """Intermediate tables of one run, in a folder of their own below the shared one."""
 
