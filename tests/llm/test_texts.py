@@ -42,19 +42,55 @@ def removed_by_hand(texts, length, first_stays=False):
 
 
 @pytest.mark.parametrize("first_stays", [False, True])
-@pytest.mark.parametrize("bucket_bytes", [0, 7 << 18])
-def test_removed_strings_equal_brute_force(spark, monkeypatch, first_stays, bucket_bytes):
-    monkeypatch.setattr(substrings, "BUCKET_BYTES", bucket_bytes)
+@pytest.mark.parametrize("bucket_bytes", [0, 4000, 7 << 18])
+def test_removed_strings_equal_brute_force(spark, first_stays, bucket_bytes):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     text = lambda n: " ".join(word() for _ in range(n))
     shared = [text(60) for _ in range(3)]
-    texts = [text(20) + rng.choice(shared) + text(rng.randint(0, 40)) for _ in range(25)] + ["and " * 120, "x" * 64, "x" * 63, None, "", text(5), shared[0], shared[0]]
+    texts = [text(20) + rng.choice(shared) + text(rng.randint(0, 40)) for _ in range(25)] + ["and " * 120, "so " + "and " * 50, "x" * 64, "x" * 63, "x" * 200, None, "", text(5), shared[0], shared[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS t1", "3 AS many", "4 AS first")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, length=64, first_stays=first_stays).collect()}
+    got = {r.doc_id: digested(r) for r in substrings.remove_repeats(df, length=64, first_stays=first_stays, bucket_bytes=bucket_bytes).collect()}
     assert [got[i] for i in range(len(texts))] == removed_by_hand(texts, 64, first_stays)
 
 
+def digested(r):
+    assert all(s.start < s.stop for s in r.spans) and all(a.stop < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
+    assert r.n_bytes - len(r.kept) == sum(s.stop - s.start for s in r.spans)
+    return r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()
+
+
+def test_query_removes_passages_of_over_50_words(spark, tmp_path):
+    """The registered query and its 400 bytes, against brute force: passages shared by documents, repeated ids, nulls and copies."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("aeinorstlé") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passages = [prose(n) for n in (51, 70, 90, 160)]
+    texts = [prose(40) + " " + passages[i % 4] + " " + prose(30) for i in range(24)] + [prose(120) for _ in range(20)] + [None, "", "ab " * 300, prose(90)]
+    texts += [texts[-1], passages[3]]
+    rows = [*enumerate(texts)]
+    rows[21] = (20, rows[21][1])  # an id with two texts
+    rows[22] = (None, rows[22][1])
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS kept", "2 AS spans").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op8_longest_factors"](spark, str(tmp_path)).collect()), key=str)
+    want = removed_by_hand([t for _, t in rows], 400)
+    assert got == sorted(want, key=str)
+    caught = [w[1] > 0 for w in want[:24]]
+    assert all(c for c, (_, t) in zip(caught, rows, strict=False) if any(len(p.encode()) > 400 and p in t for p in passages)) and not any(w[1] for w in want[24:44])
+
+
+def test_stretches_of_pieces_are_those_of_the_whole_text(monkeypatch):
+    data = random.Random(13).choices(["ab ", "cde ", "f ", "ghij "], k=9000)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["".join(data)])], names=["t1", "t2", "_t"])
+
+    def starts():
+        rows = [r for b in substrings._found(iter([batch]), 400) for r in b.to_pylist()]
+        return sorted((r["lo"] + k, r["key"]) for r in rows for k in range(r["n"]))
+
+    whole = starts()
+    monkeypatch.setattr(substrings, "PIECE", 5000)
+    assert starts() == whole and len(whole) == len("".join(data)) - 399
+
+
 def test_removal_from_nothing(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -5,11 +5,17 @@ equal windows, wherever they are, meet in one bucket. Only texts' stretches whos
 stretch (or holds its 32-byte string twice) are looked at further; equal stretches fold into one.
 A task sorts its buckets' suffixes by their first `length` bytes with tripled ranks; previous and next
 smaller positions in suffix order then give each window's longest earlier factor, cut off at `length`,
-and previous and next greater ones the later factor. Buckets whose different stretches have more than
-BUCKET_BYTES aren't held by a task: their windows are dealt out by 128-bit hashes and counted.
+and previous and next greater ones the later factor.
+
+A bucket whose different stretches have more than BUCKET_BYTES is cut before it is sorted: its windows
+have the 32-byte string at one of 369 places. Those with it in the later half of these places share the
+bytes before it up to there, the others the bytes behind it; these bytes name two new kinds of buckets,
+which are cut again while they are too large. At one place the whole window is the name, so
+it ends after nine cuts. Every window, of small and of large buckets, is judged in suffix order.
 
 Defined results: documents are rows; a null text is empty; a text shorter than `length` stays whole; rows that repeat
-a document count as copies of it; an empty table gives no row.
+a document count as copies of it; where the first copy stays, null ids come first and rows of equal id and text stay alike; texts over PIECE bytes are hashed in
+overlapping pieces, so working memory is bounded by a few pieces and one text; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from .store import Workspace
 from .words import U, mix, prefix, raw, span_hash, text_parts
 
-LENGTH, GRAM, BUCKET_BYTES, BATCH = 400, 32, 7 << 18, 1 << 18
+LENGTH, GRAM, BUCKET_BYTES, BATCH, PIECE = 400, 32, 7 << 18, 1 << 18, 2 << 20
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -39,7 +45,7 @@ def window_minimum(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Runs of window starts with one smallest hash: document, hash, first start, starts, whether the document has the string twice."""
+    """Runs of window starts with one smallest hash: document, hash, first start, starts, whether the run's bytes hold the string twice."""
     if len(data) < length:
         return (np.zeros(0, np.int64), np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, bool))
     at = np.arange(len(data) - gram + 1)
@@ -57,12 +63,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     ok = doc_of[begin] >= 0
     begin, n = begin[ok], n[ok]
     doc, key = doc_of[begin], low[begin]
-    order = np.lexsort((key, doc))
-    again = np.zeros(len(key), bool)
-    same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    return doc, key, begin - offsets[:-1][doc], n, again | _twice(h, key, begin, n, length, gram)
+    return doc, key, begin - offsets[:-1][doc], n, _twice(h, key, begin, n, length, gram)
 
 
 def _twice(h: np.ndarray, key: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -79,25 +80,95 @@ def _twice(h: np.ndarray, key: np.ndarray, begin: np.ndarray, n: np.ndarray, len
 
 def _found(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in text_parts(batch.column(2), 2 << 20):
+        for a, b in text_parts(batch.column(2), PIECE):
             data, offsets = raw(batch.column(2).slice(a, b - a))
-            doc, key, lo, n, again = stretches(data, offsets, length)
-            t = [batch.column(k).slice(a, b - a).take(pa.array(doc)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*t, pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], names=["t1", "t2", "key", "lo", "n", "again"])
+            whole = b - a > 1 or len(data) <= 2 * PIECE
+            for start in [0] if whole else range(0, max(1, len(data) - length + 1), PIECE):  # pieces have all starts once
+                piece, edges = (data, offsets) if whole else (data[start : start + PIECE + length - 1], np.array([0, min(PIECE + length - 1, len(data) - start)]))
+                doc, key, lo, n, again = stretches(piece, edges, length)
+                t = [batch.column(k).slice(a, b - a).take(pa.array(doc)) for k in (0, 1)]
+                columns = [*t, pa.array(key.view(np.int64)), pa.array((lo + start).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(columns, names=["t1", "t2", "key", "lo", "n", "again"])
+
+
+_STRETCH = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("h", pa.binary()), ("part", pa.binary())])
+
+
+def _digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(t1, t2, first, text, wanted) to stretches with their bytes."""
     for batch in batches:
-        rows = []
-        for t1, t2, first, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            data = (text or "").encode()
-            for w in wanted:
-                part = data[w["lo"] : w["lo"] + w["n"] + length - 1]
-                rows.append((t1, t2, first, w["key"], w["lo"], hashlib.blake2b(part, digest_size=16).digest(), part))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["t1", "t2", "first", "key", "lo", "h", "part"])
+        for a, b in text_parts(batch.column(3), PIECE):
+            rows: list[tuple] = []
+            size = 0
+            for t1, t2, first, text, wanted in zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in range(5)), strict=True):
+                data = (text or "").encode()
+                for w in wanted:
+                    part = data[w["lo"] : w["lo"] + w["n"] + length - 1]
+                    rows.append((t1, t2, first, w["key"], w["lo"], _digest(part), part))
+                    size += len(part)
+                    if size > 4 * PIECE:
+                        yield _batch(rows, _STRETCH)
+                        size = 0
+            if rows:
+                yield _batch(rows, _STRETCH)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    rows.clear()
+    return out
+
+
+_SPARK_SUB = "key long, h binary, pkey long, ph binary, off int, n int, first long, lo int, many long, gram long, d0 int, d1 int, part binary"
+_SUB = pa.schema([("key", pa.int64()), ("h", pa.binary()), ("pkey", pa.int64()), ("ph", pa.binary()), ("off", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("lo", pa.int32()), ("many", pa.int64()), ("gram", pa.int64()), ("d0", pa.int32()), ("d1", pa.int32()), ("part", pa.binary())])
+
+
+def halves(part: bytes, key: int, gram: int, d0: int, d1: int, length: int, size: int = GRAM) -> list[tuple[int, int, int, int, int]]:
+    """Windows of a stretch, whose smallest string is d0 to d1 - 1 bytes after their start, as runs of half that range: new key, first window, windows, d0, d1.
+
+    A run's windows have the same occurrence of the string as their first one, and the same bytes before it
+    (or behind it) that all windows of their half hold; those bytes name the new bucket.
+    """
+    data = np.frombuffer(part, np.uint8)
+    at = np.arange(len(data) - size + 1)
+    found = np.flatnonzero(span_hash(prefix(data), at, at + size) == U(gram & 0xFFFFFFFFFFFFFFFF))
+    starts = np.arange(len(data) - length + 1)
+    g = found[np.searchsorted(found, starts)]
+    middle = (d0 + d1) // 2
+    late = g - starts >= middle
+    begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (late[1:] != late[:-1])]))
+    out = []
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(starts)], strict=True):
+        p, side = int(g[a]), bool(late[a])
+        shared = part[p - middle : p - d0] if side else part[p + length - d1 + 1 : p + length - middle + 1]
+        name = hashlib.blake2b(shared, digest_size=8, key=key.to_bytes(8, "little", signed=True), person=b"late" if side else b"early").digest()
+        out.append((int.from_bytes(name, "little", signed=True), a, b - a, *((middle, d1) if side else (d0, middle))))
+    return out
+
+
+def _halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Stretches (key, h, first, lo, many, gram, d0, d1, part) of large buckets to stretches of smaller ones; a batch has the bytes of equal ones once."""
+    for batch in batches:
+        rows: list[tuple] = []
+        seen: set[tuple] = set()
+        size = 0
+        for key, h, first, lo, many, gram, d0, d1, part in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+            for sub, a, n, e0, e1 in halves(part, key, gram, d0, d1, length):
+                own = part[a : a + n + length - 1]
+                name = (sub, _digest(own))
+                rows.append((*name, key, h, a, n, first, lo + a, many, gram, e0, e1, None if name in seen else own))
+                seen.add(name)
+                size += 100 + (len(own) if rows[-1][-1] else 0)
+            if size > 4 * PIECE:
+                yield _batch(rows, _SUB)
+                seen.clear()
+                size = 0
+        if rows:
+            yield _batch(rows, _SUB)
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -201,65 +272,82 @@ def _ordered(batches: Iterator[pa.RecordBatch], length: int, first_stays: bool)
         yield work()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every window of hot stretches: key, h, its place and a 128-bit hash."""
+def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(id, text, whole, ranges) to the removed spans and the bytes that are left."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
-        for key, h, first, lo, many, part in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            data = np.frombuffer(part, np.uint8)
-            at = np.arange(len(data) - length + 1)
-            h1 = span_hash(prefix(data), at, at + length)
-            h2 = span_hash(prefix(data ^ np.uint8(0xA5)), at, at + length)
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(m, key)), pa.array([h] * m, pa.binary()), pa.array(np.full(m, first)), pa.array(at + lo), pa.array(at), pa.array(np.full(m, many))], names=["h1", "h2", "key", "h", "first", "lo", "at", "many"])
+        for a, b in text_parts(batch.column(1), PIECE):
+            rows = []
+            for text, whole, ranges in zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in (1, 2, 3)), strict=True):
+                data, spans = (text or "").encode(), []
+                for x, y in [(0, len(data))] if whole else sorted((x, y + length - 1) for x, y in ranges or ()):
+                    if spans and x <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], y)
+                    else:
+                        spans.append([x, y])
+                edges = [0, *(e for s in spans for e in s), len(data)]
+                kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                rows.append((len(data), [{"start": x, "stop": y} for x, y in spans], kept))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), span, pa.binary()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["_id", "n_bytes", "spans", "kept"])
+
+
+def _judged(ws: Workspace, one: DataFrame, length: int, first_stays: bool, bucket_bytes: int) -> DataFrame:
+    """(key, h, ranges) of different stretches with repeated starts: small buckets in suffix order, large ones after cuts.
+
+    one: key, h, first, lo, many, part, gram, d0, d1, a row for each different stretch.
+    """
+    order = lambda rows: rows.select("key", "h", "first", "many", "part", "lo").repartition("key").sortWithinPartitions("key", "first", "lo")
+    schema = "key long, h binary, ranges array<int>"
+    flagged, maps = [], []
+    while True:
+        large = one.groupBy("key").agg(F.sum(F.octet_length("part").cast("long")).alias("size")).where(F.col("size") > bucket_bytes).select("key")
+        large = ws.keep(large, "large") if len(maps) < 9 else large.where("false")
+        last = large.isEmpty()
+        few = one if last else one.join(large, "key", "left_anti")
+        flagged.append(ws.keep(order(few).mapInArrow(lambda it: _ordered(it, length, first_stays), schema).where("size(ranges) > 0"), "flagged"))
+        if last:
+            break
+        many = one.join(large, "key").select("key", "h", "first", "lo", "many", "gram", "d0", "d1", "part")
+        subs = ws.keep(many.mapInArrow(lambda it: _halved(it, length), _SPARK_SUB), "halves")
+        one = subs.groupBy("key", "h").agg(F.sum("many").alias("many"), F.min(F.struct("first", "lo")).alias("place"), *(F.first(c, ignorenulls=True).alias(c) for c in ("part", "gram", "d0", "d1")))
+        one = ws.keep(one.select("key", "h", "place.first", "place.lo", "many", "part", "gram", "d0", "d1"), "one")
+        maps.append((subs.drop("part", "many", "gram", "d0", "d1"), one.select("key", "h", F.col("first").alias("_pf"), F.col("lo").alias("_pl"))))
+    found = flagged.pop()
+    for subs, places in reversed(maps):
+        found = flagged.pop().unionByName(ws.keep(_joined(found, subs, places, first_stays), "joined"))
+    return found
+
+
+def _joined(found: DataFrame, subs: DataFrame, places: DataFrame, first_stays: bool) -> DataFrame:
+    """Ranges of stretches of smaller buckets as ranges of the stretches that they were cut from."""
+    later = None
+    if first_stays:
+        subs = subs.join(places, ["key", "h"])
+        leads = F.col("first").eqNullSafe(F.col("_pf")) & (F.col("lo") == F.col("_pl"))
+        later = subs.where(~leads).select("pkey", "ph", F.array(F.col("off"), F.col("off") + F.col("n")).alias("ranges"))
+        subs = subs.where(leads)
+    own = subs.join(found, ["key", "h"]).select("pkey", "ph", F.transform("ranges", lambda x: x + F.col("off")).alias("ranges"))
+    own = own if later is None else own.unionByName(later)
+    return own.groupBy(F.col("pkey").alias("key"), F.col("ph").alias("h")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, whole, ranges) to the counts and the hash of what is left."""
-    for batch in batches:
-        rows = []
-        for text, whole, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            data, kept, at, n_spans = (text or "").encode(), hashlib.sha256(), 0, 0
-            spans = [(0, len(data))] if whole else sorted((a, b + length - 1) for a, b in ranges or ())
-            removed = 0
-            stop = -1
-            for a, b in spans:
-                if a > stop:
-                    n_spans += 1
-                    kept.update(data[at:a])
-                    removed += b - a
-                elif b > stop:
-                    removed += b - stop
-                stop = max(stop, b)
-                at = stop
-            kept.update(data[at:])
-            rows.append((len(data), removed, n_spans, kept.hexdigest()))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True))], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def repeated_ranges(docs: DataFrame, ws: Workspace, text: str, length: int, first_stays: bool) -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, ws: Workspace, text: str, length: int, first_stays: bool, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
     """By text (t1, t2): how many rows have it and the smallest id; and ranges of repeated starts, as a list of [from, to)."""
     keyed = docs.select(F.col("_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("_t"))
-    copies = ws.keep(keyed.groupBy("t1", "t2").agg(F.count("*").alias("many"), F.min("_id").alias("first")), "copies")
+    copies = ws.keep(keyed.groupBy("t1", "t2").agg(F.count("*").alias("many"), F.min(F.struct("_id")).alias("m")).select("t1", "t2", "many", F.col("m._id").alias("first")), "copies")
     long = keyed.where(F.octet_length("_t") >= length)
     found = ws.keep(long.select("t1", "t2", "_t").mapInArrow(lambda it: _found(it, length), "t1 long, t2 long, key long, lo int, n int, again boolean"), "stretches")
-    shared = found.groupBy("key").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.max("again").alias("again")).where("a <> b or again").select("key")
+    place = F.struct("t1", "t2", "lo")
+    shared = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("again").alias("again")).where("a <> b or again").select("key")
     wanted = found.select("t1", "t2", "key", "lo", "n").join(shared, "key").groupBy("t1", "t2").agg(F.collect_set(F.struct("key", "lo", "n")).alias("wanted"))
     wanted = ws.keep(wanted.join(copies.select("t1", "t2", "first"), ["t1", "t2"]), "wanted")
     texts = long.join(wanted, ["t1", "t2"]).where("_id <=> first").select("t1", "t2", "first", "_t", "wanted")
     parts = ws.keep(texts.mapInArrow(lambda it: _cut(it, length), "t1 long, t2 long, first long, key long, lo int, h binary, part binary"), "parts")
     one = parts.groupBy("key", "h").agg(F.count("*").alias("many"), F.min(F.struct("first", "lo")).alias("place"), F.first("part").alias("part"))
-    one = one.select("key", "h", "place.first", "place.lo", "many", "part")
-    kinds = parts.groupBy("key", "h").agg(F.max(F.octet_length("part")).alias("size")).groupBy("key").agg(F.sum("size").alias("size"))
-    hot = ws.keep(kinds.where(F.col("size") > BUCKET_BYTES).select("key"), "hot")
-    few = one.join(hot, "key", "left_anti").select("key", "h", "first", "many", "part", "lo").repartition("key").sortWithinPartitions("key", "first", "lo")
-    small = few.mapInArrow(lambda it: _ordered(it, length, first_stays), "key long, h binary, ranges array<int>")
-    windows = one.join(hot, "key").mapInArrow(lambda it: _windows(it, length), "h1 long, h2 long, key long, h binary, first long, lo long, at long, many long")
-    windows = ws.keep(windows, "windows")
-    seen = windows.groupBy("h1", "h2").agg(F.sum("many").alias("times"), F.min(F.struct("first", "lo")).alias("place")).where("times > 1")
-    hits = windows.join(seen, ["h1", "h2"]).where(F.struct("first", "lo") != F.col("place")) if first_stays else windows.join(seen, ["h1", "h2"])
-    large = hits.groupBy("key", "h").agg(F.flatten(F.collect_list(F.array(F.col("at").cast("int"), (F.col("at") + 1).cast("int")))).alias("ranges"))
-    flagged = ws.keep(small.unionByName(large).where("size(ranges) > 0"), "flagged")
+    one = one.select("key", "h", "place.first", "place.lo", "many", "part", F.col("key").alias("gram"), F.lit(0).alias("d0"), F.lit(length - GRAM + 1).alias("d1"))
+    one = ws.keep(one, "one")
+    flagged = _judged(ws, one, length, first_stays, bucket_bytes)
     pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("ranges"), 1) - 1), lambda k: F.array(F.col("lo") + F.get("ranges", 2 * k), F.col("lo") + F.get("ranges", 2 * k + 1)))
     where = parts.select("t1", "t2", "first", "key", "h", "lo", (F.octet_length("part") - length + 1).alias("n"))
     later = None
@@ -271,23 +359,25 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, text: str, length: int, firs
     back = where.join(flagged, ["key", "h"]).select("t1", "t2", pairs.alias("r"))
     back = back if later is None else back.unionByName(later)
     ranges = ws.keep(back.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("ranges")), "ranges")
-    ws.drop(found, wanted, parts, windows, flagged)
+    ws.drop(found, wanted, parts, one)
     return copies, ranges
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, first_stays: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256. first_stays keeps the first copy by document id and place."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, first_stays: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Per row: id, n_bytes, spans (removed bytes: start, stop), kept (the other bytes). first_stays keeps the first copy by document id and place."""
     ws = Workspace(docs.sparkSession, "substrings")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    copies, ranges = repeated_ranges(rows, ws, "_text", length, first_stays)
+    copies, ranges = repeated_ranges(rows, ws, "_text", length, first_stays, bucket_bytes)
     known = copies.where("many > 1").join(ranges, ["t1", "t2"], "full")
     keyed = rows.withColumn("t1", F.xxhash64("_text")).withColumn("t2", F.xxhash64(F.lit(1), "_text")).join(known, ["t1", "t2"], "left")
     whole = (F.coalesce("many", F.lit(1)) > 1) & (F.octet_length("_text") >= length)
     whole = whole & ~F.col("_id").eqNullSafe(F.col("first")) if first_stays else whole
-    out = keyed.select("_id", "_text", whole.alias("whole"), "ranges").mapInArrow(lambda it: _removed(it, length), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = keyed.select("_id", "_text", whole.alias("whole"), "ranges").mapInArrow(lambda it: _removed(it, length), "_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
     return out.withColumnRenamed("_id", id_col)
 
 
 def op8_longest_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and kept_bytes and has_repeats, whether anything was removed."""
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    left = F.octet_length("kept").cast("long")
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left.alias("kept_bytes"), (F.size("spans") > 0).alias("has_repeats"))
