@@ -264,53 +264,84 @@ def test_cotraining_uses_the_pool():
     assert ((z > np.median(z)) == (hidden == 1)).mean() > 0.85
 
 
-def test_fixity_audit_descends_to_damage_only(spark):
-    pages = spark.createDataFrame([(i, f"http://x/{i}", "b" * (i % 90) * 40) for i in range(3000)] + [(3000, None, None), (None, "u", "h")], "page_id long, url string, html string")
-    records = pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+def written(ws, rows, second=None, shards=8):
+    """Two replicas of (page_id, record) rows through files; second: page_id to its other record or None, and {"+": (id, record)} for an extra one."""
+    spark, second = ws.spark, second or {}
+    df = spark.createDataFrame(rows, "page_id long, record binary")
+    laid, n = warc.laid_out(df, shards=shards)
+    files = warc.write_replicas(ws, laid)
+    other = [(i, second.get(i, r)) for i, r in rows if second.get(i, r) is not None] + second.get("+", [])
+    moved = warc.laid_out(spark.createDataFrame(other, "page_id long, record binary"), shards=shards)[0].drop("shard")
+    place = laid.groupBy("_id").agg(F.min("shard").alias("shard"))
+    moved = moved.join(place, moved["_id"].eqNullSafe(place["_id"]), "left").select(moved["_id"], "record", "digest", F.coalesce("shard", F.lit(0)).cast("long").alias("shard"))
+    a = warc.replica(ws, files[0], n)
+    return a, warc.replica(ws, warc.write_replicas(ws, moved)[0], n, a.header)
+
+
+def plain_record(i, body):
+    return b"WARC/1.0\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
+
+
+def test_fixity_audit_finds_lost_added_resized_and_binary_records(spark):
+    rows = [(i, plain_record(i, bytes([i % 256, 255, 254]) * (i % 90) * 40)) for i in range(2000)]
     ws = Workspace(spark, "t")
-    leaves, a = warc.replica(ws, records)
-    same, counts = warc.audit(ws, a, warc.tree(ws, leaves, a))
-    assert same.count() == 0 and counts == [0]
-    hurt = leaves.where("page_id <> 77 or page_id is null").withColumn("digest", F.when(F.col("page_id").isin(5, 1000), F.lit("x")).otherwise(F.col("digest")))
-    bad, counts = warc.audit(ws, a, warc.tree(ws, hurt, a))
-    got = {r.page_id: r.status for r in bad.join(leaves, ["shard", "at"]).collect()}
-    assert got == {5: "corrupt", 1000: "corrupt", 77: "missing"} and counts[0] == 1 and counts[-1] == 3 and max(counts) <= 3
-    empty, e = warc.replica(ws, records.where("false"))
-    assert warc.audit(ws, e, warc.tree(ws, empty, e))[0].count() == 0
+    a, b = written(ws, rows)
+    same, counts = warc.audit(ws, a, b)
+    assert same.count() == 0 and counts == [0] and a.leaves.count() == 2000
+    a, b = written(ws, rows, {77: None, 5: plain_record(5, b"\xff" * 7), 1000: rows[1000][1][:-5] + b"?" + rows[1000][1][-4:], "+": [(5000, plain_record(5000, b"new"))]})
+    bad, counts = warc.audit(ws, a, b)
+    assert sorted((r.rid, r.status) for r in bad.collect()) == [("<r1000>", "corrupt"), ("<r5000>", "extra"), ("<r5>", "corrupt"), ("<r77>", "missing")]
+    assert counts[0] == 1 and counts[-1] < a.levels[0].count()
+    empty, none = written(ws, [])
+    assert warc.audit(ws, empty, none)[0].count() == 0
 
 
 def test_fixity_of_repeated_and_null_ids(spark, tmp_path):
     rows = [(i, f"http://x/{i}", "b" * i) for i in range(40)] + [(None, "n", f"null {i % 1500}") for i in range(3000)]
     rows += [(9, "u", f"html {i}") for i in range(5)] + [(9, "u", "html 0")] + [(5, "v", f"html {i}") for i in range(3)] + [(7, "w", "html")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, record string, shard int")
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     got = QUERIES["op2_merkle_fixity"](spark, str(tmp_path)).collect()
     want = pages.select("page_id", F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")), 256)).collect()
     assert sorted((str(r.page_id), r.sha256) for r in got) == sorted((str(i), d) for i, d in want)
-    assert len({(r.shard, r.record_offset) for r in got}) == len(rows)
+    assert len({(r.shard, r.record_offset) for r in got}) == len(rows) and len({r.shard for r in got if r.page_id is None}) > 50
     assert all(r.status == {5: "corrupt", 7: "missing"}.get(r.page_id, "ok") for r in got)
+    pages.where("false").write.parquet(f"{tmp_path}/empty/pages.parquet")
+    assert QUERIES["op2_merkle_fixity"](spark, f"{tmp_path}/empty").count() == 0
 
 
 def test_one_of_two_records_of_an_id_is_damaged(spark):
-    records = spark.createDataFrame([(1, "aa"), (1, "bb"), (None, "cc"), (None, "cc"), (None, "dd")], "page_id long, record string")
+    leaf = lambda at, r, x: (0, at, 9, r, x)
     ws = Workspace(spark, "t")
-    leaves, first = warc.replica(ws, records)
-    second = spark.createDataFrame([(1, "bb"), (1, "ab"), (None, "cc"), (None, "dd")], "page_id long, record string")
-    bad, _ = warc.audit(ws, first, warc.tree(ws, ws.keep(warc.placed(leaves, second), "held"), first))
-    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    assert {(r.digest, r.status) for r in bad.join(leaves, ["shard", "at"]).collect()} == {(digest("aa"), "corrupt"), (digest("cc"), "missing")} and bad.count() == 2
+    schema = "shard long, at long, n_bytes long, rid string, digest string"
+    first = warc.tree(ws, spark.createDataFrame([leaf(0, "r", "aa"), leaf(9, "r", "bb"), leaf(18, "s", "cc"), leaf(27, "s", "cc"), leaf(36, "s", "dd")], schema))
+    second = warc.tree(ws, spark.createDataFrame([leaf(0, "r", "ab"), leaf(9, "r", "bb"), leaf(18, "s", "cc"), leaf(27, "s", "dd")], schema), like=first.header)
+    assert {(r.at, r.status) for r in warc.audit(ws, first, second)[0].collect()} == {(0, "corrupt"), (27, "missing")}
+    with pytest.raises(ValueError):
+        warc.audit(ws, first, warc.tree(ws, second.leaves, 500))
+
+
+def test_warc_files_round_trip(spark, tmp_path, monkeypatch):
+    import gzip
 
+    from tidemark.llm import warcfile
 
-def test_warc_files_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<p>é\r\n\r\nx</p>"), (2, None, None), (3, "http://b", "WARC/1.0\r\n")], "page_id long, url string, html string")
     records = pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    warc.write_warc(records.repartition(2), f"file://{tmp_path}/w")
-    back = warc.read_warc(spark, f"file://{tmp_path}/w/part-*")
-    assert sorted(r.record for r in back.collect()) == sorted(r.record for r in records.collect())
-    from tidemark.llm.warcfile import split_records
-
-    with pytest.raises(ValueError):
-        list(split_records(b"WARC/1.0\r\ncontent-length: 9\r\n\r\nabc"))
+    ws = Workspace(spark, "t")
+    laid, _ = warc.laid_out(records, shards=2)
+    back = warc.read_records(warc.write_replicas(ws, laid)[0]).collect()
+    want = [r.record.encode() for r in records.collect()]
+    assert sorted(bytes(r.record) for r in back) == sorted(want) and all(r.digest == hashlib.sha256(r.record).hexdigest() and r.n_bytes == len(r.record) for r in back)
+    monkeypatch.setattr(warcfile, "CHUNK", 7)
+    large = [plain_record(1, b"\xff\x00" * 40), plain_record(2, b""), *want]
+    for name, data in (("a.warc", b"".join(large)), ("a.warc.gz", b"".join(gzip.compress(r) for r in large))):
+        (tmp_path / name).write_bytes(data)
+        got = list(warcfile.scan(f"file://{tmp_path}/{name}"))
+        assert [r for *_, r in got] == large and got[0][0] == 0 and [g[1] for g in got[:2]] == ["<r1>", "<r2>"]
+    for bad in (b"WARC/1.0\r\ncontent-length: 9\r\n\r\nabc", b"junk", plain_record(1, b"x") + b"junk that goes on\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warcfile.split_records(iter([bad])))
 
 
 def test_line_chunks_shift_and_keep_the_first(spark):

@@ -1,23 +1,37 @@
 """Fixity audit of WARC replicas by Merkle trees over records and ordered offset ranges.
 
-Leaves are SHA-256 digests of whole records. Above them, nodes cover ranges of offsets within a shard,
+A replica is a folder of WARC files, one for each shard; records, with their offsets, are read back from the files.
+Leaves are SHA-256 digests of offset and record. Above them, nodes cover ranges of offsets within a shard,
 64 KB first and 16 times more at each level, then ranges of shards, until one root is left; a node's
 digest is that of its children's digests in order. Two replicas with one root are equal. Otherwise
-only children of mismatching nodes are compared, level by level, down to the damaged records.
+only children of mismatching nodes are compared, level by level, down to the ranges of 64 KB that differ. A lost or
+resized record moves those behind it in its shard, so records of differing ranges are then aligned by their
+WARC-Record-ID: equal bytes are `ok` wherever they stand, other bytes `corrupt`, and what one side lacks is
+`missing` or `extra`.
 
-Everything is grouped by ranges that hold a bounded number of children: records of 64 KB, or 16 nodes.
+Everything is grouped by ranges that hold a bounded number of children: records of 64 KB, or 16 nodes. The number
+of shards is fixed when the first replica is laid out (SHARDS, or more so that a shard has SHARD_BYTES on average) and
+kept in its tree's header, so that a loss doesn't deal records anew. Records go to shards by id and bytes, so that
+records of one id, or of none, spread; only records equal in both share a shard.
 
 Defined results: null url or html are empty; a null page_id comes first in its shard; records of equal
-ids stand in the order of their digests; a record of a range that the other replica lacks is `missing`
-there, or `extra`; two empty replicas are equal; other columns are ignored.
+ids stand in the order of their digests, and of those one side has more of, the last ones are missing or extra; two
+empty replicas are equal; records of any bytes, and files whose records are gzip members, can be read; a file that is cut
+short or holds other bytes between records is an error; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
+from .warcfile import open_folder, scan, write_file
 
 SHARDS, SHARD_BYTES, RANGE_BITS, STEP_BITS = 64, 256 << 20, 16, 4
 DATE = "2024-01-01T00:00:00Z"
@@ -33,146 +47,202 @@ def record(page_id: Column, url: Column, html: Column, date: str = DATE) -> Colu
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def located(pages: DataFrame, id_col: str = "page_id", shards: int = SHARDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(id, bytes as text `record`) to id, shard, at (offset), n_bytes, digest. More shards are used once `shards` would be over shard_bytes."""
-    rows = pages.select(F.col(id_col).alias("_id"), F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("digest"))
-    total = pages.agg(F.sum(F.octet_length("record").cast("long"))).head()[0] or 0
+class Header(NamedTuple):
+    """What the trees of two replicas must have in common: shards, levels within a shard, levels above."""
+
+    shards: int
+    within: int
+    above: int
+
+
+class Tree(NamedTuple):
+    header: Header
+    leaves: DataFrame  # shard, at (offset), n_bytes, rid (record id), digest
+    levels: list[DataFrame]  # from 64 KB ranges to the root: shard, at (numbers of ranges), digest
+
+
+def laid_out(records: DataFrame, id_col: str = "page_id", shards: int = SHARDS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """(id, record) with its digest and shard, and the number of shards."""
+    total = records.agg(F.sum(F.octet_length("record").cast("long"))).head()[0] or 0
     n = max(shards, -(-total // shard_bytes))
-    shard = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n))
-    before = Window.partitionBy("shard").orderBy("_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("shard", shard).withColumn("at", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
-    return placed.withColumnRenamed("_id", id_col)
+    digest = F.sha2("record", 256)
+    name = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), digest))
+    shard = F.pmod(F.conv(F.substring(name, 1, 8), 16, 10).cast("long"), F.lit(n))
+    return records.select(F.col(id_col).alias("_id"), F.col("record").cast("binary").alias("record"), digest.alias("digest"), shard.alias("shard")), n
 
 
-def tree(ws: Workspace, leaves: DataFrame, like: list[DataFrame] | None = None) -> list[DataFrame]:
-    """Levels (shard, at, digest) from records to the root; `at` and `shard` are numbers of ranges from level 1 on.
+def write_replicas(ws: Workspace, rows: DataFrame, damage: Column | None = None) -> list[DataFrame]:
+    """WARC files of a replica for `record` and, if given, of one for `damage` (null: lost); rows are (shard, _id, digest, record).
 
-    like: a replica's tree whose height this one shall have, whichever records were lost.
+    Each task sorts its shards and streams every shard into one file a replica. File names are new for each attempt, and
+    only files of successful attempts are in the manifests (shard, path).
     """
-    levels: list[DataFrame] = [leaves.select("shard", "at", "digest")]
+    folder = ws.path("warc")
+    open_folder(folder, create=True)
+    two = damage is not None
+    sort = rows.repartition("shard").sortWithinPartitions("shard", F.col("_id").asc_nulls_first(), "digest")
+    both = sort.select("shard", "record", (damage if two else F.lit(None)).cast("binary").alias("second"))
+    made = ws.keep(both.mapInArrow(lambda it: _written(it, folder, two), "replica int, shard long, path string"), "manifest")
+    return [made.where(f"replica = {k}").select("shard", "path") for k in range(1 + two)]
+
+
+def _written(batches: Iterator[pa.RecordBatch], folder: str, second: bool) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    shard, files = None, []
+
+    def end() -> None:
+        for f in files:
+            f.close()
+
+    for batch in batches:
+        for s, *records in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if s != shard:
+                end()
+                shard, files = s, []
+                for k in range(1 + second):
+                    path = f"{folder}/{uuid.uuid4().hex}.warc"
+                    files.append(write_file(path))
+                    out.append((k, s, path))
+            for f, r in zip(files, records, strict=False):
+                if r is not None:
+                    f.write(r)
+    end()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string()), strict=True)], names=["replica", "shard", "path"])
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], with_record: bool) -> Iterator[pa.RecordBatch]:
+    """Files to their records, a few MB at a time; a file is read as a stream."""
+    names = ["shard", "at", "n_bytes", "rid", "digest", "record"][: 5 + with_record]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    for batch in batches:
+        for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, size = [], 0
+            for at, rid, digest, raw in scan(path):
+                rows.append((shard, at, len(raw), rid, digest, raw)[: len(names)])
+                size += 200 + with_record * len(raw)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
+
+
+def read_records(manifest: DataFrame, with_record: bool = True) -> DataFrame:
+    """(shard, path) to shard, at (offset), n_bytes, rid, digest and, if asked for, record (bytes), from the files."""
+    schema = "shard long, at long, n_bytes long, rid string, digest string" + ", record binary" * with_record
+    spread = manifest.repartition(max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism)), "shard")
+    return spread.mapInArrow(lambda it: _scanned(it, with_record), schema)
+
+
+def tree(ws: Workspace, leaves: DataFrame, shards: int = SHARDS, like: Header | None = None) -> Tree:
+    """The tree of located leaves; like: the header of the replica that it will be compared with, whichever records were lost."""
+    level = leaves.select("shard", "at", F.sha2(F.concat_ws(":", "at", "digest"), 256).alias("digest"))
+    if like is None:
+        at = leaves.agg(F.max("at")).head()[0] or 0
+        like = Header(shards, 1 + -(-(at >> RANGE_BITS).bit_length() // STEP_BITS), -(-(shards - 1).bit_length() // STEP_BITS))
+    levels: list[DataFrame] = []
 
     def up(level: DataFrame, shard: Column, at: Column) -> DataFrame:
         children = F.array_sort(F.collect_list(F.struct("shard", "at", "digest")))
         grouped = level.groupBy(shard.alias("s"), at.alias("a")).agg(F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"))
         return ws.keep(grouped.select(F.col("s").alias("shard"), F.col("a").alias("at"), "digest"), "level")
 
-    if like:
-        within, above = like[0]._tidemark_heights
-    else:
-        at, shard = (x or 0 for x in leaves.agg(F.max("at"), F.max("shard")).head())
-        within = 1 + -(-(at >> RANGE_BITS).bit_length() // STEP_BITS)
-        above = -(-shard.bit_length() // STEP_BITS)
-    levels[0]._tidemark_heights = within, above
-    for k in range(within):
-        levels.append(up(levels[-1], F.col("shard"), F.shiftright("at", STEP_BITS if k else RANGE_BITS)))
-    for _ in range(above):
-        levels.append(up(levels[-1], F.shiftright("shard", STEP_BITS), F.col("at")))
-    return levels
+    for k in range(like.within):
+        level = up(level, F.col("shard"), F.shiftright("at", STEP_BITS if k else RANGE_BITS))
+        levels.append(level)
+    for _ in range(like.above):
+        level = up(level, F.shiftright("shard", STEP_BITS), F.col("at"))
+        levels.append(level)
+    return Tree(like, leaves, levels)
 
 
-def audit(ws: Workspace, a: list[DataFrame], b: list[DataFrame]) -> tuple[DataFrame, list[int]]:
-    """Differing records (shard, at, status as seen from a) and the numbers of mismatching nodes by level, root first.
+def replica(ws: Workspace, manifest: DataFrame, shards: int = SHARDS, like: Header | None = None) -> Tree:
+    """The leaves and the tree of a replica, from its files."""
+    return tree(ws, ws.keep(read_records(manifest, with_record=False), "leaves"), shards, like)
 
-    The trees have one height: that of the second is made `like` the first.
-    """
+
+def audit(ws: Workspace, a: Tree, b: Tree) -> tuple[DataFrame, list[int]]:
+    """Differing records (shard, at, rid, status as seen from a; `at` is b's for extra ones) and the numbers of mismatching nodes by level, root first."""
+    if a.header != b.header:
+        raise ValueError("the second replica's tree must be made like the first one's")
     bad, counts = None, []
-    for k in range(len(a) - 1, -1, -1):
-        left, right = (t[k] if bad is None else _below(t[k], bad, k, a) for t in (a, b))
+    for k in range(len(a.levels) - 1, -1, -1):
+        left, right = (t.levels[k] if bad is None else _below(t.levels[k], bad, k, a.header) for t in (a, b))
         right = right.select(F.col("shard").alias("s"), F.col("at").alias("o"), F.col("digest").alias("d"))
         both = left.join(right, (F.col("shard") == F.col("s")) & (F.col("at") == F.col("o")), "full").where(~F.col("digest").eqNullSafe(F.col("d")))
-        status = F.when(F.col("d").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
-        bad = ws.keep(both.select(F.coalesce("shard", "s").alias("shard"), F.coalesce("at", "o").alias("at"), status.alias("status")), "bad")
+        bad = ws.keep(both.select(F.coalesce("shard", "s").alias("shard"), F.coalesce("at", "o").alias("at")), "bad")
         counts.append(bad.count())
         if not counts[-1]:
-            return bad.where("false"), counts
-    return bad, counts
+            break
+    return ws.keep(_aligned(ws, *(_below(t.leaves, bad, -1, a.header) for t in (a, b))), "differing"), counts
 
 
-def _below(level: DataFrame, bad: DataFrame, k: int, levels: list[DataFrame]) -> DataFrame:
-    """Nodes of level k whose parents are in bad."""
+def _below(level: DataFrame, bad: DataFrame, k: int, header: Header) -> DataFrame:
+    """Nodes of level k, or leaves (-1), whose parents are in bad."""
     parent = bad.select(F.col("shard").alias("ps"), F.col("at").alias("pa"))
-    if k < levels[0]._tidemark_heights[0]:
-        at, shard = F.shiftright("at", RANGE_BITS if k == 0 else STEP_BITS), F.col("shard")
+    if k + 1 < header.within:
+        at, shard = F.shiftright("at", RANGE_BITS if k < 0 else STEP_BITS), F.col("shard")
     else:
         at, shard = F.col("at"), F.shiftright("shard", STEP_BITS)
     return level.join(parent, (shard == F.col("ps")) & (at == F.col("pa")), "left_semi")
 
 
-def replica(ws: Workspace, pages: DataFrame, id_col: str = "page_id") -> tuple[DataFrame, list[DataFrame]]:
-    """Located records of a replica, written, and its tree."""
-    leaves = ws.keep(located(pages, id_col), "leaves")
-    return leaves, tree(ws, leaves)
-
-
-def placed(leaves: DataFrame, second: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Records (id, record) of a second replica at the places that the first's leaves give them: shard, at, digest.
-
-    Of the records of one id, those with a leaf's digest take that leaf, one each; the others take the leaves
-    that are left, both in the order of their digests. So any number of records may share an id, or have none.
-    """
-    a = leaves.select(F.col(id_col).alias("_a"), "shard", "at", "digest")
-    b = second.select(F.col(id_col).alias("_b"), F.sha2("record", 256).alias("found"))
-    a = a.withColumn("k", F.row_number().over(Window.partitionBy("_a", "digest").orderBy("at")))
-    b = b.withColumn("j", F.row_number().over(Window.partitionBy("_b", "found").orderBy(F.lit(1))))
-    both = a.join(b, F.col("_a").eqNullSafe(F.col("_b")) & (F.col("digest") == F.col("found")) & (F.col("k") == F.col("j")), "full")
-    ws = Workspace(leaves.sparkSession, "placed")
-    both = ws.keep(both, "both")
-    a = both.where("found is null").select("_a", "shard", "at", F.row_number().over(Window.partitionBy("_a").orderBy("digest", "at")).alias("k"))
-    b = both.where("digest is null").select("_b", "found", F.row_number().over(Window.partitionBy("_b").orderBy("found")).alias("j"))
-    rest = a.join(b, F.col("_a").eqNullSafe(F.col("_b")) & (F.col("k") == F.col("j")))
-    return both.where("digest = found").unionByName(rest, allowMissingColumns=True).select("shard", "at", F.col("found").alias("digest"))
-
-
-def write_warc(pages: DataFrame, path: str) -> None:
-    """Records as WARC files, one for each partition: Spark's text writer with the records' closing lines as separator."""
-    pages.select(F.regexp_replace("record", "\r\n\r\n$", "").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
-
+def _aligned(ws: Workspace, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Records of differing ranges, by shard and record id: equal ones drop out, the others are paired in the order of their digests."""
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record) of every record in files of write_warc(). Bodies are found by Content-Length, so they may hold any line."""
-    from .warcfile import records
+    def side(x: DataFrame, name: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("shard", "rid", "digest").orderBy("at"))
+        return x.select("shard", "rid", "digest", F.col("at").alias(name), nth.alias("k"))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(records, "path string, record string")
+    both = ws.keep(side(a, "at_a").join(side(b, "at_b"), ["shard", "rid", "digest", "k"], "full").where("at_a is null or at_b is null"), "unequal")
+    nth = F.row_number().over(Window.partitionBy("shard", "rid").orderBy("digest", "k"))
+    left, right = (both.where(f"{x} is not null").select("shard", "rid", x, nth.alias("j")) for x in ("at_a", "at_b"))
+    status = F.when(F.col("at_b").isNull(), "missing").when(F.col("at_a").isNull(), "extra").otherwise("corrupt")
+    return left.join(right, ["shard", "rid", "j"], "full").select("shard", F.coalesce("at_a", "at_b").alias("at"), "rid", status.alias("status"))
 
 
-def damaged(records: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """The drill's second replica: of ids with remainder 5 by 997 the first body byte differs; those with remainder 7 by 1499 are lost."""
-    at = F.instr("record", "\r\n\r\n") + 4
-    hit = F.overlay("record", F.lit("#"), at.cast("int"), F.lit(1))
-    rows = records.where(~F.coalesce(F.col(id_col) % 1499 == 7, F.lit(False)))
-    return rows.withColumn("record", F.when(F.coalesce(F.col(id_col) % 997 == 5, F.lit(False)), hit).otherwise(F.col("record")))
+def damage(record: Column, page_id: Column) -> Column:
+    """The drill's second replica: of ids with remainder 5 by 997 the first body byte differs; those with remainder 7 by 1499 are lost (null)."""
+    hit = F.overlay(record, F.lit("#"), (F.instr(record, "\r\n\r\n") + 4).cast("int"), F.lit(1))
+    return F.when(F.coalesce(page_id % 1499 == 7, F.lit(False)), F.lit(None)).when(F.coalesce(page_id % 997 == 5, F.lit(False)), hit).otherwise(record)
 
 
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as records of a first replica, audited against a second with drilled damage.
+    """All pages, written as two replicas of WARC files, the second with drilled damage, read back and audited.
 
     page_id, shard, record_offset, n_bytes, sha256 and status: ok, corrupt or missing (in the second).
     """
     ws = Workspace(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    records = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    leaves, first = replica(ws, records)
-    held = ws.keep(placed(leaves, damaged(records)), "held")
-    found, _ = audit(ws, first, tree(ws, held, first))
-    found = found.select(F.col("shard").alias("_s"), F.col("at").alias("_a"), "status")
-    out = leaves.join(found, (F.col("shard") == F.col("_s")) & (F.col("at") == F.col("_a")), "left")
-    return out.select("page_id", "shard", F.col("at").alias("record_offset"), "n_bytes", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
+    rows, shards = laid_out(pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")))
+    text = F.col("record").cast("string")
+    files = write_replicas(ws, rows, damage(text, F.col("_id")))
+    first = replica(ws, files[0], shards)
+    found, _ = audit(ws, first, replica(ws, files[1], shards, first.header))
+    found = found.where("status <> 'extra'").select(F.col("shard").alias("_s"), F.col("at").alias("_a"), "status")
+    out = first.leaves.join(found, (F.col("shard") == F.col("_s")) & (F.col("at") == F.col("_a")), "left")
+    ids = rows.select("_id", F.concat(F.lit("<urn:md5:"), F.md5(F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.lit(">")).alias("_rid")).distinct()
+    out = out.join(ids, F.col("rid") == F.col("_rid"))
+    return out.select(F.col("_id").alias("page_id"), "shard", F.col("at").alias("record_offset"), "n_bytes", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 OP2_SQL = r"""
 WITH records AS (
   SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-    || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || md5(CAST(page_id AS VARCHAR)) || '>' || chr(13) || chr(10)
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || md5(coalesce(CAST(page_id AS VARCHAR), '')) || '>' || chr(13) || chr(10)
     || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS body
   FROM pages
+), hashed AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS n_bytes, sha256(body) AS sha256, md5(concat(CAST(page_id AS VARCHAR), sha256(body))) AS name FROM records
 ), placed AS (
-  SELECT page_id, CAST(strlen(body) AS BIGINT) AS n_bytes, sha256(body) AS sha256,
-    CAST(list_sum(list_transform(range(1, 9), lambda k: CAST((strpos('0123456789abcdef', substr(md5(CAST(page_id AS VARCHAR)), k, 1)) - 1) * 16 ** (8 - k) AS BIGINT))) % 64 AS BIGINT) AS shard
-  FROM records
+  SELECT page_id, n_bytes, sha256,
+    CAST(list_sum(list_transform(range(1, 9), lambda k: CAST((strpos('0123456789abcdef', substr(name, k, 1)) - 1) * 16 ** (8 - k) AS BIGINT)))
+      % greatest(64, CAST((sum(n_bytes) OVER () + 268435455) // 268435456 AS BIGINT)) AS BIGINT) AS shard
+  FROM hashed
 )
-SELECT page_id, shard, CAST(coalesce(sum(n_bytes) OVER (PARTITION BY shard ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
+SELECT page_id, shard, CAST(coalesce(sum(n_bytes) OVER (PARTITION BY shard ORDER BY page_id NULLS FIRST, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
   n_bytes, sha256, CASE WHEN page_id % 1499 = 7 THEN 'missing' WHEN page_id % 997 = 5 THEN 'corrupt' ELSE 'ok' END AS status
 FROM placed
 """

@@ -1,32 +1,96 @@
-"""Reading WARC files in Python workers."""
+"""Writing and reading WARC files as streams in Python workers, on any Arrow file system."""
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
-import pyarrow as pa
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)", re.IGNORECASE)
+_ID = re.compile(rb"\r\nwarc-record-id:[ \t]*([^\r\n]*)", re.IGNORECASE)
+CHUNK = 1 << 20
 
-_LENGTH = re.compile(rb"\r\ncontent-length:\s*(\d+)", re.IGNORECASE)
 
+def _store(path: str):
+    from pyarrow import fs
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """Records of a file with their closing lines; bytes that start no record are an error."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        length = _LENGTH.search(data, at, end + 2)
-        if end < 0 or length is None or not data.startswith(b"WARC/", at):
+    return fs.FileSystem.from_uri(path)
+
+
+def open_folder(path: str, create: bool = False):
+    store, inner = _store(path)
+    if create:
+        store.create_dir(inner, recursive=True)
+    return store, inner
+
+
+def write_file(path: str):
+    """A buffered output stream."""
+    store, inner = _store(path)
+    return store.open_output_stream(inner, buffer_size=CHUNK)
+
+
+def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Records of a stream with their closing lines, one held at a time; bytes that start no record are an error."""
+    data, at = bytearray(), 0
+
+    def more() -> bool:
+        chunk = next(chunks, b"")
+        data.extend(chunk)
+        return bool(chunk)
+
+    while more() or data:
+        start = 0
+        while (end := data.find(b"\r\n\r\n", start)) < 0:
+            start = max(0, len(data) - 3)
+            if len(data) >= 5 and not data.startswith(b"WARC/") or not more():
+                raise ValueError(f"no record at byte {at}")
+        length = _LENGTH.search(data, 0, end + 2)
+        if length is None or not data.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        stop = end + 4 + int(length[1])
-        if data[stop : stop + 4] != b"\r\n\r\n":
+        stop = end + 8 + int(length[1])
+        while len(data) < stop and more():
+            pass
+        if data[stop - 4 : stop] != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} is cut short")
-        yield data[at : stop + 4]
-        at = stop + 4
+        yield bytes(data[:stop])
+        del data[:stop]
+        at += stop
+
+
+def _members(chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each gzip member."""
+    at, unzip, out, seen = 0, zlib.decompressobj(31), [], 0
+    for chunk in chunks:
+        while chunk:
+            out.append(unzip.decompress(chunk))
+            if not unzip.eof:
+                seen += len(chunk)
+                break
+            seen += len(chunk) - len(unzip.unused_data)
+            yield at, b"".join(out)
+            at, chunk, unzip, out = seen, unzip.unused_data, zlib.decompressobj(31), []
+    if out:
+        raise ValueError(f"member at byte {at} is cut short")
 
 
-def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = [r.decode("utf-8") for r in split_records(content)]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(found, pa.string())], names=["path", "record"])
+def scan(path: str) -> Iterator[tuple[int, str, str, bytes]]:
+    """Offset, record id, SHA-256 and bytes of each record of a file; in files named .gz each record is a member, whose offset it has."""
+    store, inner = _store(path)
+    with store.open_input_stream(inner, compression=None) as f:
+        chunks = iter(lambda: f.read(CHUNK), b"")
+        if path.endswith(".gz"):
+            found = ((at, r) for at, member in _members(chunks) for r in split_records(iter([member])))
+        else:
+            found = _placed(split_records(chunks))
+        for at, record in found:
+            name = _ID.search(record, 0, record.find(b"\r\n\r\n") + 2)
+            yield at, name[1].decode("utf-8", "replace") if name else "", hashlib.sha256(record).hexdigest(), record
+
+
+def _placed(records: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    at = 0
+    for r in records:
+        yield at, r
+        at += len(r)
