@@ -233,10 +233,74 @@ def test_tiling_catches_reordered_passages_and_leaves_others(spark):
     assert D.contaminated(df.where("false"), bench).count() == 0 and D.contaminated(df, bench.where("false")).count() == 0
 
 
-def test_tiles_are_longest_first_and_never_overlap():
-    i = np.array([0, 1, 2, 10, 11, 12, 13, 30])
-    j = np.array([5, 6, 7, 5, 6, 7, 8, 20])
-    assert D.tiles(i, j, 5) == [(10, 5, 8), (30, 20, 5)]
+def tiles_by_hand(doc, item, least):
+    """Wise's greedy string tiling as published: all matches of the greatest length over unmarked words, marked in order, until none of `least`."""
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while j + n < len(item) and i + n < len(doc) and doc[i + n] == item[j + n] and free_d[i + n] and free_i[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append((i, j, n))
+        free_d[i : i + n], free_i[j : j + n] = [False] * n, [False] * n
+
+
+def run_numbers(words_, names, least):
+    return np.array([names.setdefault(tuple(words_[k : k + least]), len(names)) for k in range(len(words_) - least + 1)], np.int64)
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcd"])
+def test_tiles_equal_plain_greedy_tiling(letters):
+    rng = random.Random(len(letters))
+    for _ in range(60):
+        least = rng.choice([2, 3, 5])
+        doc, item = ([rng.choice(letters) for _ in range(rng.randint(least, 40))] for _ in range(2))
+        names = {}
+        assert D.tiles(run_numbers(doc, names, least), run_numbers(item, names, least), least) == tiles_by_hand(doc, item, least)
+
+
+def test_contaminated_pairs_equal_plain_tiling(spark):
+    rng = random.Random(14)
+    items = [[rng.choice("abcdefgh") * 2 for _ in range(rng.randint(1, 25))] for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        words_ = [rng.choice("abcdefgh") * 2 for _ in range(rng.randint(0, 30))]
+        for item in rng.sample(items, rng.randint(0, 2)):
+            cut = rng.randint(0, len(item))
+            words_ = words_[:5] + item[cut:] + words_[5:] + item[:cut]
+        docs.append(words_)
+    want = set()
+    for d, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            least = min(5, len(item))
+            found = tiles_by_hand(doc, item, least)
+            covered = sum(n for *_, n in found)
+            if covered >= 0.8 * len(item):
+                want.add((d, k, len(found), covered, len(item)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, ", ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_tiles, r.covered, r.n_words) for r in D.contaminated(df, bench, block_words=60).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_tiling_of_a_long_text_of_one_word_is_bounded():
+    import tracemalloc
+
+    block = D.index_block(["x"], ["word " * 300])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["word " * 40_000])], names=["_id", "_text"])
+    list(D._tiled(iter([batch]), block, 0.8))  # tables of powers are made once a process
+    tracemalloc.start()
+    (found,) = D._tiled(iter([batch]), block, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column("coverage")[0].as_py() == 1.0 and peak < 150 << 20
 
 
 def test_quality_learns_and_is_defined_everywhere(spark):
