@@ -423,6 +423,57 @@ def test_line_chunks_shift_and_keep_the_first(spark):
     assert lines.remove_repeated_chunks(df.where("false")).count() == 0
 
 
+def chunks_by_hand(rows):
+    """op10 in plain Python: (doc_id, text) to what is left of each."""
+    cut = {}
+    for i, text in set(rows):
+        lines_, hashes, chunk, ended = (text or "").split("\n"), [0], [], False
+        for k, line in enumerate(lines_):
+            hashes.append(int(hashlib.md5(line.encode()).hexdigest()[:6], 16))
+            chunk.append(line)
+            ended = not ended and (hashes[-1] + 257 * hashes[-2]) % 1_000_003 % 4 != 0
+            if ended or k == len(lines_) - 1:
+                cut.setdefault((i, text), []).append(chunk)
+                chunk = []
+    seen, out = set(), {}
+    for key in sorted(cut, key=lambda x: (x[0] is not None, x[0] or 0)):
+        kept = []
+        for c in cut[key]:
+            body = "\n".join(c)
+            if len(c) > 1 and body.strip(" \t\r\n") and body in seen:
+                continue
+            seen.add(body if len(c) > 1 else None)
+            kept.append(body)
+        out[key] = "\n".join(kept)
+    return out
+
+
+def test_shared_passages_of_three_to_six_lines(spark):
+    """Against plain Python, and how many of the passages between different neighbours lose lines."""
+    rng = random.Random(15)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    caught = {}
+    rows, where = [], {}
+    for n in (3, 4, 5, 6):
+        for k in range(40):
+            passage = [line() for _ in range(n)]
+            for _ in range(2):
+                where[len(rows)] = (n, passage)
+                rows.append((len(rows), "\n".join([line() for _ in range(rng.randint(1, 3))] + passage + [line() for _ in range(rng.randint(1, 3))])))
+    rows += [(None, "x"), (1000, None), (1001, ""), (1002, rows[0][1]), rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS chunks", "2 AS kept_text")
+    got = {r.doc_id: r for r in lines.remove_repeated_chunks(df).collect()}
+    for (i, text), kept in chunks_by_hand(rows).items():
+        assert got[i].kept_text == kept, (i, text)
+    for i, (n, passage) in where.items():
+        own = [x for x in rows[i][1].split("\n") if x not in passage]
+        assert [x for x in got[i].kept_text.split("\n") if x not in passage] == own
+        if i % 2:
+            caught.setdefault(n, []).append(got[i].n_removed > 0)
+    share = {n: sum(c) / len(c) for n, c in caught.items()}
+    assert share[3] > 0.3 and share[6] > 0.5, share
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 

@@ -1,14 +1,17 @@
 """Removal of repeated multi-line chunks with content-defined borders, by DataFrame functions only.
 
-A line's hash is the first 24 bits of its MD5. Where a rolling hash over the last three line hashes,
-modulo 1,000,003, is a multiple of four, a chunk ends; so borders depend on nearby lines only and
-come again after lines before them were put in or taken out. Chunks of two lines or more that occur
+A line's hash is the first 24 bits of its MD5. A line is a candidate where a rolling hash over the last two
+line hashes, modulo 1,000,003, isn't a multiple of four; in a row of candidates the first, third, fifth and so on
+end a chunk. So borders depend on nearby lines only and come again after lines before them were put in or
+taken out, and but for a document's ends a chunk has two lines or more, two and a third on average: passages
+of a few shared lines often hold a whole one, and no line of a long one stands alone. Chunks of two lines or more that occur
 again anywhere are removed but for the first occurrence, by document, text and place, after their
 bytes were compared with it.
 
 Defined results: a null text is empty; chunks of blank lines only, and of one line, always stay;
 rows that repeat a doc_id and text are one document and stay or go alike; a last chunk ends with its
-document; other columns are ignored; an empty table gives no row.
+document; a document is split within one row, so memory grows with the longest text alone; other columns are ignored;
+an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 
-WINDOW, PRIME, PARTS, FACTOR = 3, 1_000_003, 4, 257
+WINDOW, PRIME, PARTS, FACTOR = 2, 1_000_003, 4, 257
 
 
 def chunked(docs: DataFrame, text: Column, parts: int = PARTS) -> DataFrame:
@@ -33,9 +36,11 @@ def chunked(docs: DataFrame, text: Column, parts: int = PARTS) -> DataFrame:
 
     def rolled(x: Column, i: Column) -> Column:
         back = [F.coalesce(F.get("_hashes", i - k), F.lit(0)) * FACTOR**k for k in range(1, WINDOW)]
-        return sum(back, x) % PRIME % parts == 0
+        return F.when(sum(back, x) % PRIME % parts == 0, F.lit("0")).otherwise(F.lit("1"))
 
-    ends = F.filter(F.transform("_hashes", lambda x, i: F.when(rolled(x, i) | (i == F.size("_hashes") - 1), i)), lambda i: i.isNotNull())
+    flags = F.split(F.replace(F.array_join(F.transform("_hashes", rolled), ""), F.lit("11"), F.lit("10")), "")
+    hashed = hashed.select("*", F.explode(F.array(flags)).alias("_flags"))
+    ends = F.filter(F.transform("_hashes", lambda x, i: F.when((F.get("_flags", i) == "1") | (i == F.size("_hashes") - 1), i)), lambda i: i.isNotNull())
     cut = hashed.select("*", F.explode(F.array(ends)).alias("_ends"))
 
     def chunk(e: Column, k: Column) -> Column:
@@ -49,7 +54,7 @@ def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """Per row: id, n_chunks, n_removed (chunks), kept_chars, kept_md5 and, with keep_text, kept_text."""
     ws = Workspace(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
-    whole = chunked(rows, F.col("_text"), parts).drop("_text")
+    whole = ws.keep(chunked(rows, F.col("_text"), parts).drop("_text"), "chunks")  # read three times
     each = whole.select("_id", "_th", F.explode("chunks").alias("c")).select("_id", "_th", "c.*").where("n > 1").where(F.trim(F.col("text"), F.lit(" \t\r\n")) != "")
     keyed = each.select("_id", "_th", "pos", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     place = F.struct("_id", "_th", "pos")
@@ -79,9 +84,11 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
 ), hashed AS (
   SELECT *, list_sum(list_transform(range(1, 7), lambda k: CAST((strpos('0123456789abcdef', substr(md5(line), k, 1)) - 1) * 16 ** (6 - k) AS BIGINT))) AS h FROM lines
+), flagged AS (
+  SELECT doc_id, replace(string_agg(CASE WHEN v % 1000003 % 4 = 0 THEN '0' ELSE '1' END, '' ORDER BY i), '11', '10') AS flags
+  FROM (SELECT doc_id, i, h + coalesce(lag(h, 1) OVER (PARTITION BY doc_id ORDER BY i), 0) * 257 AS v FROM hashed) GROUP BY doc_id
 ), ended AS (
-  SELECT *, CAST((h + coalesce(lag(h, 1) OVER w, 0) * 257 + coalesce(lag(h, 2) OVER w, 0) * 66049) % 1000003 % 4 = 0 AS INT) AS is_end
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT h.*, CAST(f.flags[h.i] AS INT) AS is_end FROM hashed h JOIN flagged f USING (doc_id)
 ), numbered AS (
   SELECT *, coalesce(sum(is_end) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended
 ), chunks AS (
