@@ -172,6 +172,25 @@ def test_mixing_targets_and_ties(spark):
     assert mixing.mix_sources(df.where("false")).count() == 0
 
 
+def test_mixed_documents_keep_columns_and_white_space(spark):
+    rows = [(i, f"w{i}  a\tb\n\nc {i} " * 3, "x" if i % 3 else None, 7, 8, 9) for i in range(30)] + [(1, "w1  a\tb\n\nc 1 " * 3, "x", 7, 8, 9), (None, "p q", "x", 7, 8, 9), (None, "r s", "x", 7, 8, 9), (40, " ", "x", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, row int, n_chars long")
+    mixed = mixing.mixed_documents(df, range_rows=4, share=1.3).collect()
+    whole = {r[1] for r in rows}
+    assert all((r["_size"], r["row"]) == (7, 8) for r in mixed) and mixed[0].__fields__ == df.columns
+    short = [r.text for r in mixed if r.text not in whole]
+    assert 1 <= len(short) <= 2 and all(any(w.startswith(t) for w in whole) and t[-1] not in " \t\n" for t in short)
+    assert sum(len(r.text.split()) for r in mixed) == sum(int(t) for t in {(r.source, r.target) for r in mixing.mix_sources(df, share=1.3).collect()} for t in t[1:])
+    plain = [r for r in mixed if r.text not in whole]
+    assert all(r.n_chars == len(r.text) for r in plain)
+
+
+def test_prefix_sums_of_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_BITS", 1)
+    df = spark.range(300).selectExpr("id AS doc_id", "repeat('w ', int(id % 5)) AS text", "CAST(id % 2 AS string) AS source")
+    assert sorted(map(str, mixing.mix_sources(df, range_rows=8).collect())) == sorted(map(str, mixing.mix_sources(df, range_rows=10_000).collect()))
+
+
 def test_language_of_held_out_documents(spark, sf):
     found = QUERIES["op4_language"](spark, sf).join(table(spark, sf, "documents"), "doc_id").where("held_out and n_chars > 100")
     assert found.where("lang <> lang_pred").count() <= 0.03 * found.count() and found.where("score < 0 or score > 1").isEmpty()

@@ -7,7 +7,11 @@ up to the exact word that its budget ends at.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; a null doc_id
 has the key of an empty text; repeated rows count each for itself; a source of size 0 has target 0;
-an empty table gives no row; other columns are kept.
+an empty table gives no row; other columns, whatever their names, are kept; white space of a document that is
+cut short stays as it is.
+
+Ranges of a source are summed in groups of GROUP ranges, so that a window over a source has one row for about 500,000
+documents, and one within a group 1,024 rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 
-WEIGHTS, SHARE, EPOCHS, RANGE_ROWS = (3, 1, 2), 1.5, 2, 512
+WEIGHTS, SHARE, EPOCHS, RANGE_ROWS, GROUP_BITS = (3, 1, 2), 1.5, 2, 512, 10
 RUN = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,8 +70,12 @@ def mix_sources(
     ranged = sized.join(spread, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_range", F.shiftright(place * F.col("ranges"), 32)).drop("_s", "ranges")
     sums = ranged.groupBy("_source", "_range").agg(F.sum("_size").alias("words"))
     sums = sums.join(goal.drop("rows"), F.col("_source").eqNullSafe(F.col("source"))).drop("source")
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ws.keep(sums.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0))), "ranges")
+    sums = ws.keep(sums.withColumn("_group", F.shiftright("_range", GROUP_BITS)), "sums")
+    before = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("_source", "_group").agg(F.sum("words").alias("words")).select(F.col("_source").alias("_gs"), F.col("_group").alias("_g"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("_source", "_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("words").over(within), F.lit(0))).join(groups, F.col("_source").eqNullSafe(F.col("_gs")) & (F.col("_group") == F.col("_g")))
+    sums = ws.keep(sums.withColumn("_before", F.col("_first") + F.col("_before")), "ranges")
     sums = sums.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), "source_size", "target", "_before")
     running = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     placed = ranged.withColumn("_to", F.sum("_size").over(running)).join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
@@ -78,26 +86,39 @@ def mix_sources(
     return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it is."""
+    pieces = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ", -1)
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.lit(0).alias("stop"))
+
+    def step(a: Column, piece: Column) -> Column:
+        seen, at = a["seen"] + F.when(piece == "", 0).otherwise(1), a["at"] + F.length(piece)
+        return F.struct(seen.alias("seen"), (at + 1).alias("at"), F.when(a["seen"] < n, at).otherwise(a["stop"]).alias("stop"))
+
+    return F.substring(text, F.lit(1), F.aggregate(pieces, start, step)["stop"])
+
+
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: documents as often as they are taken, the one at each source's cut shortened to its first words.
 
-    Repeated doc_ids must be repeated rows: a row's share is looked up by its id, size and source.
+    A row's share is looked up by its id, size and source; of rows that have these in common, shares go by the order of text hashes.
     """
     source_col = options.get("source_col", "source")
-    shares = mix_sources(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
-    nth = Window.partitionBy("_i", "_s", "_n").orderBy("_t")
-    shares = shares.select(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_n"), F.col("taken").alias("_t")).withColumn("_k", F.row_number().over(nth))
-    same = Window.partitionBy(id_col, source_col, "_size").orderBy(text_col)
-    rows = docs.withColumn("_size", word_count(F.col(text_col))).withColumn("_nth", F.row_number().over(same))
-    on = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & (F.col("_nth") == F.col("_k"))
-    epochs = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_t") / F.col("_size")).cast("int")))
-    each = rows.join(shares, on).withColumn("_epoch", epochs)
-    words = F.least(F.col("_size"), F.col("_t") - (F.col("_epoch") - 1) * F.col("_size")).cast("int")
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(RUN), F.lit(0)), F.lit(1), words))
-    each = each.withColumn("_cut", words < F.col("_size")).withColumn(text_col, F.when(F.col("_cut"), cut).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(F.col("_cut"), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return each.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("text"), word_count(F.col(text_col)).alias("size"))
+    shares = mix_sources(rows, id_col="id", text_col="text", **(options | {"source_col": "source"})).where("taken > 0")
+    nth = Window.partitionBy("i", "s", "n").orderBy("t")
+    shares = shares.select(F.col("id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("taken").alias("t")).withColumn("k", F.row_number().over(nth))
+    same = Window.partitionBy("id", "source", "size").orderBy(F.xxhash64("text"))
+    rows = rows.where("size > 0").withColumn("nth", F.row_number().over(same))
+    on = F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")) & (F.col("nth") == F.col("k"))
+    each = rows.join(shares, on).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("t") / F.col("size")).cast("int"))))
+    each = each.withColumn("words", F.least(F.col("size"), F.col("t") - (F.col("epoch") - 1) * F.col("size")).cast("int"))
+    cut = F.col("words") < F.col("size")
+    text = F.when(cut, first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
+    changed = {text_col: text}
+    if "n_chars" in docs.columns and "n_chars" not in (id_col, text_col, source_col):
+        changed["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return each.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
