@@ -112,26 +112,28 @@ def test_suffix_ranks_are_in_byte_order():
 
 
 def test_token_shards_round_trip(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-5, None), (-4, ""), (-3, "  two  spaces \n"), (-2, "<|endoftext|> a"), (None, "no key"), (0, "again")], "doc_id long, text string"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-5, None), (-4, ""), (-3, "  two  spaces \n"), (-2, "<|endoftext|> a"), (None, "no key"), (None, None), (0, "again"), (0, "again"), (9, "long " * 60_000)], "doc_id long, text string"))
+    docs = docs.selectExpr("*", "1 AS id", "2 AS h", "3 AS place", "4 AS start")
     ws = Workspace(spark, "t")
     path = sstable.byte_bpe_path()
     manifest = ws.keep(sstable.write_shards(docs, ws.path("s"), path, shard_bytes=20_000), "m")
-    got = sorted(tuple(r) for r in sstable.read_shards(spark, manifest).collect())
+    got = sorted((tuple(r) for r in sstable.read_shards(spark, manifest).collect()), key=lambda r: r[1])
     from tokenizers import Tokenizer
 
     tok, start, want = Tokenizer.from_file(path), 0, []
     ids = {}
-    for r in sorted(docs.where("doc_id is not null").collect(), key=lambda r: (r.doc_id, r.text or "")):
+    h = F.xxhash64("text")
+    for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), h).collect():
         own = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
         want.append((r.doc_id, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
         ids.setdefault(r.doc_id, []).append(own)
         start += len(own)
-    assert got == sorted(want)
-    shards = manifest.orderBy("first").collect()
+    assert got == want and [r[0] for r in got[:2]] == [None, None]
+    shards = manifest.orderBy("part", "nth").collect()
     assert len(shards) > 4
-    for doc_id in (-5, 0, 7, 150):
-        own = next(s for s in shards if s.first <= doc_id <= s.last)
-        assert [x.tolist() for x in sstable.open_shard(own.path).get(doc_id)] == ids[doc_id]
+    for doc_id in (None, -5, 0, 7, 9, 150):
+        within = [s for s in shards if (s.first is None if doc_id is None else (s.first is None or s.first <= doc_id) and s.last is not None and doc_id <= s.last)]
+        assert [x.tolist() for s in within for x in sstable.open_shard(s.path).get(doc_id)] == ids[doc_id]
     assert sum(len(sstable.open_shard(shards[0].path).get(i)) for i in range(10_000, 10_300)) == 0
 
 

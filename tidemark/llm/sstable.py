@@ -1,20 +1,25 @@
 """Token ids as sorted-string-table shards, with binary-search lookup.
 
-A shard is: MAGIC; blocks; the sparse index; the Bloom filter; the footer. Keys are documents'
-64-bit identifiers with the sign bit turned, big-endian, so that byte order is number order.
+A shard is: MAGIC; blocks; the sparse index; the Bloom filter; the footer. Keys have nine bytes: 1 and the
+document's 64-bit identifier with the sign bit turned, big-endian, so that byte order is number order; a document
+without identifier has nine zero bytes, the first key of all.
 - A block is a CRC-32 of what follows and zstd-compressed entries. An entry is the number of key bytes shared with
   the key before it in the block, the number of other key bytes, the number of value bytes (all
   three little-endian base-128 numbers), those key bytes and the value: ids of `width` bytes each,
   little-endian.
-- The index has, for each block, its last key (8 bytes), offset and length (8 bytes each).
+- The index has, for each block, its last key (9 bytes), offset and length (8 bytes each).
 - The Bloom filter has 10 bits a key and 7 probes.
 - The footer is fixed in size: offsets and lengths of index and filter, counts, width, MAGIC.
 
 Shards are written by executors to a shared folder, one file for each range and attempt; only files of
 successful attempts are in the manifest, so lost executors leave nothing that is read.
 
-Defined results: a null or empty text has the end id alone; rows of a null doc_id have no key and
-aren't stored; repeated doc_ids stand next to each other, ordered by text; an empty table gives no shard.
+A shard ends after SHARD_BYTES whatever its key, and tasks deal rows out by id, text hash and place in the input; so documents of one id
+may stand in several shards, all of which a lookup asks, and no id, nor none, puts its rows into one task.
+
+Defined results: a null or empty text has the end id alone; documents of a null doc_id come first; repeated
+doc_ids stand next to each other, ordered by a hash of their text; a text is encoded whole, so a task holds the longest one with its ids;
+an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encode import encoder
 from .store import Workspace
 from .words import U, mix, text_parts
 
-MAGIC = b"TMSST001"
+MAGIC = b"TMSST002"
 _FOOTER = struct.Struct("<QQQQQQQ8s")
-_ENTRY = struct.Struct(">Q")
-_INDEX = struct.Struct(">QQQ")
+_KEY, _INDEX = 9, struct.Struct(">9sQQ")
 BLOCK_BYTES, SHARD_BYTES, END_ID = 64 << 10, 64 << 20, 2
 
 
@@ -65,8 +70,16 @@ def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((a[:, None] + b[:, None] * np.arange(7, dtype=U)) % U(bits)).astype(np.int64)
 
 
-def _key(doc_id: int) -> int:
-    return doc_id + (1 << 63)
+def _key(doc_id: int | None) -> bytes:
+    return bytes(_KEY) if doc_id is None else b"\1" + (doc_id + (1 << 63)).to_bytes(8, "big")
+
+
+def _id(key: bytes) -> int | None:
+    return int.from_bytes(key[1:], "big") - (1 << 63) if key[0] else None
+
+
+def _bloom_keys(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(k[1:] for k in keys), ">u8").astype(U)
 
 
 class ShardWriter:
@@ -78,21 +91,21 @@ class ShardWriter:
         self.out, self.width, self.zip = out, width, zstandard.ZstdCompressor(1)
         out.write(MAGIC)
         self.at, self.tokens = len(MAGIC), 0
-        self.keys: list[int] = []
-        self.index: list[tuple[int, int, int]] = []
+        self.keys: list[bytes] = []
+        self.index: list[tuple[bytes, int, int]] = []
         self.block, self.size, self.last = [], 0, b""
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        key = _ENTRY.pack(_key(doc_id))
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        key = _key(doc_id)
         shared = 0
-        while shared < len(self.last) and self.last[shared] == key[shared]:
+        while shared < min(len(self.last), _KEY) and self.last[shared] == key[shared]:
             shared += 1
         value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         entry = _number(shared) + _number(len(key) - shared) + _number(len(value)) + key[shared:]
         self.block += [entry, value]
         self.size += len(entry) + len(value)
         self.last, self.tokens = key, self.tokens + len(ids)
-        self.keys.append(_key(doc_id))
+        self.keys.append(key)
         if self.size >= BLOCK_BYTES:
             self._end_block()
 
@@ -110,7 +123,7 @@ class ShardWriter:
         bits = max(64, -(-10 * len(self.keys) // 8) * 8)
         bloom = np.zeros(bits, bool)
         for a in range(0, len(self.keys), 100_000):
-            bloom[_probes(np.array(self.keys[a : a + 100_000], U), bits).ravel()] = True
+            bloom[_probes(_bloom_keys(self.keys[a : a + 100_000]), bits).ravel()] = True
         packed = np.packbits(bloom, bitorder="little").tobytes()
         self.out.write(index + packed)
         self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), len(self.keys), self.tokens, self.width, MAGIC))
@@ -134,7 +147,7 @@ class ShardReader:
         self.file.seek(offset)
         return self.file.read(size)
 
-    def block(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    def block(self, k: int) -> Iterator[tuple[int | None, np.ndarray]]:
         _, offset, size = self.index[k]
         raw = self._at(offset, size)
         if zlib.crc32(raw[4:]) != struct.unpack_from("<I", raw)[0]:
@@ -146,23 +159,24 @@ class ShardReader:
             size, at = _read_number(data, at)
             key = key[:shared] + data[at : at + rest]
             at += rest
-            yield _ENTRY.unpack(key)[0] - (1 << 63), np.frombuffer(data, "<u2" if self.width == 2 else "<u4", size // self.width, at).astype("<u4")
+            yield _id(key), np.frombuffer(data, "<u2" if self.width == 2 else "<u4", size // self.width, at).astype("<u4")
             at += size
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k in range(len(self.index)):
             yield from self.block(k)
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of all entries of a document; the filter spares most reads for absent ones."""
-        p = _probes(np.array([_key(doc_id)], U), self.bits)[0]
+        key = _key(doc_id)
+        p = _probes(_bloom_keys([key]), self.bits)[0]
         if not (self.bloom[p >> 3] >> (p & 7) & 1).all():
             return []
         out: list[np.ndarray] = []
-        for k in range(bisect.bisect_left(self.index, (_key(doc_id), -1, -1)), len(self.index)):
+        for k in range(bisect.bisect_left(self.index, (key, -1, -1)), len(self.index)):
             got = list(self.block(k))
             out += [ids for i, ids in got if i == doc_id]
-            if not got or got[-1][0] > doc_id:
+            if self.index[k][0] > key:
                 break
         return out
 
@@ -180,6 +194,9 @@ def open_shard(path: str) -> ShardReader:
     return ShardReader(f, f.size())
 
 
+_MANIFEST = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64())])
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_id: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
     width = 2 if max(enc.top, end_id) < 1 << 16 else 4
@@ -190,37 +207,41 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
     def end() -> None:
         writer.close()
         writer.out.close()
-        made[-1] |= {"n": len(writer.keys), "tokens": writer.tokens, "last": writer.keys[-1] - (1 << 63)}
+        made[-1] |= {"n": len(writer.keys), "tokens": writer.tokens, "first": _id(writer.keys[0]), "last": _id(writer.keys[-1])}
 
     for batch in batches:
         for a, b in text_parts(batch.column(1)):
             ids = batch.column(0).slice(a, b - a).to_pylist()
             texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
             for doc_id, tokens in zip(ids, enc.encode(texts), strict=True):
-                if writer is not None and writer.at > shard_bytes and doc_id != last:
+                if writer is not None and writer.at > shard_bytes:
                     end()
                     writer = None
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.sst"  # a name of its own for each attempt
                     writer = ShardWriter(store.open_output_stream(f"{inner}/{name}"), width)
-                    made.append({"path": f"{folder}/{name}", "first": doc_id})
+                    made.append({"part": TaskContext.get().partitionId(), "nth": len(made), "path": f"{folder}/{name}"})
                 writer.add(doc_id, np.append(tokens, np.uint32(end_id)))
-                last = doc_id
     if writer is not None:
         end()
     if made:
-        yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("path", pa.string()), ("first", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64()), ("last", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(made, schema=_MANIFEST)
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode, append end_id, range-partition and sort by id, and write shards. A plan of the manifest: path, first, n, tokens, last."""
+    """Encode, append end_id, range-partition and sort by id, and write shards.
+
+    A plan of the manifest: part and nth (their order), path, first, last (ids), n, tokens. It has to be written before it is read twice.
+    """
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(folder)
     store.create_dir(inner, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    sort = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return sort.mapInArrow(lambda it: _write(it, folder, vocabulary, end_id, shard_bytes), "path string, first long, n long, tokens long, last long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"))
+    key = [F.col("id").asc_nulls_first(), "h", "place"]
+    sort = rows.repartitionByRange(*key).sortWithinPartitions(*key).select("id", "text")
+    return sort.mapInArrow(lambda it: _write(it, folder, vocabulary, end_id, shard_bytes), "part int, nth int, path string, first long, last long, n long, tokens long")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +255,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every entry, from the files. The driver holds one row for each shard (64 MB of ids), no document."""
-    start, rows = 0, []
-    for r in manifest.orderBy("first").select("path", "tokens").collect():
-        rows.append((r.path, start))
-        start += r.tokens
-    if not rows:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    shards = spark.createDataFrame(rows, "path string, start long").repartition(len(rows))
-    return shards.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 of every entry, from the files.
+
+    A shard's start is the sum of tokens of the tasks before its own, and of the shards before it in its task. One window has a row a task
+    of the writer, the other one a row a shard of one task.
+    """
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).select(F.col("part").alias("p"), before(Window.orderBy("part")).alias("start"))
+    starts = manifest.join(parts, F.col("part") == F.col("p")).select("path", (F.col("start") + before(Window.partitionBy("part").orderBy("nth"))).alias("start"))
+    tasks = max(1, min(manifest.count(), 8 * spark.sparkContext.defaultParallelism, 10_000))
+    return starts.repartition(tasks, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def byte_bpe_path() -> str:
