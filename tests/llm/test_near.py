@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -150,5 +151,30 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_vectors_of_repeated_and_null_ids(spark):
+    v, w, u = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [-3.0, 1.0, 0.5]
+    rows = [(5, v, 1), (5, w, 1), (5, u, 1), (5, u, 1), (None, v, 1), (None, u, 2), (None, u, 2), (None, [0.0] * 3, 2), (2, w, 1), (9, w, 2), (None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS place", "2 AS node", "3 AS n_links")
+    got = sorted(map(tuple, V.near_vectors(df).collect()), key=str)
+    want = [(5, 3, 2, False), (5, 3, 2, False), (5, 0, 5, True), (None, 3, 2, False), (None, 0, None, True), (None, 0, None, True), (2, 3, 2, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+    both = spark.createDataFrame([(None, v, 1), (None, w, 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(r.kept for r in V.near_vectors(both).collect()) == [False, True]
+
+
+def test_recall_of_searches(spark):
+    """Links of every vector whose id is divisible by 20, against brute force over all rows."""
+    path = "/root/testdata/check_s/embeddings.parquet"  # the tables of sf* hold no link from such ids
+    if not Path(path).exists():
+        pytest.skip("no such table here")
+    vectors = spark.read.parquet(path)
+    rows = vectors.select("vec_id", "embedding", "label").toPandas()
+    got = {r.vec_id: r.n_links for r in V.near_vectors(vectors).collect()}
+    x, label = np.stack(rows.embedding).astype(np.float64), rows.label.to_numpy()
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = {int(i): int((((x @ x[k]) >= 0.98) & (label == label[k])).sum()) - 1 for k, i in enumerate(rows.vec_id) if i % 20 == 0}
+    assert sum(want.values()) > 0 and sum(got[i] for i in want) >= 0.99 * sum(want.values())
+
+
 def test_near_vectors_of_nothing(spark):
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

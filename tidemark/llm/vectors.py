@@ -8,7 +8,10 @@ precision; none below it links.
 
 Defined results: a vector that is null, zero or holds a null or non-finite component, or whose
 label is null, links with nothing; vectors of different lengths don't link; equal vectors link
-with each other; rows that repeat a vec_id count as one vector.
+with each other. A row of the result is a vector by id, label and components: rows that repeat all three
+count as one vector, rows of one id, or of none, and different components are vectors of their own, each judged.
+The smallest id that is reached names a component; null comes after all ids. kept is true for one vector
+of a component: that of the smallest id, of several of that id the first by hashes. An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,18 +71,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, vector) to (id, label, f1, f2, keys, vector) of the usable rows."""
+    """(id, label, place, vector) to (id, label, place, f1, f2, keys, vector) of the usable rows."""
     for batch in batches:
-        for rows, x in matrix(batch.column(2)).values():
+        for rows, x in matrix(batch.column(3)).values():
             if not len(rows):
                 continue
             keys = bucket_keys(_unit(x))
             bits = (x + 0.0).view(U).reshape(x.shape)  # + 0.0: -0.0 equals 0.0
-            f = [np.full(len(x), s, U) for s in (1, 2)]
+            f = [np.full(len(x), s + 4 * x.shape[1], U) for s in (1, 2)]
             for k in range(x.shape[1]):
                 f = [mix(h * U(3) + bits[:, k]) for h in f]
             lists = [pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.ravel())) for m in (keys.view(np.int64), x)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), *(pa.array(h.view(np.int64)) for h in f), *lists], names=["id", "label", "f1", "f2", "keys", "vector"])
+            own = [batch.column(k).take(pa.array(rows)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(h.view(np.int64)) for h in f), *lists], names=["id", "label", "place", "f1", "f2", "keys", "vector"])
 
 
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -120,13 +124,15 @@ def _block_links(ids: np.ndarray, many: np.ndarray, block: np.ndarray, keys: np.
 
 
 def _linked(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j); a group is held at once, at most two blocks."""
+    """Rows sorted by (bucket, i, j, label, key); a group is held at once, at most two blocks."""
     held: list[pa.RecordBatch] = []
     out: list[tuple] = []
 
     def work(t: pa.Table) -> None:
-        group = np.stack([np.asarray(t[c]) for c in ("bucket", "i", "j")], axis=1)
-        cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+        group = np.stack([np.asarray(t[c]) for c in ("bucket", "i", "j", "key")], axis=1)
+        label = t["label"].combine_chunks()
+        other = np.asarray(pc.not_equal(label.slice(1), label.slice(0, len(label) - 1)), bool)
+        cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1) | other) + 1  # two keys of one bucket number stay apart
         columns = [np.asarray(t[c]) for c in ("id", "many", "block")]
         keys = np.asarray(t["keys"].combine_chunks().flatten()).reshape(len(t), -1)
         vectors = t["vector"].combine_chunks()
@@ -171,25 +177,39 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     ws = Workspace(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = rows.dropDuplicates(["id"])
-    hashed = ws.keep(rows.where("label is not null").mapInArrow(_hashed, "id long, label string, f1 long, f2 long, keys array<long>, vector array<double>"), "hashed")
-    firsts = ws.keep(hashed.groupBy("label", "f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("many"), F.first("keys").alias("keys"), F.first("vector").alias("vector")), "firsts")
-    spots = firsts.select(F.col("first").alias("id"), "label", F.posexplode("keys").alias("t", "key")).select("id", "t", F.xxhash64("label", "key").alias("bucket"))
-    sizes = spots.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    # a vector's number among the rows, its place, is that of the files from here on
+    rows = ws.keep(rows.groupBy("id", "label", "vector").agg(F.lit(0).alias("_")).drop("_").withColumn("place", F.monotonically_increasing_id()), "rows")
+    hashed = ws.keep(
+        rows.where("label is not null").select("id", "label", "place", "vector").mapInArrow(_hashed, "id long, label string, place long, f1 long, f2 long, keys array<long>, vector array<double>"), "hashed"
+    )
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("lead")
+    firsts = hashed.groupBy("label", "f1", "f2").agg(lead, F.count("*").alias("many"), F.first("keys").alias("keys"), F.first("vector").alias("vector"))
+    firsts = ws.keep(firsts.withColumn("node", F.monotonically_increasing_id()), "firsts")
+    spots = firsts.select(F.col("node").alias("id"), "label", F.posexplode("keys").alias("t", "key")).select("id", "label", "t", "key", F.xxhash64("label", "key").alias("bucket"))
+    same = ["bucket", "label", "key"]
+    sizes = spots.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    members = spots.join(sizes, "bucket").select("bucket", "t", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int").alias("block"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "t", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = dealt.join(firsts.select(F.col("first").alias("id"), "many", "keys", "vector"), "id")
-    parts = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "t", "id", "many", "block", "keys", "vector")
+    members = spots.join(sizes, same).select(*same, "t", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int").alias("block"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*same, "t", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(firsts.select(F.col("node").alias("id"), "many", "keys", "vector"), "id")
+    order = ["bucket", "i", "j", "label", "key"]
+    parts = dealt.repartition("bucket", "i", "j").sortWithinPartitions(*order).select("bucket", "i", "j", "t", "id", "many", "block", "keys", "vector", "label", "key")
     links = ws.keep(parts.mapInArrow(lambda it: _linked(it, similar), "id long, links long, root long"), "links")
-    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = connected_components(ws, links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    of = firsts.select("label", "f1", "f2", "first", "many").join(counts.withColumnRenamed("id", "first"), "first", "left").join(classes.withColumnRenamed("id", "first"), "first", "left")
-    of = of.select("label", "f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "first").alias("component"))
-    named = hashed.select("id", "label", "f1", "f2").join(of, ["label", "f1", "f2"]).select("id", "n", "component")
-    out = rows.select("id").join(named, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = ws.keep(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))), "out")
-    ws.drop(hashed, firsts, links)
+    counts = links.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
+    classes = connected_components(ws, links.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("c"))
+    of = firsts.select("label", "f1", "f2", "node", "many", "lead").join(counts, "node", "left").join(classes, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    of = ws.keep(of.select("label", "f1", "f2", "lead", "c", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n")), "of")
+    heads = of.groupBy("c").agg(F.min("lead").alias("head"))
+    named = hashed.select("place", "label", "f1", "f2").join(of.join(heads, "c"), ["label", "f1", "f2"]).select(F.col("place").alias("p"), "n", "head")
+    out = rows.select("id", "place").join(named, F.col("place") == F.col("p"), "left")
+    linked = F.col("head").isNotNull()
+    out = out.select(
+        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        F.when(linked, F.col("head.id")).otherwise(F.col("id")).alias("component_id"), F.when(linked, F.col("head.place") == F.col("place")).otherwise(F.lit(True)).alias("kept"),
+    )
+    out = ws.keep(out, "out")
+    ws.drop(rows, hashed, firsts, links, of)
     return out
 
 
