@@ -11,6 +11,7 @@ from tests.oracle import assert_same, connect
 from tidemark.llm import decontaminate as D
 from tidemark.llm import language as L
 from tidemark.llm import lines, mixing, quality, sstable, substrings, warc
+from tidemark.llm import words as W
 from tidemark.llm.encode import Encoder
 from tidemark.llm.queries import ORACLES, QUERIES
 from tidemark.llm.store import Workspace
@@ -214,6 +215,95 @@ def test_language_spans_and_defined_results(spark, sf):
     assert {r.lang_pred for r in L.label_languages(docs.limit(5), none).collect()} == {"und"}
 
 
+def plain_language(texts, labels, asked):
+    """Operator 4 in plain Python: scripts narrow, runs of 2 to 4 letters score, dynamic programming labels."""
+    import unicodedata
+
+    names = sorted(set(labels))
+    script = lambda c: next(s for first, s in reversed(L.SCRIPTS) if first <= ord(c))
+    kind = lambda c: unicodedata.category(c)[0] if ord(c) < 0x33480 else "X"
+
+    def words_of(text):
+        out, word = [], ""
+        for c in (text or "").lower() + " ":
+            if kind(c) in "LM":
+                word += c
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    def runs(word):
+        w = "\0" + word + "\0"
+        return [tuple(w[i : i + n]) for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+
+    def bucket(run):
+        h = sum((0 if c == "\0" else ord(c)) * 0x9E3779B97F4A7C15 * 0xD6E8FEB86659FD93**k for k, c in enumerate(run)) & 0xFFFFFFFFFFFFFFFF
+        return int(W.mix(np.array([h], np.uint64) + np.uint64(len(run)))[0]) & (L.BUCKETS - 1)
+
+    counts, used = {x: {} for x in names}, {x: {} for x in names}
+    for text, x in zip(texts, labels, strict=True):
+        for w in words_of(text):
+            for r in runs(w):
+                b = bucket(r)
+                counts[x][b] = counts[x].get(b, 0) + 1
+            for c in w:
+                used[x][script(c)] = used[x].get(script(c), 0) + 1
+    share = lambda x, b: np.log((counts[x].get(b, 0) + 0.1) / (sum(counts[x].values()) + 0.1 * L.BUCKETS))
+    out = []
+    for text in asked:
+        ws = words_of(text)
+        rows = []
+        for w in ws:
+            can = [used[x].get(script(w[0]), 0) >= L.SCRIPT_SHARE * sum(used[x].values()) and used[x].get(script(w[0]), 0) > 0 for x in names]
+            rows.append([sum(share(x, bucket(r)) for r in runs(w)) if c else -1e4 for x, c in zip(names, can, strict=True)] if any(can) else [0.0] * len(names))
+        best, back = rows[0] if rows else [], []
+        for row in rows[1:]:
+            came = [max(range(len(names)), key=lambda a: (best[a] - L.SWITCH * (a != b), a == b, -a)) for b in range(len(names))]
+            back.append(came)
+            best = [best[came[b]] - L.SWITCH * (came[b] != b) + row[b] for b in range(len(names))]
+        path = [max(range(len(names)), key=lambda a: best[a])] if rows else []
+        for came in reversed(back):
+            path.insert(0, came[path[0]])
+        letters = [sum(sum(kind(c) == "L" for c in w) for w, p in zip(ws, path, strict=True) if p == k) for k in range(len(names))]
+        total = sum(letters)
+        out.append((names[letters.index(max(letters))], max(letters) / total) if total else ("und", 0.0))
+    return out
+
+
+def test_languages_equal_plain_python(spark):
+    rng = random.Random(16)
+    alphabets = {"aa": "abcdeéß", "bb": "abcghi", "cc": "абвгд", "dd": "ابتث"}
+    word = lambda x: "".join(rng.choice(alphabets[x]) for _ in range(rng.randint(1, 8)))
+    text = lambda x, n: " ".join(word(x) for _ in range(n))
+    rows = [(i, text(x, rng.randint(3, 30)) + " 12, x!", x) for i, x in enumerate(rng.choice(list(alphabets)) for _ in range(60))]
+    asked = [r[1] for r in rows[:15]] + [text("aa", 12) + " " + text("cc", 9), text("bb", 5) + text("dd", 4) + " " + text("aa", 30), "ελλην abc", "日本 語", "e\u0301\u0301 ß", "", None, "1 2"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, rows_per_language=1000)
+    taught = df.where(~L.held_out(F.col("doc_id"))).collect()
+    want = plain_language([r.text for r in taught], [r.lang for r in taught], asked)
+    got = L.label_languages(spark.createDataFrame([*enumerate(asked)], "doc_id long, text string").selectExpr("*", "1 AS lang_pred", "2 AS score", "3 AS _row"), model).orderBy("_id").collect()
+    assert [r.lang_pred for r in got] == [x for x, _ in want] and np.allclose([r.score for r in got], [v for _, v in want])
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch, sf):
+    model = L.fit(table(spark, sf, "documents"))
+    pick = [r.text for r in table(spark, sf, "documents").where("n_chars > 500").limit(6).collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["\n".join(pick)])], names=["_row", "_text"])
+    (whole,) = L._labelled(iter([batch]), model, True)
+    counts = L.counted(batch.column(1))
+    monkeypatch.setattr(L, "PIECE", 700)
+    (pieces,) = L._labelled(iter([batch]), model, True)
+    assert pieces.to_pylist() == whole.to_pylist()
+    assert all((x == y).all() for x, y in zip(L.counted(batch.column(1)), counts, strict=True))
+
+
+def test_rare_languages_and_long_training_texts_are_learned(spark):
+    rows = [(i, f"the common words of text {i} and more", "en") for i in range(400)] + [(1000 + i, "слово " * 20_000, "ru") for i in range(4)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=50)
+    assert model.languages == ["en", "ru"]
+
+
 def test_viterbi_equals_plain_dynamic_programming():
     rng = np.random.default_rng(8)
     counts = [0, 1, 63, 64, 65, 200, 0, 3]
@@ -495,6 +585,77 @@ def test_shared_passages_of_three_to_six_lines(spark):
     assert share[3] > 0.3 and share[6] > 0.5, share
 
 
+def plain_pipeline(spark, rows, items):
+    """The five stages over (doc_id, text, source) in plain Python."""
+    import math
+
+    from tests.llm.test_near import classes, similarity
+    from tokenizers import Tokenizer
+
+    rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    links = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and similarity(a[1], b[1]) >= 0.8]
+    root = classes(links, [r[0] for r in rows])
+    rows = [r for r in rows if root[r[0]] == r[0]]
+    held = lambda text, item: sum(n for *_, n in tiles_by_hand(text.lower().split(), item.lower().split(), 5)) >= 0.8 * len(item.split())
+    rows = [r for r in rows if not any(held(r[1], i) for i in items)]
+    size = {s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in {r[2] for r in rows}}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(size))}
+    capped, total = set(), 1.5 * sum(size.values())
+    while True:
+        level = (total - sum(2 * size[s] for s in capped)) / max(1, sum(weight[s] for s in size if s not in capped))
+        over = {s for s in size if s not in capped and level * weight[s] > 2 * size[s]}
+        if not over:
+            break
+        capped |= over
+    mixed = []
+    for s in size:
+        left = math.floor(2 * size[s] if s in capped else level * weight[s])
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+        while left > 0:
+            for r in own:
+                n = len(r[1].split())
+                if left > 0:
+                    mixed.append((r[0], r[1] if left >= n else " ".join(r[1].split()[:left])))
+                    left -= min(left, n)
+    tok, start, out = Tokenizer.from_file(sstable.byte_bpe_path()), 0, []
+    order = spark.createDataFrame(mixed, "i long, t string").orderBy("i", F.xxhash64("t")).collect()
+    for r in order:
+        ids = [*tok.encode(r.t, add_special_tokens=False).ids, 2]
+        out.append((r.i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(17)
+    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "sigma", "rho", "pi", "mu", "nu", "xi"]) + str(rng.randint(0, 30)) for _ in range(n))
+    items = [prose(20), prose(12)]
+    rows = [(i, prose(rng.randint(8, 60)), f"s{i % 4}") for i in range(40)]
+    rows += [(40 + k, rows[k][1] if k % 2 else rows[k + 10][1] + " tail", f"s{k % 3}") for k in range(10)]
+    rows += [(60, prose(10) + " " + items[0], "s1"), (61, " ".join(items[1].split()[6:]) + " " + prose(9) + " " + " ".join(items[1].split()[:6]), "s2"), (62, None, "s0"), (63, "12 34 !", "s0"), (64, "", "s1")]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in P.run(spark, str(tmp_path)).orderBy("start").collect()]
+    assert got == plain_pipeline(spark, rows, items) and not {60, 61, 62, 63, 64} & {r[0] for r in got}
+
+
+def test_pipeline_of_nothing_and_language_decisions(spark, tmp_path, sf):
+    import corpus_pipeline as P
+
+    docs = table(spark, sf, "documents")
+    stage = dict(P.STAGES)["language_id"]
+    named = stage(spark, docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 1, F.col("lang"))), sf)
+    assert named.columns == docs.columns and named.where("lang is null").count() == 0
+    assert named.join(docs.select("doc_id", F.col("lang").alias("l")), "doc_id").where("lang <> l and n_chars > 100").count() <= 0.03 * docs.count()
+    unlabelled = stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf)
+    assert unlabelled.count() == named.count() > 0  # nothing was learned: only texts without letters go
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, sf, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 

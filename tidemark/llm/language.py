@@ -6,6 +6,9 @@ a script counts only for the languages that use this script in training. The lab
 are the path of words with the best sum of scores less a penalty for each change of language; its
 language is the one with the most letters.
 
+Fitted on at most ROWS_PER_LANGUAGE rows of each language, the first by a hash of id and text, over their whole texts; runs are
+counted on executors. A very long text is scored in pieces cut at a white space, and its words' scores (4 to 8 bytes a word and language) are solved together.
+
 Defined results: null or a text without letters is `und` with score 0 and no span; digits and
 symbols belong to no word; a word of a script that no language uses counts for all alike; ties go
 to the language first by name; repeated rows get the same answer; an empty table gives no row.
@@ -14,6 +17,7 @@ Without any training row the answer is `und` throughout.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import ship
@@ -37,9 +41,12 @@ SCRIPTS = (
     (0x2000, "Other"), (0x2C00, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"),
     (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0x10000, "Other"), (0x20000, "Han"), (0x32000, "Other"),
 )
-#: The training sample: rows in the order of a hash of doc_id, none longer than MAX_CHARS.
-MAX_ROWS, MAX_CHARS = 6000, 50_000
-BUCKETS, SWITCH, SCRIPT_SHARE, BLOCK = 1 << 16, 8.0, 0.01, 64
+#: The training sample: so many rows of each language.
+ROWS_PER_LANGUAGE = 1500
+BUCKETS, SWITCH, SCRIPT_SHARE, BLOCK, PIECE = 1 << 16, 8.0, 0.01, 64, 1 << 20
+
+
+_SPACE = re.compile(r"\s")
 
 
 class Model(NamedTuple):
@@ -98,23 +105,53 @@ def _runs(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield of, (mix(h[at] + U(n)) & U(BUCKETS - 1)).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[str]) -> Model:
-    """Log shares of runs and scripts of each language."""
-    languages = sorted(set(labels))
-    counts, used = np.zeros((len(languages), BUCKETS)), np.zeros((len({s for _, s in SCRIPTS}) + 1, len(languages)))
+def counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket's runs and each script's letters occur in texts."""
+    counts, used = np.zeros(BUCKETS, np.int64), np.zeros(len({s for _, s in SCRIPTS}) + 1, np.int64)
     script, _ = _letters()
-    for k, language in enumerate(languages):
-        own = [t for t, x in zip(texts, labels, strict=True) if x == language]
-        for a in range(0, len(own), 200):
-            t = _text(pa.array(own[a : a + 200], pa.large_string()))
+    for a, b in text_parts(column, PIECE):
+        for piece in _pieces(column.slice(a, b - a))[0]:
+            t = _text(piece)
             for _, bucket in _runs(t.code):
-                counts[k] += np.bincount(bucket, minlength=BUCKETS)
-            used[:, k] += np.bincount(script[np.minimum(t.code, len(script) - 1)], minlength=len(used))
-    share = np.log((counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True))
+                counts += np.bincount(bucket, minlength=BUCKETS)
+            used += np.bincount(script[np.minimum(t.code, len(script) - 1)], minlength=len(used))
     used[0] = 0
+    return counts, used
+
+
+def _pieces(column: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """Columns of a bounded number of bytes, and the row of each of their texts: one column, or the pieces of one long text."""
+    if len(column) > 1 or not len(column) or len(column[0].as_py() or "") <= 2 * PIECE:
+        return [column], np.arange(len(column))
+    text, cut = column[0].as_py(), [0]
+    while cut[-1] < len(text):
+        space = _SPACE.search(text, cut[-1] + PIECE)
+        cut.append(space.start() if space else len(text))
+    pieces = [pa.array([text[x:y]], pa.large_string()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return pieces, np.zeros(len(pieces), np.int64)
+
+
+def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Log shares of runs and scripts, from each language's counts."""
+    languages = sorted(counts)
+    share, used = np.zeros((len(languages), BUCKETS)), np.zeros((len({s for _, s in SCRIPTS}) + 1, len(languages)))
+    for k, language in enumerate(languages):
+        runs, letters = counts[language]
+        share[k], used[:, k] = np.log((runs + 0.1) / (runs + 0.1).sum()), letters
     return Model(languages, np.ascontiguousarray(share.T.astype(np.float32)), used >= SCRIPT_SHARE * np.maximum(used.sum(axis=0), 1))
 
 
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, text) to (language, kind, number, count): kind 0 counts runs by bucket, 1 letters by script."""
+    for batch in batches:
+        for language in pc.unique(batch.column(0)):
+            found = counted(batch.column(1).filter(pc.equal(batch.column(0), language)))
+            for kind, c in enumerate(found):
+                at = np.flatnonzero(c)
+                name = pa.array([language.as_py()] * len(at), pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["language", "kind", "number", "count"])
+
+
 def word_scores(t: _Text, model: Model) -> np.ndarray:
     """words x languages; a script's non-candidates are far below."""
     sums = np.zeros((len(t.code) + 1, len(model.languages)))
@@ -186,59 +223,104 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) -> n
     return labels
 
 
+class _Scored(NamedTuple):
+    """Words of some documents: scores by language, letters, characters' starts and ends, and n + 1 word offsets of the documents."""
+
+    score: np.ndarray
+    letters: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    offsets: np.ndarray
+
+
+def _scored(column: pa.Array, model: Model) -> _Scored:
+    _, proper = _letters()
+    pieces, row = _pieces(column)
+    parts, words_of, at = [], np.zeros(len(column), np.int64), 0
+    for k, piece in enumerate(pieces):
+        t = _text(piece)
+        letters = np.concatenate([[0], np.cumsum(proper[np.minimum(t.code, len(proper) - 1)] & (t.code > 0))])
+        count = np.diff(t.offsets)
+        own = at + np.zeros(len(t.word), np.int64) if len(pieces) > 1 else -np.repeat(t.position[:-1], count)
+        words_of += count if len(pieces) == 1 else np.array([count.sum()])
+        parts.append((word_scores(t, model), letters[t.end] - letters[t.word], t.word + own, t.end + own))
+        at += int(t.position[-1]) - 1 if len(pieces) > 1 else 0  # less the line feed that ends a row
+    score, letters, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return _Scored(score, letters, start, end, np.concatenate([[0], np.cumsum(words_of)]))
+
+
 def _labelled(batches: Iterator[pa.RecordBatch], model: Model, spans: bool) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, lang_pred, score and, if asked for, spans)."""
     n = len(model.languages)
-    names = pa.array([*model.languages, "und"])
+    names = pa.array([*model.languages, "und"], pa.string())
     for batch in batches:
-        for a, b in text_parts(batch.column(1), 1 << 20):
-            ids, t = batch.column(0).slice(a, b - a), _text(batch.column(1).slice(a, b - a))
+        for a, b in text_parts(batch.column(1), PIECE):
             rows = b - a
             if n:
-                label = viterbi(word_scores(t, model), t.offsets)
-                _, proper = _letters()
-                letters = np.concatenate([[0], np.cumsum(proper[np.minimum(t.code, len(proper) - 1)] & (t.code > 0))])
-                weight = letters[t.end] - letters[t.word]
+                t = _scored(batch.column(1).slice(a, rows), model)
+                label = viterbi(t.score, t.offsets)
                 doc = np.repeat(np.arange(rows), np.diff(t.offsets))
-                share = np.bincount(doc * n + label, weight, rows * n).reshape(rows, n)
+                share = np.bincount(doc * n + label, t.letters, rows * n).reshape(rows, n)
             else:
                 label, doc, share = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((rows, 1))
             whole = share.sum(axis=1)
             top = np.where(whole > 0, share.argmax(axis=1), n)
             score = np.where(whole > 0, share.max(axis=1) / np.maximum(whole, 1), 0.0)
-            columns = [ids, names.take(pa.array(top)), pa.array(score)]
+            columns = [batch.column(0).slice(a, rows), names.take(pa.array(top)), pa.array(score)]
             if spans:
                 new = np.ones(len(label), bool)
                 new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
                 f = np.flatnonzero(new)
                 last = np.concatenate([f[1:], [len(label)]])[: len(f)] - 1
-                own = t.position[doc[f]] if len(f) else np.zeros(0, np.int64)
-                items = pa.StructArray.from_arrays([pa.array(t.word[f] - own, pa.int64()), pa.array(t.end[last] - own, pa.int64()), names.take(pa.array(label[f]))], names=["start", "end", "lang"])
+                start, end = (t.start[f], t.end[last]) if len(f) else (np.zeros(0, np.int64),) * 2
+                items = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64()), names.take(pa.array(label[f]))], names=["start", "end", "lang"])
                 columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[f], np.arange(rows + 1)), pa.int32()), items))
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "lang_pred", "score", "spans"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "lang_pred", "score", "spans"][: len(columns)])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    """Train on at most max_rows labelled rows, the first by a hash of their id and text, none longer than MAX_CHARS.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    """Train on the first rows_per_language rows of each language by a hash of their id and text.
 
-    Rows whose crc32 of the id as text has the remainder 2 by 4 are held out.
+    Rows whose crc32 of the id as text has the remainder 2 by 4 are held out. The driver gets at most BUCKETS counts a language.
     """
-    rows = docs.where(~held_out(F.col(id_col))).where(f"`{lang_col}` is not null and `{text_col}` is not null").where(F.length(text_col) <= MAX_CHARS)
-    first = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text_col).alias("g"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    low = first.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).head()[0]
-    got = [] if low is None else first.where(F.col("h") <= low).orderBy("h", "g").limit(max_rows).collect()
-    return train([r.t for r in got], [r.l for r in got])
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
+    rows = rows.where(~held_out(F.col("i"))).select(F.xxhash64(F.col("i").cast("string")).alias("h"), F.xxhash64("t").alias("g"), "t", "l")
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "g"))  # each task keeps the first rows of a language before they are dealt out
+    low = rows.select("l", "h", "g").withColumn("k", first).where(F.col("k") <= rows_per_language).groupBy("l").agg(F.max(F.struct("h", "g")).alias("most"))
+    low = {r.l: r.most for r in low.collect()}  # one row a language
+    if not low:
+        return model_of({})
+    spark = docs.sparkSession
+    bound = spark.createDataFrame([(k, m.h, m.g) for k, m in low.items()], "l2 string, h2 long, g2 long")
+    sample = rows.join(F.broadcast(bound), (F.col("l") == F.col("l2")) & ((F.col("h") < F.col("h2")) | ((F.col("h") == F.col("h2")) & (F.col("g") <= F.col("g2")))))
+    tally = sample.select("l", "t").mapInArrow(_tallied, "language string, kind int, number int, count long")
+    counts = {k: (np.zeros(BUCKETS, np.int64), np.zeros(len({s for _, s in SCRIPTS}) + 1, np.int64)) for k in low}
+    for r in tally.groupBy("language", "kind", "number").agg(F.sum("count").alias("count")).collect():
+        counts[r.language][r.kind][r.number] = r["count"]
+    return model_of(counts)
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
-    """_id, lang_pred, score and, if asked for, spans (start, end, lang) by character of the lower-cased text. Reads only id and text."""
+def label_rows(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
+    """_row (all columns of docs as a struct), lang_pred, score and, if asked for, spans (start, end, lang) by character of the lower-cased text. Nothing is shuffled."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages x 4 bytes: 1 MB for four languages
-    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(lambda it: _labelled(it, shared.value, spans), schema)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
+    return rows.mapInArrow(lambda it: _labelled(it, shared.value, spans), schema)
+
+
+def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+    """_id, lang_pred, score and, if asked for, spans. Reads only id and text."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    ship(docs.sparkSession)
+    schema = f"_row {rows.schema['_id'].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
+    return rows.mapInArrow(lambda it: _labelled(it, shared.value, spans), schema).withColumnRenamed("_row", "_id")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
