@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import contaminated
-from tidemark.llm.language import fit, label_languages
+from tidemark.llm.language import fit, label_rows
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.sstable import token_shards
@@ -18,9 +18,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language - null texts and such without letters - go."""
-    found = label_languages(_keyed(docs), fit(docs), id_col="_key", spans=False).where("lang_pred = 'und'")
-    return _without(docs, found.select("_id.*"))
+    """Documents without any language - null texts and such without letters - go; the others' lang is the language found.
+
+    Where no row has a language to learn from, lang stays as it is.
+    """
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = label_rows(docs, model).where("lang_pred <> 'und'")
+    return found.select(*((F.col("lang_pred") if c == "lang" else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_output", encode),
 ]
 
-#: Language models, signatures and token ids aren't SQL; the tests hold run() against plain Python.
+#: Language models, signatures and token ids aren't SQL; tests/llm holds run() against plain Python.
 ORACLE_SQL: str | None = None
 
 
