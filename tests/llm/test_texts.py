@@ -428,15 +428,82 @@ def test_quality_learns_and_is_defined_everywhere(spark):
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def surest(pool, fitted, bad, good, gone):
+    """The search of co-training over features in memory."""
+    out = []
+    for v in (0, 1):
+        p = quality._sigmoid(fitted[v].logit(pool[v]))
+        order = [i for i in np.argsort(p, kind="stable") if i not in gone]
+        low, high = [i for i in order[:bad] if p[i] < 0.1], [i for i in order[::-1][:good] if p[i] > 0.9]
+        out.append((low + high, np.array([0.0] * len(low) + [1.0] * len(high))))
+    gone.update(*(o[0] for o in out))
+    return [(pool[0][i], pool[1][i], label) for i, label in out]
+
+
 def test_cotraining_uses_the_pool():
     rng = np.random.default_rng(10)
     y = (rng.random(60) < 0.6).astype(float)
     views = tuple(rng.normal(size=(60, 5)) + 1.5 * y[:, None] for _ in range(2))
     hidden = (rng.random(2000) < 0.6).astype(float)
     pool = tuple(rng.normal(size=(2000, 5)) + 1.5 * hidden[:, None] for _ in range(2))
-    m = quality.cotrain(views, y, pool)
+    gone = set()
+    m = quality.cotrain(views, y, lambda f, bad, good: surest(pool, f, bad, good, gone), rounds=6, per_round=300)
     z = m.content.logit(pool[0]) * m.combined[0] * m.calibrated[0][0] + m.metadata.logit(pool[1]) * m.combined[1] * m.calibrated[1][0]
-    assert ((z > np.median(z)) == (hidden == 1)).mean() > 0.85
+    assert ((z > np.median(z)) == (hidden == 1)).mean() > 0.85 and len(gone) > 500
+
+
+def plain_features(r):
+    """Both views' features of a row, by plain loops."""
+    import math
+    import re
+
+    x, z = [0.0] * (quality.RUNS + 4), [0.0] * (quality.HASHED + quality.LENGTHS + 2)
+    data, m = (r.text or "").encode(), 0xFFFFFFFF
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        h = ((a * 0x9E3779B1 & m) ^ (b * 0x85EBCA6B & m) ^ (c * 0xC2B2AE35 & m)) * 0x27D4EB2F & m
+        x[h >> 23] += 1
+    x[: quality.RUNS] = [math.sqrt(v / max(1, len(data) - 2)) for v in x[: quality.RUNS]]
+    ws = re.findall(r"[^\W_]+", (r.text or "").lower())
+    n = max(1, len(ws))
+    x[quality.RUNS :] = [len(set(ws)) / n, sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / n, sum(len(w.encode()) for w in ws) / max(1, len(data)), math.log1p(len(ws)) / 10]
+    names = [f"source={r.source}", f"lang={r.lang}"]
+    for name in [*names, "&".join(names)]:
+        h = np.zeros(1, np.uint64)
+        for byte in name.encode():
+            h = W.mix(h * np.uint64(3) + np.uint64(byte))
+        z[int(W.mix(h)[0] % np.uint64(quality.HASHED))] += 1
+    v = -1 if r.n_chars is None else r.n_chars
+    size = math.log2(max(v, 0) + 1)
+    z[quality.HASHED], z[quality.HASHED + 1] = size / 10, float(v < 0)
+    z[quality.HASHED + 2 + min(int(size), quality.LENGTHS - 1)] = 1
+    return x, z
+
+
+def test_quality_equals_plain_cotraining(spark, sf):
+    """The registered way, with its searches on executors, against features by loops and a search in memory."""
+    docs = table(spark, sf, "documents").unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "s", 0), (None, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.selectExpr("*", "1 AS _id", "2 AS r1", "3 AS score", "4 AS y")
+    labels = table(spark, sf, "labels")
+    y_of = {r.doc_id: float(r.quality) for r in labels.collect()}
+    rows = docs.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).collect()
+    known = sorted((r for r in rows if r.doc_id in y_of), key=lambda r: (r.h, r.doc_id))
+    rest = [r for r in rows if r.doc_id not in y_of]
+    features = lambda some: tuple(np.array(m, np.float32) for m in zip(*map(plain_features, some), strict=True))
+    pool, gone = features(rest), set()
+    want = quality.cotrain(features(known), np.array([y_of[r.doc_id] for r in known]), lambda f, bad, good: surest(pool, f, bad, good, gone), 2, 20)
+    got = quality.fit(docs, labels, rounds=2, per_round=20)
+    assert got.fitted and want.fitted and len(gone) > 10
+    z = [v.logit(f) * s + o for v, f, (s, o) in zip((want.content, want.metadata), features(rows), want.calibrated, strict=True)]
+    plain = quality._sigmoid(z[0] * want.combined[0] + z[1] * want.combined[1] + want.combined[2])
+    scored = {r.doc_id: r for r in quality.score(docs, got).collect()}
+    assert all(abs(scored[r.doc_id].score - p) < 0.02 for r, p in zip(rows, plain, strict=True))
+
+
+def test_metadata_never_sees_the_text(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(docs, labels, rounds=1)
+    a, b = (sorted((r.doc_id, r.p_metadata) for r in quality.score(d, model).collect()) for d in (docs, docs.withColumn("text", F.reverse("text"))))
+    assert a == b
 
 
 def written(ws, rows, second=None, shards=8):
