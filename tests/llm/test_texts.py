@@ -580,7 +580,10 @@ def test_warc_files_round_trip(spark, tmp_path, monkeypatch):
     for name, data in (("a.warc", b"".join(large)), ("a.warc.gz", b"".join(gzip.compress(r) for r in large))):
         (tmp_path / name).write_bytes(data)
         got = list(warcfile.scan(f"file://{tmp_path}/{name}"))
-        assert [r for *_, r in got] == large and got[0][0] == 0 and [g[1] for g in got[:2]] == ["<r1>", "<r2>"]
+        assert [r for *_, r in got] == large and [g[0] for g in got[:3]] == [0, len(large[0]), len(large[0]) + len(large[1])] and [g[1] for g in got[:2]] == ["<r1>", "<r2>"]
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(large[0])[:-3])
+    with pytest.raises(ValueError):
+        list(warcfile.scan(f"file://{tmp_path}/cut.warc.gz"))
     for bad in (b"WARC/1.0\r\ncontent-length: 9\r\n\r\nabc", b"junk", plain_record(1, b"x") + b"junk that goes on\r\n\r\n"):
         with pytest.raises(ValueError):
             list(warcfile.split_records(iter([bad])))

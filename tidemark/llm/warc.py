@@ -1,6 +1,7 @@
 """Fixity audit of WARC replicas by Merkle trees over records and ordered offset ranges.
 
-A replica is a folder of WARC files, one for each shard; records, with their offsets, are read back from the files.
+A replica is a folder of WARC files, one for each shard, whose records are gzip members; records are read back from the files, with
+their offsets in the uncompressed stream.
 Leaves are SHA-256 digests of offset and record. Above them, nodes cover ranges of offsets within a shard,
 64 KB first and 16 times more at each level, then ranges of shards, until one root is left; a node's
 digest is that of its children's digests in order. Two replicas with one root are equal. Otherwise
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
-from .warcfile import open_folder, scan, write_file
+from .warcfile import member, open_folder, scan, write_file
 
 SHARDS, SHARD_BYTES, RANGE_BITS, STEP_BITS = 64, 256 << 20, 16, 4
 DATE = "2024-01-01T00:00:00Z"
@@ -71,7 +72,7 @@ def laid_out(records: DataFrame, id_col: str = "page_id", shards: int = SHARDS,
     return records.select(F.col(id_col).alias("_id"), F.col("record").cast("binary").alias("record"), digest.alias("digest"), shard.alias("shard")), n
 
 
-def write_replicas(ws: Workspace, rows: DataFrame, damage: Column | None = None) -> list[DataFrame]:
+def write_replicas(ws: Workspace, rows: DataFrame, shards: int = SHARDS, damage: Column | None = None) -> list[DataFrame]:
     """WARC files of a replica for `record` and, if given, of one for `damage` (null: lost); rows are (shard, _id, digest, record).
 
     Each task sorts its shards and streams every shard into one file a replica. File names are new for each attempt, and
@@ -80,7 +81,7 @@ def write_replicas(ws: Workspace, rows: DataFrame, damage: Column | None = None)
     folder = ws.path("warc")
     open_folder(folder, create=True)
     two = damage is not None
-    sort = rows.repartition("shard").sortWithinPartitions("shard", F.col("_id").asc_nulls_first(), "digest")
+    sort = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("_id").asc_nulls_first(), "digest")
     both = sort.select("shard", "record", (damage if two else F.lit(None)).cast("binary").alias("second"))
     made = ws.keep(both.mapInArrow(lambda it: _written(it, folder, two), "replica int, shard long, path string"), "manifest")
     return [made.where(f"replica = {k}").select("shard", "path") for k in range(1 + two)]
@@ -100,12 +101,13 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, second: bool) -> It
                 end()
                 shard, files = s, []
                 for k in range(1 + second):
-                    path = f"{folder}/{uuid.uuid4().hex}.warc"
+                    path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     files.append(write_file(path))
                     out.append((k, s, path))
+            packed = {r: member(r) for r in set(records) if r is not None}
             for f, r in zip(files, records, strict=False):
                 if r is not None:
-                    f.write(r)
+                    f.write(packed[r])
     end()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string()), strict=True)], names=["replica", "shard", "path"])
@@ -217,7 +219,7 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows, shards = laid_out(pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")))
     text = F.col("record").cast("string")
-    files = write_replicas(ws, rows, damage(text, F.col("_id")))
+    files = write_replicas(ws, rows, shards, damage(text, F.col("_id")))
     first = replica(ws, files[0], shards)
     found, _ = audit(ws, first, replica(ws, files[1], shards, first.header))
     found = found.where("status <> 'extra'").select(F.col("shard").alias("_s"), F.col("at").alias("_a"), "status")

@@ -28,7 +28,13 @@ def open_folder(path: str, create: bool = False):
 def write_file(path: str):
     """A buffered output stream."""
     store, inner = _store(path)
-    return store.open_output_stream(inner, buffer_size=CHUNK)
+    return store.open_output_stream(inner, compression=None, buffer_size=CHUNK)
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member."""
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
 
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -59,38 +65,28 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         at += stop
 
 
-def _members(chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each gzip member."""
-    at, unzip, out, seen = 0, zlib.decompressobj(31), [], 0
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of gzip members, one after the other."""
+    unzip, open_ = zlib.decompressobj(31), False
     for chunk in chunks:
         while chunk:
-            out.append(unzip.decompress(chunk))
-            if not unzip.eof:
-                seen += len(chunk)
-                break
-            seen += len(chunk) - len(unzip.unused_data)
-            yield at, b"".join(out)
-            at, chunk, unzip, out = seen, unzip.unused_data, zlib.decompressobj(31), []
-    if out:
-        raise ValueError(f"member at byte {at} is cut short")
+            open_ = True
+            if data := unzip.decompress(chunk):
+                yield data
+            chunk = b""
+            if unzip.eof:
+                chunk, unzip, open_ = unzip.unused_data, zlib.decompressobj(31), False
+    if open_:
+        raise ValueError("the last member is cut short")
 
 
 def scan(path: str) -> Iterator[tuple[int, str, str, bytes]]:
-    """Offset, record id, SHA-256 and bytes of each record of a file; in files named .gz each record is a member, whose offset it has."""
+    """Offset, record id, SHA-256 and bytes of each record of a file; files named .gz hold gzip members, offsets are those of the unpacked stream."""
     store, inner = _store(path)
+    at = 0
     with store.open_input_stream(inner, compression=None) as f:
         chunks = iter(lambda: f.read(CHUNK), b"")
-        if path.endswith(".gz"):
-            found = ((at, r) for at, member in _members(chunks) for r in split_records(iter([member])))
-        else:
-            found = _placed(split_records(chunks))
-        for at, record in found:
+        for record in split_records(_unpacked(chunks) if path.endswith(".gz") else chunks):
             name = _ID.search(record, 0, record.find(b"\r\n\r\n") + 2)
             yield at, name[1].decode("utf-8", "replace") if name else "", hashlib.sha256(record).hexdigest(), record
-
-
-def _placed(records: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
-    at = 0
-    for r in records:
-        yield at, r
-        at += len(r)
+            at += len(record)
