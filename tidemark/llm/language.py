@@ -286,14 +286,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
     rows = rows.where(~held_out(F.col("i"))).select(F.xxhash64(F.col("i").cast("string")).alias("h"), F.xxhash64("t").alias("g"), "t", "l")
-    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "g"))  # each task keeps the first rows of a language before they are dealt out
-    low = rows.select("l", "h", "g").withColumn("k", first).where(F.col("k") <= rows_per_language).groupBy("l").agg(F.max(F.struct("h", "g")).alias("most"))
-    low = {r.l: r.most for r in low.collect()}  # one row a language
-    if not low:
+    # hashes below a language's share let about four times the wanted rows through, so no task orders a language
+    many = [(r.l, min(1.0, 4 * rows_per_language / r.n) * 2.0**53) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()]
+    if not many:
         return model_of({})
-    spark = docs.sparkSession
-    bound = spark.createDataFrame([(k, m.h, m.g) for k, m in low.items()], "l2 string, h2 long, g2 long")
-    sample = rows.join(F.broadcast(bound), (F.col("l") == F.col("l2")) & ((F.col("h") < F.col("h2")) | ((F.col("h") == F.col("h2")) & (F.col("g") <= F.col("g2")))))
+    share = F.broadcast(docs.sparkSession.createDataFrame(many, "l3 string, most double"))  # one row a language
+    few = rows.select("l", "h", "g").join(share, (F.col("l") == F.col("l3")) & (F.shiftrightunsigned(F.col("h"), 11) < F.col("most"))).select("l", "h", "g")
+    order = F.struct((F.shiftrightunsigned("h", 11)).alias("top"), "h", "g")
+    first = F.row_number().over(Window.partitionBy("l").orderBy(order))
+    low = few.withColumn("k", first).where(F.col("k") <= rows_per_language).groupBy("l").agg(F.max(order).alias("most"))
+    low = {r.l: r.most for r in low.collect()}  # one row a language
+    bound = docs.sparkSession.createDataFrame([(k, (m.top, m.h, m.g)) for k, m in low.items()], "l2 string, last struct<top: long, h: long, g: long>")
+    sample = rows.join(F.broadcast(bound), (F.col("l") == F.col("l2")) & (order <= F.col("last")))
     tally = sample.select("l", "t").mapInArrow(_tallied, "language string, kind int, number int, count long")
     counts = {k: (np.zeros(BUCKETS, np.int64), np.zeros(len({s for _, s in SCRIPTS}) + 1, np.int64)) for k in low}
     for r in tally.groupBy("language", "kind", "number").agg(F.sum("count").alias("count")).collect():
