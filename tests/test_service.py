@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import service
-from tidemark.operators import evaluate
+from tidemark.operators import evaluate, guard, preview
 from tidemark.plans import demo
 from tidemark.streaming import tails
 from tidemark.tables import register, table
@@ -28,6 +28,57 @@ def test_preview_is_guarded_capped_and_audited(own):
     assert service.preview_query(own, p, "SELECT o_orderkey FROM orders", role="nobody").status == "blocked"
 
 
+@pytest.mark.parametrize(
+    "sql, passes",
+    [
+        ("TABLE customer", False),
+        ("SELECT o_orderkey FROM orders UNION ALL TABLE keys", True),
+        ("SELECT count(*) AS n FROM (TABLE customer UNION ALL TABLE customer)", False),
+        ("SELECT count(*) AS n FROM customer", True),
+        ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", True),
+        ("SELECT o_orderkey FROM orders WHERE 'x' IN (SELECT c_name FROM customer)", False),
+        ("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_name > 'a')", False),
+        ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = c.c_name)", False),
+        ("SELECT (SELECT max(c_name) FROM customer) AS m", False),
+        ("WITH c AS (TABLE customer) SELECT c_custkey FROM c", False),
+        ("WITH c AS (SELECT c_custkey FROM customer) SELECT * FROM c", True),
+        ("SELECT c_custkey FROM customer NATURAL JOIN names", False),
+        ("SELECT c_custkey FROM customer JOIN names USING (c_custkey)", True),
+        ("SELECT to_json(struct(*)) AS j FROM customer", False),
+        ("SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS h FROM orders", False),
+        ("SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS h FROM orders", False),
+        ("WITH c AS (SELECT reflect('java.lang.System', 'getProperty', 'x') AS h FROM orders) SELECT h FROM c", False),
+        ("SELECT o_orderkey FROM orders, secret, (WITH secret AS (SELECT 1 AS a) SELECT a FROM secret)", False),
+        ("SELECT name FROM people", False),
+        ("SELECT id FROM people", True),
+        ("TABLE people", False),
+        ("SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`", False),
+        ("SELECT id FROM range(3)", True),
+        ("SELECT * FROM sql_keywords()", False),
+        ("SELECT sum(o_totalprice) OVER (PARTITION BY o_custkey) AS s FROM orders", True),
+    ],
+)
+def test_guard_is_closed(own, tmp_path_factory, sql, passes):
+    if not own.catalog.tableExists("people"):
+        own.createDataFrame([(1, "n")], "id int, name string").write.mode("overwrite").option("path", str(tmp_path_factory.mktemp("people"))).saveAsTable("people")
+    own.sql("CREATE OR REPLACE TEMP VIEW names AS SELECT c_custkey, c_name FROM customer")
+    own.sql("CREATE OR REPLACE TEMP VIEW keys AS SELECT o_orderkey FROM orders")
+    own.sql("CREATE OR REPLACE TEMP VIEW secret AS SELECT 1 AS a")
+    r = guard.check(own, sql, ["orders", "customer", "names", "keys", "people"], ["customer.c_name", "names.c_name", "people.name"])
+    assert r.passed == passes, (r.checks, r.errors, r.columns)
+
+
+def test_parameters_never_become_sql(own):
+    sql = "SELECT c_custkey FROM customer WHERE c_mktsegment = :a OR c_mktsegment = :ab"
+    rows = lambda **args: preview.preview(own, sql, allowed=["customer"], blocked=[], limit=5000, cap=5000, args=args)
+    segment = own.table("customer").head().c_mktsegment
+    assert 0 < len(rows(a=segment, ab="x").rows) == len(rows(a="x", ab=segment).rows) < own.table("customer").count()
+    for value in ("\\' OR 1=1 -- ", "' OR '1'='1", '" OR 1=1', "x' UNION SELECT 1 --", "\\"):
+        got = rows(a=value, ab=value)
+        assert (got.status, got.rows) == ("ok", [])
+    assert rows(a=segment).status != "ok"  # a parameter without a value
+
+
 def test_answer_states(own):
     p = [demo.pack()]
     got = service.answer(own, p, demo.QUESTION, params={"start_date": "1995-01-01"}, run=True)

@@ -54,15 +54,18 @@ def timed_rows(spark: SparkSession, df: DataFrame, milliseconds: int) -> list[An
         spark.sparkContext.removeJobTag(tag)
 
 
-def preview(spark: SparkSession, sql: str, *, allowed: list[str], blocked: list[str], role: str = "analyst", limit: int = ROWS, cap: int = ROWS, milliseconds: int = MILLISECONDS) -> Preview:
-    """Check, run with a cap, and describe for the audit log. A blocked statement gives no row, and any failure an audit entry."""
-    report: GuardReport = check(spark, sql, allowed, blocked)
+def preview(spark: SparkSession, sql: str, *, allowed: list[str], blocked: list[str], role: str = "analyst", limit: int = ROWS, cap: int = ROWS, milliseconds: int = MILLISECONDS, args: dict[str, Any] | None = None) -> Preview:
+    """Check, run with a cap, and describe for the audit log. A blocked statement gives no row, and any failure an audit entry.
+
+    args are the values of named parameters (:name); Spark binds them as literals, so no value becomes SQL.
+    """
+    report: GuardReport = check(spark, sql, allowed, blocked, args)
     digest = spark.range(1).select(fingerprint(F.lit(sql))).head()[0]
     audit = {"id": str(uuid.uuid4()), "role": role, "sql_sha256": digest, "checks": report.checks, "tables": report.tables}
     if not report.passed:
         return Preview("blocked", errors=report.errors, audit=audit | {"status": "blocked", "row_count": 0})
     n = effective_limit(spark, sql, limit, cap)
-    df = spark.sql(sql.strip().rstrip(";"))
+    df = spark.sql(sql.strip().rstrip(";"), args=args or None)
     try:
         rows = timed_rows(spark, capped(df, n), milliseconds)
     except Exception as e:  # whatever ends a run is audited, without the statement

@@ -70,9 +70,9 @@ def validate_pack(spark: SparkSession, pack: Pack) -> list[dict[str, Any]]:
     return [r.asDict() for r in validate(spark, pack).orderBy("severity", "family", "id").collect()]
 
 
-def preview_query(spark: SparkSession, packs: list[Pack], sql: str, role: str = "analyst", limit: int = preview.ROWS) -> preview.Preview:
+def preview_query(spark: SparkSession, packs: list[Pack], sql: str, role: str = "analyst", limit: int = preview.ROWS, args: dict[str, Any] | None = None) -> preview.Preview:
     allowed, blocked, cap = limits(packs, role)
-    return preview.preview(spark, sql, allowed=allowed, blocked=blocked, role=role, limit=limit, cap=cap)
+    return preview.preview(spark, sql, allowed=allowed, blocked=blocked, role=role, limit=limit, cap=cap, args=args)
 
 
 def answer(spark: SparkSession, packs: list[Pack], question: str, role: str = "analyst", params: dict[str, Any] | None = None, run: bool = False) -> dict[str, Any]:
@@ -88,11 +88,7 @@ def answer(spark: SparkSession, packs: list[Pack], question: str, role: str = "a
         return view | {"state": "no_trusted_sql"}
     if not run:
         return view
-    sql = plan.sql
-    for k, v in (params or {}).items():
-        quoted = "'" + str(v).replace("'", "''") + "'"
-        sql = sql.replace(f":{k}", quoted)
-    got = preview_query(spark, packs, sql, role)
+    got = preview_query(spark, packs, plan.sql, role, args=params)
     state = "truncated" if got.truncated else "empty" if got.status == "ok" and not got.rows else got.status
     return view | {"rows": got.rows, "audit": got.audit, "state": state}
 
