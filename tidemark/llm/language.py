@@ -43,7 +43,7 @@ SCRIPTS = (
 )
 #: The training sample: so many rows of each language.
 ROWS_PER_LANGUAGE = 1500
-BUCKETS, SWITCH, SCRIPT_SHARE, BLOCK, PIECE = 1 << 16, 8.0, 0.01, 64, 1 << 20
+BUCKETS, SWITCH, SCRIPT_SHARE, BLOCK, PIECE = 1 << 16, 8.0, 0.01, 64, 1 << 19
 
 
 _SPACE = re.compile(r"\s")
@@ -249,15 +249,16 @@ def _scored(column: pa.Array, model: Model) -> _Scored:
     return _Scored(score, letters, start, end, np.concatenate([[0], np.cumsum(words_of)]))
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], model: Model, spans: bool) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (row, lang_pred, score and, if asked for, spans)."""
+def _labelled(batches: Iterator[pa.RecordBatch], model: Model, spans: bool, field: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(row, text), or rows whose text is a field of the struct, to (row, lang_pred, score and, if asked for, spans)."""
     n = len(model.languages)
     names = pa.array([*model.languages, "und"], pa.string())
     for batch in batches:
-        for a, b in text_parts(batch.column(1), PIECE):
+        texts = batch.column(1) if field is None else pc.struct_field(batch.column(0), [field]).cast(pa.string())
+        for a, b in text_parts(texts, PIECE):
             rows = b - a
             if n:
-                t = _scored(batch.column(1).slice(a, rows), model)
+                t = _scored(texts.slice(a, rows), model)
                 label = viterbi(t.score, t.offsets)
                 doc = np.repeat(np.arange(rows), np.diff(t.offsets))
                 share = np.bincount(doc * n + label, t.letters, rows * n).reshape(rows, n)
@@ -313,9 +314,10 @@ def label_rows(docs: DataFrame, model: Model, text_col: str = "text", spans: boo
     """_row (all columns of docs as a struct), lang_pred, score and, if asked for, spans (start, end, lang) by character of the lower-cased text. Nothing is shuffled."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages x 4 bytes: 1 MB for four languages
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    field = docs.columns.index(text_col)
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
-    return rows.mapInArrow(lambda it: _labelled(it, shared.value, spans), schema)
+    return rows.mapInArrow(lambda it: _labelled(it, shared.value, spans, field), schema)
 
 
 def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
