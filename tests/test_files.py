@@ -89,6 +89,37 @@ def test_jdbc_round_trip_and_gate(spark, tmp_path):
         ScanConfig(max_tables=0)
 
 
+def test_database_scan_profiles_in_the_database(spark, tmp_path):
+    from tidemark.operators.scan import scan_database
+    from tidemark.sources.database import frequencies_sql, quoted
+
+    url = f"jdbc:derby:{tmp_path}/scan;create=true"
+    rows = [(i, "paid" if i % 3 else "open", f"p{i}@example.org", float(i), None) for i in range(40)]
+    load_table(spark.createDataFrame(rows, "id int, status string, email string, amount double, note string"), url, "fixture_orders")
+    load_table(spark.createDataFrame([], "a string"), url, "fixture_empty")
+    found = scan_database(spark, url, ScanConfig(tables=("FIXTURE_ORDERS", "FIXTURE_EMPTY"), max_columns=5))
+    assert [r.table_name for r in found["tables"].collect()] == ["FIXTURE_EMPTY", "FIXTURE_ORDERS"] and found["columns"].count() == 6
+    by = {(r.table.split(".")[1], r.column.lower()): r for r in found["profiles"].collect()}
+    status, email, amount, note = (by["FIXTURE_ORDERS", c] for c in ("status", "email", "amount", "note"))
+    assert [(v.value, v["count"]) for v in status.top_values] == [("paid", 26), ("open", 14)] and status.row_count == 40
+    assert email.is_pii and email.top_values is None and amount.type_guess == "number" and amount.cardinality == 21 and amount.top_values is None
+    assert (note.null_count, note.null_ratio, note.type_guess) == (40, 1.0, "unknown") and by["FIXTURE_EMPTY", "a"].row_count == 0
+    assert {(r.table_name, r.provenance, r.coverage) for r in found["gaps"].collect()} == {("FIXTURE_EMPTY", "none", 0.0), ("FIXTURE_ORDERS", "none", 0.0)}
+    assert quoted("mysql", "a`b", "c") == "`a``b`.`c`" and quoted("postgresql", 'x"; DROP') == '"x""; DROP"'
+    assert frequencies_sql("postgresql", "s", "t", "c", 20)[1].endswith("LIMIT 21")
+
+
+def test_connection_options_reach_every_driver(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/own;create=true"
+    load_table(spark.createDataFrame([(1,)], "v int"), url, "fixture_x", user="u1", password="p")
+    assert query(spark, url, "SELECT CURRENT SCHEMA AS s FROM SYSIBM.SYSDUMMY1", user="u1", password="p").head()[0] == "U1"
+
+
+@pytest.mark.parametrize("url", ["jdbc:postgresql://localhost:x@remote/db", "jdbc:postgresql://localhost@remote/db", "jdbc:mysql://remote/localhost", "jdbc:postgresql://localhost.evil.org/db"])
+def test_only_local_hosts_are_loaded(url):
+    assert not may_load(url, "fixture_t") and may_load("jdbc:postgresql://localhost:5432/db", "fixture_t") and may_load("jdbc:mysql://127.0.0.1/db?x=1", "fixture_t")
+
+
 def test_logs_redact_refuse_and_read(spark, tmp_path):
     logs.append(spark, str(tmp_path), "sales", "audit", {"note": "mail a.b@example.org or +49 170 1234567"})
     row = logs.read(spark, str(tmp_path), "audit", "sales").head()

@@ -91,7 +91,38 @@ def test_profile_and_draft_keep_personal_values_out(spark):
 
 
 def test_profile_of_an_empty_table(spark):
-    assert profile.profile(spark.createDataFrame([], "a string"), "t").count() == 0
+    (r,) = profile.profile(spark.createDataFrame([], "a string"), "t").collect()
+    assert (r.column, r.row_count, r.null_count, r.null_ratio, r.cardinality, r.type_guess, r.top_values, r.join_key_candidate) == ("a", 0, 0, 0.0, 0, "unknown", None, False)
+
+
+def test_pack_store_lists_loads_and_skips(spark, tmp_path):
+    from tidemark.operators import store
+
+    pack = demo.pack()
+    path = store.put(str(tmp_path / "a" / "b"), pack)
+    packs.save(pack, str(tmp_path / "z.json"))
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "odd.json").write_text('{"id": "odd", "nonsense": 1}')
+    (tmp_path / "list.json").write_text("[1]")
+    (tmp_path / "notes.txt").write_text("id: x")
+    found = store.listing(str(tmp_path))
+    assert [(e.path.rsplit("/", 1)[1], e.id) for e in found if e.id] == [(path.rsplit("/", 1)[1], pack.id), ("z.json", pack.id)]
+    assert {e.path.rsplit("/", 1)[1] for e in found if e.error} == {"broken.json", "odd.json", "list.json"}
+    assert store.by_id(str(tmp_path), pack.id).to_dict() == pack.to_dict() and len(store.all_packs(str(tmp_path))) == 1
+    for missing in ("odd", "none"):
+        with pytest.raises(packs.PackError):
+            store.by_id(str(tmp_path), missing)
+    with pytest.raises(packs.PackError):
+        store.put(str(tmp_path / "a" / "b"), pack)
+    assert store.frame(spark, str(tmp_path)).where("error is not null").count() == 3
+
+
+def test_yaml_packs_keep_their_keys_in_order(tmp_path):
+    pytest.importorskip("yaml")
+    pack = demo.pack()
+    packs.save(pack, str(tmp_path / "p.yaml"))
+    again = packs.load(str(tmp_path / "p.yaml"))
+    assert again.to_dict() == pack.to_dict() and list(again.to_dict()) == list(pack.to_dict())
 
 
 def test_phone_shapes(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import day
 
+# Patterns of e-mail addresses and phone numbers.
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 EMAIL_WHOLE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE = r"(?<!\d)(?:\+?\d[\d\-\s().]{7,}\d)(?!\d)"

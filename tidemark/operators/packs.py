@@ -107,8 +107,15 @@ def load(path: str) -> Pack:
 
 
 def save(pack: Pack, path: str) -> None:
-    """Write a pack as JSON, keys in order."""
+    """Write a pack, keys in order: as YAML where the path says so and a YAML writer is installed, else as JSON."""
     with open(path, "w", encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise PackError("writing YAML packs needs PyYAML; JSON packs don't") from e
+            yaml.safe_dump(pack.to_dict(), f, allow_unicode=True, sort_keys=False)
+            return
         json.dump(pack.to_dict(), f, ensure_ascii=False, indent=1)
 
 

@@ -56,9 +56,17 @@ def profile(df: DataFrame, table: str, columns: Sequence[str] | None = None, low
     """One row a column: counts, ratio, cardinality, type, extrema, lengths, PII verdict, safe top values, join-key candidacy.
 
     Personal data by name is judged for every column, whatever its cardinality. By value, a column is
-    personal if at least half of all distinct present values, weighted by frequency, match.
+    personal if at least half of all distinct present values, weighted by frequency, match. Columns of an
+    empty table have a row too: no value, ratio 0, type unknown.
     """
-    counts = value_counts(df, columns)
+    return profile_counts(value_counts(df, columns), table, list(columns or df.columns), low_cardinality)
+
+
+def profile_counts(counts: DataFrame, table: str, columns: Sequence[str], low_cardinality: int = LOW_CARDINALITY) -> DataFrame:
+    """profile() from (column, value, n) frequencies, wherever they were counted."""
+    names = counts.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    empty = names.select("column", F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n"))
+    counts = counts.select("column", "value", F.col("n").cast("long").alias("n")).unionByName(empty)
     v = F.col("value")
     here = v.isNotNull()
     share = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))) / F.sum(F.when(here, F.col("n"))), F.lit(0.0)) >= 0.5

@@ -38,10 +38,10 @@ def join_semi(spark, sf):
     return c.join(o.where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@B.add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@B.add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def join_anti(spark, sf):
     c, o = _t(spark, sf, "customer", "orders")
-    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return c.join(o.where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @B.add("SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -126,7 +126,7 @@ def case_filter(spark, sf):
     return p.groupBy(kind.alias("size_class")).agg(F.count("*").alias("n"))
 
 
-_CORRELATED = "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(p2.p_retailprice) FROM part p2 WHERE p2.p_brand = p.p_brand) + 100"
+_CORRELATED = "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(p2.p_retailprice) FROM part p2 WHERE p2.p_brand = p.p_brand) + 1"
 _CTE = "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey) SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n FROM big JOIN customer ON c_custkey = o_custkey GROUP BY 1"
 _RECURSIVE = "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t"
 
@@ -162,10 +162,10 @@ def set_intersect(spark, sf):
     return o.select(F.col("o_custkey").alias("k")).intersect(c.where("c_acctbal > 0").select("c_custkey"))
 
 
-@B.add("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@B.add("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def set_except(spark, sf):
     c, o = _t(spark, sf, "customer", "orders")
-    return c.select(F.col("c_custkey").alias("k")).subtract(o.select("o_custkey"))
+    return c.select(F.col("c_custkey").alias("k")).subtract(o.where("o_totalprice > 200000").select("o_custkey"))
 
 
 @B.add("SELECT p_partkey, upper(p_name) AS up, substr(p_name, 2, 5) AS mid, CAST(strpos(p_name, 'a') AS INT) AS at, replace(p_name, ' ', '_') AS under, trim('  ' || p_brand || ' ') AS trimmed, CAST(length(p_type) AS INT) AS n, left(p_type, 3) AS l3, reverse(p_brand) AS rev, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, concat_ws('-', p_brand, p_type) AS joined, starts_with(p_brand, 'Brand#1') AS first, regexp_extract(p_brand, '([0-9]+)', 1) AS digits FROM part")

@@ -1,9 +1,10 @@
-"""Databases through JDBC: catalog listings, bounded samples, pushed-down profiles, and loads behind a safety gate."""
+"""Databases through JDBC: catalog listings, bounded samples, frequencies counted in the database, and loads behind a safety gate."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,14 +32,19 @@ class ScanConfig:
 CATALOGS = {
     "postgresql": {
         "schemas": "SELECT schema_name FROM information_schema.schemata WHERE schema_name NOT IN ('pg_catalog', 'information_schema')",
-        "tables": "SELECT table_schema, table_name, table_type AS kind, obj_description((quote_ident(table_schema) || '.' || quote_ident(table_name))::regclass) AS comment FROM information_schema.tables WHERE table_schema NOT IN ('pg_catalog', 'information_schema') UNION ALL SELECT schemaname, matviewname, 'MATERIALIZED VIEW', NULL FROM pg_matviews",
-        "columns": "SELECT table_schema, table_name, column_name, data_type, is_nullable, ordinal_position FROM information_schema.columns WHERE table_schema NOT IN ('pg_catalog', 'information_schema')",
+        "tables": "SELECT table_schema, table_name, table_type AS kind, obj_description((quote_ident(table_schema) || '.' || quote_ident(table_name))::regclass) AS comment FROM information_schema.tables WHERE table_schema NOT IN ('pg_catalog', 'information_schema') UNION ALL SELECT schemaname, matviewname, 'MATERIALIZED VIEW', obj_description((quote_ident(schemaname) || '.' || quote_ident(matviewname))::regclass) FROM pg_matviews",
+        "columns": "SELECT table_schema, table_name, column_name, data_type, is_nullable, ordinal_position, col_description((quote_ident(table_schema) || '.' || quote_ident(table_name))::regclass, ordinal_position) AS comment FROM information_schema.columns WHERE table_schema NOT IN ('pg_catalog', 'information_schema')",
     },
     "mysql": {
         "schemas": "SELECT schema_name FROM information_schema.schemata WHERE schema_name NOT IN ('mysql', 'sys', 'performance_schema', 'information_schema')",
         "tables": "SELECT table_schema, table_name, table_type AS kind, table_comment AS comment FROM information_schema.tables WHERE table_schema NOT IN ('mysql', 'sys', 'performance_schema', 'information_schema')",
         "columns": "SELECT table_schema, table_name, column_name, column_type AS data_type, is_nullable, ordinal_position, column_comment AS comment FROM information_schema.columns WHERE table_schema NOT IN ('mysql', 'sys', 'performance_schema', 'information_schema')",
     },
+    "derby": {
+        "schemas": "SELECT SCHEMANAME AS schema_name FROM SYS.SYSSCHEMAS WHERE SCHEMANAME NOT LIKE 'SYS%' AND SCHEMANAME NOT IN ('NULLID', 'SQLJ')",
+        "tables": "SELECT s.SCHEMANAME AS table_schema, t.TABLENAME AS table_name, t.TABLETYPE AS kind, CAST(NULL AS VARCHAR(1)) AS comment FROM SYS.SYSTABLES t JOIN SYS.SYSSCHEMAS s ON t.SCHEMAID = s.SCHEMAID WHERE t.TABLETYPE IN ('T', 'V')",
+        "columns": "SELECT s.SCHEMANAME AS table_schema, t.TABLENAME AS table_name, c.COLUMNNAME AS column_name, CAST(NULL AS VARCHAR(1)) AS data_type, CAST(NULL AS VARCHAR(1)) AS is_nullable, c.COLUMNNUMBER AS ordinal_position, CAST(NULL AS VARCHAR(1)) AS comment FROM SYS.SYSCOLUMNS c JOIN SYS.SYSTABLES t ON c.REFERENCEID = t.TABLEID JOIN SYS.SYSSCHEMAS s ON t.SCHEMAID = s.SCHEMAID WHERE t.TABLETYPE IN ('T', 'V')",
+    },
 }
 DRIVERS = {"postgresql": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "derby": "org.apache.derby.jdbc.EmbeddedDriver"}
 
@@ -54,7 +60,7 @@ def query(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:
     """A query that the database runs; a missing driver is an error of its own, nothing is tried instead."""
     kind = kind_of(url)
     reader = spark.read.format("jdbc").option("url", url).option("query", sql)
-    for k, v in ({"driver": DRIVERS[kind]} if kind in DRIVERS else {} | options).items():
+    for k, v in (({"driver": DRIVERS[kind]} if kind in DRIVERS else {}) | options).items():
         reader = reader.option(k, v)
     try:
         return reader.load()
@@ -64,12 +70,38 @@ def query(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:
         raise
 
 
-def catalog(spark: SparkSession, url: str, what: str) -> DataFrame:
-    """schemas, tables or columns of a database."""
+def catalog(spark: SparkSession, url: str, what: str, **options: str) -> DataFrame:
+    """schemas, tables or columns of a database, column names in lower case."""
     kind = kind_of(url)
     if kind not in CATALOGS:
         raise UnsupportedConnector(f"no catalog query for {kind}")
-    return query(spark, url, CATALOGS[kind][what])
+    found = query(spark, url, CATALOGS[kind][what], **options)
+    return found.toDF(*(c.lower() for c in found.columns))
+
+
+def quoted(kind: str, *names: str) -> str:
+    """A qualified identifier in a database's quotes, which are doubled inside."""
+    q = "`" if kind == "mysql" else '"'
+    return ".".join(q + n.replace(q, q * 2) + q for n in names)
+
+
+def frequencies_sql(kind: str, schema: str, table: str, column: str, threshold: int, is_text: bool = True) -> tuple[str, str]:
+    """What the database is asked for a column's profile: rows and present values; and the threshold + 1 most frequent values."""
+    t, c = quoted(kind, schema, table), quoted(kind, column)
+    kinds = {"mysql": "CHAR", "derby": "VARCHAR(4000)"}
+    text = f"CAST({c} AS {kinds.get(kind, 'TEXT')})" if is_text or kind != "derby" else c  # Derby casts no floating point number to text
+    end = f"FETCH FIRST {threshold + 1} ROWS ONLY" if kind == "derby" else f"LIMIT {threshold + 1}"
+    grouped = f"SELECT v AS value_text, COUNT(*) AS n_rows FROM (SELECT {text} AS v FROM {t} WHERE {c} IS NOT NULL) x GROUP BY v ORDER BY n_rows DESC, value_text {end}"
+    return f"SELECT COUNT(*) AS n_rows, COUNT({c}) AS n_present FROM {t}", grouped
+
+
+def frequencies(spark: SparkSession, url: str, schema: str, table: str, column: str, threshold: int, **options: str) -> tuple[int, int, list[tuple[str, int]]]:
+    """Rows, present values and at most threshold + 1 (value, count) pairs of a column; nothing else leaves the database."""
+    kind = kind_of(url)
+    is_text = kind != "derby" or query(spark, url, f"SELECT {quoted(kind, column)} FROM {quoted(kind, schema, table)}", **options).dtypes[0][1] == "string"
+    totals, grouped = frequencies_sql(kind, schema, table, column, threshold, is_text)
+    rows, present = query(spark, url, totals, **options).head()
+    return int(rows), int(present), [(str(r[0]), int(r[1])) for r in query(spark, url, grouped, **options).collect()]
 
 
 def select_tables(tables: DataFrame, config: ScanConfig) -> DataFrame:
@@ -97,12 +129,13 @@ def sample_rows(df: DataFrame, columns: Iterable[str], asked: int, config: ScanC
 
 def may_load(url: str, table: str, allowed_hosts: tuple[str, ...] = ("localhost", "127.0.0.1"), prefix: str = "fixture_") -> bool:
     """Fixtures are only loaded to this machine and to tables named as fixtures."""
-    host = url.split("//")[1].split("/")[0].split(":")[0].split("@")[-1] if "//" in url else "localhost" if kind_of(url) == "derby" else ""
-    return host in allowed_hosts and table.lower().startswith(prefix)
+    place = urlsplit(url.removeprefix("jdbc:").split(";")[0])
+    here = place.hostname in allowed_hosts and "@" not in place.netloc if "//" in url else kind_of(url) == "derby"
+    return here and table.lower().startswith(prefix)
 
 
-def load_table(df: DataFrame, url: str, table: str, mode: str = "errorifexists") -> None:
+def load_table(df: DataFrame, url: str, table: str, mode: str = "errorifexists", **options: str) -> None:
     if not may_load(url, table):
         raise PermissionError(f"{table}: fixtures go to tables named fixture_* of a local database")
     kind = kind_of(url)
-    df.write.format("jdbc").option("url", url).option("dbtable", table).option("driver", DRIVERS[kind]).mode(mode).save()
+    df.write.format("jdbc").options(**({"url": url, "dbtable": table, "driver": DRIVERS[kind]} | options)).mode(mode).save()
