@@ -134,3 +134,15 @@ def test_evaluation(spark, sf):
     g = evaluate.golden(spark, [demo.pack()], [{"id": "a", "question": demo.QUESTION, "role": "analyst", "expected": ["metric.net_revenue"]}, {"id": "b", "question": "weather", "expected": ["metric.net_revenue"]}])
     assert [r.status for r in g.orderBy("case_id").collect()] == ["passed", "failed"]
     assert evaluate.summary(g).head().passed == 1
+
+
+def test_closest_cards_stand_in_where_nothing_is_named():
+    card = lambda i, term, definition: {"id": i, "term": term, "aliases": [], "definition": definition}
+    doc = {"id": "p", "business_terms": [card(f"term.{k}", f"named{k}", "loyal buyers" if k < 6 else "others") for k in range(8)], "metrics": [{"id": "metric.m", "label": "label", "name": "n", "description": "loyal ones", "formula_sql": "1", "required_tables": []}]}
+    p = packs.parse(doc)
+    assert planner.closest_cards([p], "loyal") == [*(("business_term", f"term.{k}") for k in range(4))]
+    assert planner.closest_cards([p], "loyal buyers", 9)[:6] == [*(("business_term", f"term.{k}") for k in range(6))] and planner.closest_cards([p], "loyal buyers", 9)[6] == ("metric", "metric.m")
+    assert planner.closest_cards([p], "고객") == [] == planner.closest_cards([p], "") == planner.closest_cards([p], "loyal", 0)
+    got = planner.plan([p], "which are loyal", fallback=True)
+    assert got.terms == [f"term.{k}" for k in range(4)] and got.sql is None and "closest cards" in got.warnings[0]
+    assert planner.plan([p], "which are loyal").terms == [] and planner.plan([p], "named7 loyal", fallback=True).terms == ["term.7"]

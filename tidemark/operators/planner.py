@@ -172,13 +172,33 @@ def choose_verified(packs: Iterable[Pack], question: str, terms: set[str], metri
     return None
 
 
-def plan(packs: Iterable[Pack], question: str, role: str | None = None) -> Plan:
-    """Terms, metrics, tables a role may read, join recipes between them, filters, and trusted SQL or none."""
+def closest_cards(packs: Iterable[Pack], question: str, k: int = 4) -> list[tuple[str, str]]:
+    """(type, id) of the k terms and metrics whose texts share most with a question, by the rule of rank.lexical_score(); ties by type and id."""
+    q = normal(question)
+    words = q.split()
+    scored = []
+    for p in packs:
+        for family, kind, fields in (("business_terms", "business_term", ("id", "term", "aliases", "definition")), ("metrics", "metric", ("id", "label", "name", "description"))):
+            for c in p.cards.get(family, []):
+                text = normal(" ".join(" ".join(v) if isinstance(v, list) else v for v in map(c.get, fields) if v))
+                hits = [w for w in words if w in text]
+                if q and (q in text or any(w not in GENERIC for w in hits)):
+                    scored.append((-(sum(3 + len(w) for w in hits) + (10 + len(q)) * (q in text)), kind, c["id"]))
+    return [(kind, i) for _, kind, i in sorted(set(scored))[: max(k, 0)]]
+
+
+def plan(packs: Iterable[Pack], question: str, role: str | None = None, fallback: bool = False) -> Plan:
+    """Terms, metrics, tables a role may read, join recipes between them, filters, and trusted SQL or none.
+
+    fallback: where the question names no term and no metric, the four closest cards stand in, with a warning; no SQL is drawn from them alone.
+    """
     packs = list(packs)
     seen = understand(packs, question)
     names = {normal(m.label) for m in seen.metrics}
     terms = [m.card_id for m in seen.terms if normal(m.label) not in names]  # a term that repeats a metric's name is the metric
     metrics = [m.card_id for m in seen.metrics]
+    near = closest_cards(packs, question) if fallback and not terms and not metrics else []
+    terms, metrics = terms + [i for kind, i in near if kind == "business_term"], metrics + [i for kind, i in near if kind == "metric"]
     by_id = {c["id"]: c for p in packs for f in ("business_terms", "metrics") for c in p.cards.get(f, [])}
     tables = sorted({t for i in terms for t in by_id[i].get("related_tables") or []} | {t for i in metrics for t in by_id[i].get("required_tables") or []})
     policies = [c for p in packs for c in p.cards.get("policies", []) if role is None or role in (c.get("roles") or [])]
@@ -191,7 +211,9 @@ def plan(packs: Iterable[Pack], question: str, role: str | None = None) -> Plan:
     joins = [j["id"] for p in packs for j in p.cards.get("join_recipes", []) if j["left_table"] in tables and j["right_table"] in tables]
     filters = list(dict.fromkeys([by_id[i]["sql_condition"] for i in terms if by_id[i].get("sql_condition")] + [f for i in metrics for f in by_id[i].get("default_filters") or []]))
     verified = choose_verified(packs, question, set(terms), set(metrics))
-    if not terms and not metrics:
+    if near:
+        warnings.append("no term or metric named; closest cards taken")
+    elif not terms and not metrics:
         warnings.append("no term or metric matched")
     warnings += [f"draft card: {i}" for i in (*terms, *metrics) if by_id[i].get("status") == "draft"]
     confidence = 0.95 if verified else 0.65 if terms or metrics else 0.0

@@ -57,7 +57,7 @@ def resolve_business_terms(packs: list[Pack], terms: list[str]) -> dict[str, Any
 
 
 def plan_data_query(packs: list[Pack], question: str, role: str | None = None) -> dict[str, Any]:
-    return planner.plan(packs, question, role).to_dict()
+    return planner.plan(packs, question, role, fallback=True).to_dict()
 
 
 def validate_sql(spark: SparkSession, packs: list[Pack], sql: str, role: str | None = None) -> dict[str, Any]:
