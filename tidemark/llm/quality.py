@@ -32,7 +32,7 @@ from .words import U, mix, raw, text_parts, words
 
 MAX_LABELLED, ROUNDS, PER_ROUND, SURE = 6000, 3, 600, 0.9
 RUNS, HASHED, LENGTHS = 512, 64, 24
-PART = 2 << 20
+PART = 1 << 20
 _META = ("source", "lang", "n_chars")
 
 
