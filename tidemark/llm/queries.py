@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import OP11_SQL, op11_conversation_repair
 from .decontaminate import op5_string_tiling
 from .language import op4_language
 from .lines import OP10_SQL, op10_line_chunks
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_longest_factors": op8_longest_factors,
     "op9_sstable": op9_sstable,
     "op10_line_chunks": op10_line_chunks,
+    "op11_conversation_repair": op11_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op2_merkle_fixity": OP2_SQL, "op3_mixing": OP3_SQL, "op10_line_chunks": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_merkle_fixity": OP2_SQL, "op3_mixing": OP3_SQL, "op10_line_chunks": OP10_SQL, "op11_conversation_repair": OP11_SQL}
