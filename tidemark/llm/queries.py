@@ -13,6 +13,7 @@ from .sstable import op9_sstable
 from .substrings import op8_longest_factors
 from .vectors import op7_pstable
 from .warc import OP2_SQL, op2_merkle_fixity
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_cotraining": op1_cotraining,
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_sstable": op9_sstable,
     "op10_line_chunks": op10_line_chunks,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
 }
 ORACLES: dict[str, str] = {"op2_merkle_fixity": OP2_SQL, "op3_mixing": OP3_SQL, "op10_line_chunks": OP10_SQL, "op11_conversation_repair": OP11_SQL}
