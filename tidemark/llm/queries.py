@@ -8,6 +8,7 @@ from .language import op4_language
 from .lines import OP10_SQL, op10_line_chunks
 from .minhash import op6_dartminhash
 from .mixing import OP3_SQL, op3_mixing
+from .personal import op13_crf
 from .quality import op1_cotraining
 from .sstable import op9_sstable
 from .substrings import op8_longest_factors
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_line_chunks": op10_line_chunks,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_whitening": op12_whitening,
+    "op13_crf": op13_crf,
 }
 ORACLES: dict[str, str] = {"op2_merkle_fixity": OP2_SQL, "op3_mixing": OP3_SQL, "op10_line_chunks": OP10_SQL, "op11_conversation_repair": OP11_SQL}
