@@ -68,6 +68,28 @@ def test_guard_is_closed(own, tmp_path_factory, sql, passes):
     assert r.passed == passes, (r.checks, r.errors, r.columns)
 
 
+@pytest.mark.parametrize("entry", ["c_name", "C_NAME", "customer.c_name", "customer.*", "main.customer.c_name", "`customer`.`c_name`", " customer . c_name ", "*", "", ".", "customer.", "customer.nme", None])
+def test_every_spelling_of_a_blocked_column_stops(own, entry):
+    run = lambda sql: guard.check(own, sql, ["customer", "orders"], [entry])
+    for sql in ("SELECT c_name FROM customer", "SELECT x.c_name AS n FROM customer x", "SELECT c_custkey FROM customer WHERE c_name = 'a'", "SELECT * FROM customer"):
+        r = run(sql)
+        assert r.checks["blocked_columns"] == "fail" and not r.passed, (sql, entry)
+    if entry and "c_name" in entry.lower():
+        assert run("SELECT c_custkey, count(*) AS n FROM customer GROUP BY 1").passed
+        assert run("SELECT o_orderkey FROM orders").passed
+    if entry == "customer.*":
+        assert run("SELECT o_orderkey FROM orders").passed and not run("SELECT c_custkey FROM customer").passed
+
+
+def test_recursive_statements(own):
+    chain = "WITH RECURSIVE c(k, n) AS (SELECT min(o_orderkey), 1 FROM orders UNION ALL SELECT k + 1, n + 1 FROM c WHERE n < 4) SELECT k, n FROM c"
+    assert guard.check(own, chain, ["orders"], []).passed
+    assert not guard.check(own, chain, ["orders"], ["o_orderkey"]).passed
+    assert not guard.check(own, chain, ["customer"], []).passed
+    hidden = "WITH RECURSIVE c(k, n) AS (SELECT c_name, 1 FROM customer UNION ALL SELECT k, n + 1 FROM c WHERE n < 2) SELECT count(*) AS n FROM c"
+    assert not guard.check(own, hidden, ["customer"], ["customer.c_name"]).passed
+
+
 def test_parameters_never_become_sql(own):
     sql = "SELECT c_custkey FROM customer WHERE c_mktsegment = :a OR c_mktsegment = :ab"
     rows = lambda **args: preview.preview(own, sql, allowed=["customer"], blocked=[], limit=5000, cap=5000, args=args)

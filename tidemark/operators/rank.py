@@ -101,24 +101,12 @@ def vector_topk(df: DataFrame, vector: str, query: Sequence[float], k: int, *tie
     return top(df.withColumn("score", measure(F.col(vector), q)), k, *ties)
 
 
-def bm25(df: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents that hold any query word. Only query words are counted; statistics are over all documents."""
-    terms = sorted({t for t in _normal(query).split() if t})
-    tokens = F.split(norm(F.coalesce(F.col(text), F.lit(""))), r"\s+")
-    full = df.select(key, F.filter(tokens, lambda t: t != "").alias("t"))
+def bm25(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(key, score) of texts that hold any query word, to six decimals; statistics are over all texts."""
+    from .retrieval import ranked
 
-    def frequency(word: str) -> Column:  # a lambda's second parameter would be the element's place
-        return F.size(F.filter("t", lambda x: x == word))
-
-    counted = full.select(key, F.size("t").alias("dl"), *[frequency(w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
-    both = counted.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # stats: one row
-
-    def part(i: int) -> Column:
-        tf, idf = F.col(f"tf{i}"), F.ln(1 + (F.col("N") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-
-    return both.select(key, sum((part(i) for i in range(1, len(terms))), part(0)).alias("score"))
+    one = df.sparkSession.createDataFrame([(0, query)], "_question int, _text string")
+    return ranked(df, one, None, id_col=key, text_col=text, question_id="_question", question_text="_text").select(key, "score")
 
 
 def fused(left: DataFrame, right: DataFrame, key: str, k: int, constant: int = 60) -> DataFrame:

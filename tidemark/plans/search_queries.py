@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rank as R
 from ..operators.cards import filtered
+from ..operators.containment import containing
 from ..tables import table
 from .kit import Book, values, values_sql
 
@@ -83,8 +84,7 @@ SELECT doc_id, score FROM (SELECT doc_id, floor(({parts}) * 1000000 + 0.5) / 100
 
 @B.add(_bm25_sql())
 def bm25_topk(spark, sf):
-    s = R.bm25(table(spark, sf, "documents"), "doc_id", "text", _BM).withColumn("score", F.floor(F.col("score") * 1_000_000 + F.lit(0.5)) / F.lit(1_000_000.0))
-    return R.top(s, 20, "doc_id")
+    return R.top(R.bm25(table(spark, sf, "documents"), "doc_id", "text", _BM), 20, "doc_id")
 
 
 @B.add(f"""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM ({_lexical_sql()}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 30)),
@@ -118,25 +118,8 @@ def hash_embedding(spark, sf):
 
 @B.add("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(translate(lower(d.text), '_.-', '   '), translate(lower(b.text), '_.-', '   '))")
 def containment_join(spark, sf):
-    """Which texts contain which items: items' rarest word leads to the few texts that can."""
-    from ..functions.text import norm
-
-    words = lambda c: F.filter(F.split(norm(c), r"\s+"), lambda w: F.length(w) > 0)
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    # inner words are whole words of any text that contains the item
-    inner = items.select("item_id", "item", F.array_distinct(F.slice(words(F.col("item")), 2, F.greatest(F.size(words(F.col("item"))) - 2, F.lit(0)))).alias("w"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    sought = inner.select(F.explode("w").alias("word")).distinct()
-    held = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(sought, "word", "left_semi")
-    counts = held.groupBy("word").agg(F.count("*").alias("n"))
-    each = inner.select("item_id", F.explode("w").alias("word")).join(counts, "word", "left")
-    rarest = each.groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("m")).select("item_id", F.col("m.word").alias("word"))
-    pairs = held.join(rarest, "word").select("doc_id", "item_id")
-    short = items.join(inner.where(F.size("w") > 0).select("item_id"), "item_id", "left_anti").select("item_id", "item")
-    long = pairs.join(items, "item_id").join(docs, "doc_id").where(norm(F.col("text")).contains(norm(F.col("item")))).select("item_id", "doc_id")
-    # items of two words or fewer have no inner word; they are the query set, held against all texts
-    rest = docs.join(short, norm(F.col("text")).contains(norm(F.col("item")))).select("item_id", "doc_id")
-    return long.unionByName(rest)
+    """Which texts contain which items, by one pass of an automaton over each text."""
+    return containing(table(spark, sf, "documents"), table(spark, sf, "benchmark"), id_col="doc_id", text_col="text", item_id="item_id", item_text="text").select("item_id", "doc_id")
 
 
 QUERIES, ORACLES = B.queries, B.oracles
