@@ -1,88 +1,16 @@
-"""Tables written to the cluster's shared folder, which cut lineage and outlive executors."""
+"""Tables written to the cluster's shared folder, and hashes that tell rows apart."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace, qualified, shared_root, ship
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset, as in local tests, a folder of this machine is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove, spark, root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended; leftovers of a shared folder are harmless
-        return
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once per application, so that Python workers can import them."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).parents[1]
-    where = f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark.zip"
-    with zipfile.ZipFile(where, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    spark.sparkContext.addPyFile(where)
-    _SHIPPED.add(app)
+__all__ = ["Workspace", "qualified", "row_key", "shared_root", "ship"]
 
 
 def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     """128 bits of hash of a row's id and text, never null: ids may be repeated or null."""
     parts = (doc_id.isNull(), doc_id, text.isNull(), text)
     return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
-
-
-class Workspace:
-    """Intermediate tables of one run, in a folder of their own below the shared one."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-        atexit.register(_remove, spark, self.root)
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back: the plan after it starts from files."""
-        where = self.path(name)
-        df.write.parquet(where)
-        out = self.spark.read.schema(df.schema).parquet(where)
-        out._tidemark_path = where
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables made by keep() that no later plan reads."""
-        for t in tables:
-            if where := getattr(t, "_tidemark_path", None):
-                _remove(self.spark, where)
-
-    def close(self) -> None:
-        _remove(self.spark, self.root)
