@@ -223,7 +223,7 @@ def fit(
         if not keys:
             return {}
         wanted = F.broadcast(spark.createDataFrame(keys, "r1 long, r2 long"))  # max_labelled or 2 x per_round keys at most
-        picked = rows.join(wanted, ["r1", "r2"], "left_semi")
+        picked = rows.join(wanted, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])  # a row may be there a million times
         got = picked.mapInArrow(lambda it: _featured(it, columns), "r1 long, r2 long, x binary, z binary").collect()
         x, z = _matrices(got)
         return {(r.r1, r.r2): (x[i], z[i]) for i, r in enumerate(got)}
