@@ -46,7 +46,10 @@ ROWS_PER_LANGUAGE = 1500
 BUCKETS, SWITCH, SCRIPT_SHARE, BLOCK, PIECE = 1 << 16, 8.0, 0.01, 64, 1 << 19
 
 
-_SPACE = re.compile(r"\s")
+#: Where a very long text may be cut: white space and punctuation.
+_SPACE = re.compile(r"[\s.,;:!?\u3000-\u303F\uFF00-\uFF0F]")
+#: With more languages the label paths are followed word by word, as the other way keeps a flag for each pair of languages.
+MANY = 16
 
 
 class Model(NamedTuple):
@@ -125,8 +128,8 @@ def _pieces(column: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
         return [column], np.arange(len(column))
     text, cut = column[0].as_py(), [0]
     while cut[-1] < len(text):
-        space = _SPACE.search(text, cut[-1] + PIECE)
-        cut.append(space.start() if space else len(text))
+        space = _SPACE.search(text, cut[-1] + PIECE, cut[-1] + 2 * PIECE)
+        cut.append(space.start() if space else min(len(text), cut[-1] + 2 * PIECE))
     pieces = [pa.array([text[x:y]], pa.large_string()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
     return pieces, np.zeros(len(pieces), np.int64)
 
@@ -175,9 +178,12 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) -> n
     """The best label of every word of each document.
 
     Documents are cut into blocks of BLOCK words. All blocks are solved together for every label
-    that may come before them, then the blocks of each document are chained.
+    that may come before them, then the blocks of each document are chained. With many labels all
+    documents go on by a word at a time instead, which takes a flag for each word and label.
     """
     n_words, n = score.shape
+    if n > MANY:
+        return _word_by_word(score, offsets, switch)
     labels = np.zeros(n_words, np.int64)
     count = np.diff(offsets)
     blocks = -(-count // BLOCK)
@@ -223,6 +229,31 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) -> n
     return labels
 
 
+def _word_by_word(score: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarray:
+    """viterbi() by one step for the k-th words of all documents that have one, the longest documents first."""
+    count = np.diff(offsets)
+    order = np.argsort(-count, kind="stable")
+    first = offsets[:-1][order]
+    live = np.searchsorted(-count[order], -np.arange(int(count.max(initial=0))), "left")
+    labels, stay, jump = np.zeros(len(score), np.int64), np.ones(score.shape, bool), np.zeros(len(score), np.int32)
+    best = np.zeros((len(count), score.shape[1]))
+    for k, m in enumerate(live):
+        at = first[:m] + k
+        if k:
+            top = best[:m].argmax(axis=1)
+            over = best[np.arange(m), top][:, None] - switch
+            stay[at], jump[at] = best[:m] >= over, top
+            best[:m] = np.maximum(best[:m], over)
+        best[:m] += score[at]
+    state = best.argmax(axis=1)
+    for k in range(len(live) - 1, -1, -1):
+        at = first[: live[k]] + k
+        here = state[: live[k]]
+        labels[at] = here
+        state[: live[k]] = np.where(stay[at, here], here, jump[at])
+    return labels
+
+
 class _Scored(NamedTuple):
     """Words of some documents: scores by language, letters, characters' starts and ends, and n + 1 word offsets of the documents."""
 
@@ -280,25 +311,25 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Model, spans: bool, fiel
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Train on the first rows_per_language rows of each language by a hash of their id and text.
+    """Train on the first rows_per_language different rows of each language by a hash of their id and text.
 
     Rows whose crc32 of the id as text has the remainder 2 by 4 are held out. The driver gets at most BUCKETS counts a language.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
-    rows = rows.where(~held_out(F.col("i"))).select(F.xxhash64(F.col("i").cast("string")).alias("h"), F.xxhash64("t").alias("g"), "t", "l")
+    rows = rows.where(~held_out(F.col("i"))).select(F.xxhash64(F.col("i").cast("string"), "t").alias("h"), F.xxhash64("t").alias("g"), "t", "l")
     # hashes below a language's share let about four times the wanted rows through, so no task orders a language
     many = [(r.l, min(1.0, 4 * rows_per_language / r.n) * 2.0**53) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()]
     if not many:
         return model_of({})
     share = F.broadcast(docs.sparkSession.createDataFrame(many, "l3 string, most double"))  # one row a language
-    few = rows.select("l", "h", "g").join(share, (F.col("l") == F.col("l3")) & (F.shiftrightunsigned(F.col("h"), 11) < F.col("most"))).select("l", "h", "g")
+    few = rows.select("l", "h", "g").join(share, (F.col("l") == F.col("l3")) & (F.shiftrightunsigned(F.col("h"), 11) < F.col("most"))).select("l", "h", "g").distinct()
     order = F.struct((F.shiftrightunsigned("h", 11)).alias("top"), "h", "g")
     first = F.row_number().over(Window.partitionBy("l").orderBy(order))
     low = few.withColumn("k", first).where(F.col("k") <= rows_per_language).groupBy("l").agg(F.max(order).alias("most"))
     low = {r.l: r.most for r in low.collect()}  # one row a language
     bound = docs.sparkSession.createDataFrame([(k, (m.top, m.h, m.g)) for k, m in low.items()], "l2 string, last struct<top: long, h: long, g: long>")
-    sample = rows.join(F.broadcast(bound), (F.col("l") == F.col("l2")) & (order <= F.col("last")))
+    sample = rows.join(F.broadcast(bound), (F.col("l") == F.col("l2")) & (order <= F.col("last"))).dropDuplicates(["l", "h", "g"])
     tally = sample.select("l", "t").mapInArrow(_tallied, "language string, kind int, number int, count long")
     counts = {k: (np.zeros(BUCKETS, np.int64), np.zeros(len({s for _, s in SCRIPTS}) + 1, np.int64)) for k in low}
     for r in tally.groupBy("language", "kind", "number").agg(F.sum("count").alias("count")).collect():
