@@ -680,7 +680,7 @@ def plain_pipeline(spark, rows, items):
     mixed = []
     for s in size:
         left = math.floor(2 * size[s] if s in capped else level * weight[s])
-        own = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest())
         while left > 0:
             for r in own:
                 n = len(r[1].split())

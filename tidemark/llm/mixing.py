@@ -5,8 +5,8 @@ rows; sums of the ranges, then running sums within each, are the source's prefix
 holds a source, however large. Each source is taken whole as often as its budget allows and then
 up to the exact word that its budget ends at.
 
-Defined results: a null text has size 0; null is a source of its own, last in order; a null doc_id
-has the key of an empty text; repeated rows count each for itself; a source of size 0 has target 0;
+Defined results: a null text has size 0; null is a source of its own, last in order; a key is a hash of id and text, a null
+one counts as empty; repeated rows count each for itself; a source of size 0 has target 0;
 an empty table gives no row; other columns, whatever their names, are kept; white space of a document that is
 cut short stays as it is.
 
@@ -55,13 +55,23 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return leveled.withColumn("target", target).drop("nth", "weight", "cap", "ratio", "own", "level")
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """A hash of id and text: rows without id, or of one id, are spread too."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many of its words the mix takes of each document, repeats counted."""
+    return _shares(docs, id_col, text_col, source_col, weights, share, epochs, range_rows).drop("_key")
+
+
+def _shares(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """mix_sources() with each row's key."""
     ws = Workspace(docs.sparkSession, "mixing")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = _key(F.col(id_col), F.col(text_col))
     sized = ws.keep(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), key.alias("_key")), "sized")
     sources = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
     goal = ws.keep(targets(sources.withColumnRenamed("_source", "source"), weights, share, epochs), "targets")
@@ -83,7 +93,7 @@ def mix_sources(
     times = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - times * F.col("source_size") - (F.col("_before") + F.col("_to") - F.col("_size"))
     taken = times * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), left))
-    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), "_key")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -101,16 +111,16 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: documents as often as they are taken, the one at each source's cut shortened to its first words.
 
-    A row's share is looked up by its id, size and source; of rows that have these in common, shares go by the order of text hashes.
+    A row's share is looked up by its id, size, source and hash; rows that have these in common are alike, and shares go to them in any order.
     """
     source_col = options.get("source_col", "source")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("text"), word_count(F.col(text_col)).alias("size"))
-    shares = mix_sources(rows, id_col="id", text_col="text", **(options | {"source_col": "source"})).where("taken > 0")
-    nth = Window.partitionBy("i", "s", "n").orderBy("t")
-    shares = shares.select(F.col("id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("taken").alias("t")).withColumn("k", F.row_number().over(nth))
-    same = Window.partitionBy("id", "source", "size").orderBy(F.xxhash64("text"))
-    rows = rows.where("size > 0").withColumn("nth", F.row_number().over(same))
-    on = F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")) & (F.col("nth") == F.col("k"))
+    shares = _shares(rows, "id", "text", "source", **{k: v for k, v in options.items() if k != "source_col"}).where("taken > 0")
+    nth = Window.partitionBy("h", "i", "s", "n").orderBy("t")
+    shares = shares.select(F.col("_key").alias("h"), F.col("id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("taken").alias("t")).withColumn("k", F.row_number().over(nth))
+    rows = rows.where("size > 0").withColumn("key", _key(F.col("id"), F.col("text")))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "id", "source", "size").orderBy("size")))
+    on = (F.col("key") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")) & (F.col("nth") == F.col("k"))
     each = rows.join(shares, on).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("t") / F.col("size")).cast("int"))))
     each = each.withColumn("words", F.least(F.col("size"), F.col("t") - (F.col("epoch") - 1) * F.col("size")).cast("int"))
     cut = F.col("words") < F.col("size")
@@ -128,7 +138,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
