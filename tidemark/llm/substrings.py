@@ -127,7 +127,7 @@ _SPARK_SUB = "key long, h binary, pkey long, ph binary, off int, n int, first lo
 _SUB = pa.schema([("key", pa.int64()), ("h", pa.binary()), ("pkey", pa.int64()), ("ph", pa.binary()), ("off", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("lo", pa.int32()), ("many", pa.int64()), ("gram", pa.int64()), ("d0", pa.int32()), ("d1", pa.int32()), ("part", pa.binary())])
 
 
-def halves(part: bytes, key: int, gram: int, d0: int, d1: int, length: int, size: int = GRAM) -> list[tuple[int, int, int, int, int]]:
+def halves(part: bytes, key: int, gram: int, d0: int, d1: int, length: int, size: int = GRAM) -> Iterator[tuple[int, int, int, int, int]]:
     """Windows of a stretch, whose smallest string is d0 to d1 - 1 bytes after their start, as runs of half that range: new key, first window, windows, d0, d1.
 
     A run's windows have the same occurrence of the string as their first one, and the same bytes before it
@@ -141,13 +141,12 @@ def halves(part: bytes, key: int, gram: int, d0: int, d1: int, length: int, size
     middle = (d0 + d1) // 2
     late = g - starts >= middle
     begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (late[1:] != late[:-1])]))
-    out = []
-    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(starts)], strict=True):
+    for k in range(len(begin)):  # as many runs as windows where the string follows itself; none is kept
+        a, b = int(begin[k]), int(begin[k + 1]) if k + 1 < len(begin) else len(starts)
         p, side = int(g[a]), bool(late[a])
         shared = part[p - middle : p - d0] if side else part[p + length - d1 + 1 : p + length - middle + 1]
         name = hashlib.blake2b(shared, digest_size=8, key=key.to_bytes(8, "little", signed=True), person=b"late" if side else b"early").digest()
-        out.append((int.from_bytes(name, "little", signed=True), a, b - a, *((middle, d1) if side else (d0, middle))))
-    return out
+        yield int.from_bytes(name, "little", signed=True), a, b - a, *((middle, d1) if side else (d0, middle))
 
 
 def _halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -162,11 +161,11 @@ def _halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 name = (sub, _digest(own))
                 rows.append((*name, key, h, a, n, first, lo + a, many, gram, e0, e1, None if name in seen else own))
                 seen.add(name)
-                size += 100 + (len(own) if rows[-1][-1] else 0)
-            if size > 4 * PIECE:
-                yield _batch(rows, _SUB)
-                seen.clear()
-                size = 0
+                size += 500 + (len(own) if rows[-1][-1] else 0)
+                if size > 4 * PIECE:
+                    yield _batch(rows, _SUB)
+                    seen.clear()
+                    size = 0
         if rows:
             yield _batch(rows, _SUB)
 
@@ -175,9 +174,9 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     """Ranks of the strings of `length` bytes at starts in byte order; equal strings have equal ranks.
 
     Ranks of 8 bytes, then of three times as many from three ranks in one number, while that is not over
-    length; at last two overlapping ranks. data has under 2^21 bytes, and length bytes after each start.
+    length; at last two overlapping ranks. data has 2^21 bytes at most, and length bytes after each start.
     """
-    assert len(data) < 1 << 21
+    assert len(data) <= 1 << 21
     padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
     word = np.zeros(len(data), U)
     for k in range(8):
