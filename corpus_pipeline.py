@@ -58,9 +58,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs but for the rows (r1, r2) of gone, by id and text: ids may be repeated or null."""
     r1, r2 = row_key(F.col("doc_id"), F.col("text"))
-    rows = docs.withColumns({"_r1": r1, "_r2": r2})
-    gone = gone.distinct()
-    return rows.join(gone, (rows["_r1"] == gone["r1"]) & (rows["_r2"] == gone["r2"]), "left_anti").drop("_r1", "_r2")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), r1.alias("k1"), r2.alias("k2"))
+    left = rows.join(gone.distinct(), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_anti")
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 STAGES: list[tuple[str, Stage]] = [
