@@ -40,9 +40,11 @@ def sanitised(value: Any) -> Any:
         return kept
     if isinstance(value, (list, tuple)):
         return [sanitised(v) for v in value]
-    if isinstance(value, str):
-        return re.sub(pii.PHONE, "<redacted_phone>", re.sub(pii.EMAIL, "<redacted_email>", value))
-    return value
+    return text_redacted(value) if isinstance(value, str) else value
+
+
+def text_redacted(text: str) -> str:
+    return re.sub(pii.PHONE, "<redacted_phone>", re.sub(pii.EMAIL, "<redacted_email>", text))
 
 
 def without_stale_values(profiles: DataFrame) -> DataFrame:

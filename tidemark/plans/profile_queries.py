@@ -155,6 +155,7 @@ def pii_pages(spark, sf):
 # pii.PHONE for an engine without look-around: a run's last digit is never followed by one, and its first digit or plus
 # follows one only as in 1+2, which is taken apart before.
 _RUN = r"\+?[0-9][0-9\-\s().]{7,}[0-9]"
+EMAIL_SQL, RUN_SQL = _EMAIL, _RUN
 
 
 @B.add(rf"SELECT doc_id, length(r) AS n_chars, md5(r) AS digest FROM (SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text, {_EMAIL}, '<redacted_email>', 'g'), '([0-9])\+', '\1' || chr(1) || '+', 'g'), '{_RUN}', '<redacted_phone>', 'g'), chr(1), '') AS r FROM documents)")

@@ -76,7 +76,7 @@ def load(spark: SparkSession, path: str) -> list[Dataset]:
     stem, suffix = os.path.splitext(os.path.basename(path))
     suffix = suffix.lower()
     if suffix == ".xlsx":
-        sheets = [(s, df) for s, df in xlsx.read_sheets(spark, path) if df is not None]
+        sheets = list(xlsx.read_sheets(spark, path))
         names = deduped([table_name(f"{stem}_{s}" if len(sheets) > 1 else stem) for s, _ in sheets])
         return [Dataset(path, n, "xlsx", df, s) for n, (s, df) in zip(names, sheets, strict=True)]
     if suffix not in READERS:
