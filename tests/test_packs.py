@@ -90,6 +90,41 @@ def test_profile_and_draft_keep_personal_values_out(spark):
     assert {"metric_definition", "join_relationship", "pii_policy"} <= asked
 
 
+def test_questions_of_all_nine_categories(spark):
+    df = spark.createDataFrame([(1, "a@example.org", "x", 5.0, "2026-01-03", "2026-01-04", None), (2, "b@example.org", "y", 6.0, "2026-01-03", "2026-01-05", None)], "order_id int, mail string, status string, amount double, paid_date string, sent_date string, note string")
+    comments = spark.createDataFrame([("status", "code"), ("amount", "name of the payer"), ("note", "what the clerk wrote down")], "column string, comment string")
+    profiles = profile.profile(df, "orders").join(comments, "column", "left")
+    asked = draft.questions(profiles, draft.hypotheses(profile.profile(df, "orders")), ["orders", "bare"]).collect()
+    found = {(r.category, r.target) for r in asked}
+    assert {c for c, _ in found} == {"metric_definition", "join_relationship", "pii_policy", "missing_evidence", "ambiguous_date_basis", "comment_clarification", "comment_profile_conflict", "low_confidence"} and len({r.id for r in asked}) == len(asked)
+    assert ("comment_clarification", "column.orders.status") in found and ("comment_profile_conflict", "column.orders.amount") in found and ("missing_evidence", "table.bare") in found
+    assert ("missing_evidence", "column.orders.note") not in found and ("missing_evidence", "column.orders.status") in found
+    assert ("low_confidence", "metric.orders.amount") in found
+    assert {r.priority for r in asked if r.category in ("low_confidence", "pii_policy", "ambiguous_date_basis", "comment_profile_conflict")} == {"high"}
+    assert [r.target for r in draft.questions(profiles.limit(0)).collect()] == ["profiles"]
+
+
+def test_join_candidates_are_ids(spark):
+    columns = spark.createDataFrame([("a", "x_id"), ("b", "x_id"), ("c", "x_id"), ("a", "text"), ("b", "text"), ("a", "y_id")], "table string, column string")
+    assert [tuple(r) for r in draft.join_candidates(columns).collect()] == [("x_id", "a", "b", 3)]
+
+
+def test_results_are_compared_as_bags(spark):
+    from tidemark.operators import compare
+
+    df = lambda rows, schema="a int, b string": spark.createDataFrame(rows, schema)
+    a = [(1, "x"), (1, "x"), (2, None), (None, "")]
+    ask = lambda x, y: tuple(compare.results(x, y).head())
+    assert ask(df(a), df(a[::-1], "c int, d string").repartition(3)) == (4, 4, 0, 0, True)
+    assert ask(df(a), df(a[1:])) == (4, 3, 1, 0, False)
+    assert ask(df(a), df([*a[:3], (None, None)])) == (4, 4, 1, 1, False)
+    assert ask(df(a).limit(0), df(a).limit(0)) == (0, 0, 0, 0, True)
+    assert ask(df(a), df(a).select("a")) == (4, 4, 4, 4, False)
+    assert ask(df([(1.0000000001,)], "a double"), df([(1,)], "a int"))[4]
+    with pytest.raises(PermissionError):
+        compare.compare_results(spark, "DROP TABLE x", "SELECT 1", [], [])
+
+
 def test_profile_of_an_empty_table(spark):
     (r,) = profile.profile(spark.createDataFrame([], "a string"), "t").collect()
     assert (r.column, r.row_count, r.null_count, r.null_ratio, r.cardinality, r.type_guess, r.top_values, r.join_key_candidate) == ("a", 0, 0, 0.0, 0, "unknown", None, False)

@@ -5,6 +5,7 @@ Everything is an expression over profile rows (operators.profile), one row a col
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ QUESTION_METRICS = ("amount", "revenue", "sales", "price", "cost", "profit", "ma
 GENERIC_NAMES = ("status", "type", "category", "code", "name", "description", "value")
 VAGUE_COMMENTS = ("status", "type", "code", "value", "data")
 SYNTHETIC = "TEST_ONLY_SYNTHETIC_METADATA"
+LOW_CONFIDENCE = 0.6
 ABSTRACT_NAMES = ("status", "state", "type", "code", "category", "segment", "channel")
 GAP_METRICS = ("amount", "revenue", "sales", "profit", "cost", "price", "total", "qty", "quantity", "count")
 
@@ -61,8 +63,8 @@ def primary_key(columns: DataFrame, key: str = "table") -> DataFrame:
 
 
 def join_candidates(columns: DataFrame) -> DataFrame:
-    """(join_key, left_table, right_table, tables): key names of two tables or more, the first two by name."""
-    keys = columns.groupBy(F.col("column").alias("join_key")).agg(F.array_sort(F.collect_set("table")).alias("tables")).where(F.size("tables") >= 2)
+    """(join_key, left_table, right_table, tables): names ending in _id that two tables or more have, the first two by name."""
+    keys = columns.where(F.col("column").endswith("_id")).groupBy(F.col("column").alias("join_key")).agg(F.array_sort(F.collect_set("table")).alias("tables")).where(F.size("tables") >= 2)
     return keys.select("join_key", F.get("tables", 0).alias("left_table"), F.get("tables", 1).alias("right_table"), F.size("tables").alias("tables"))
 
 
@@ -143,20 +145,45 @@ def uncertainty_category(label: Column) -> Column:
     )
 
 
-def questions(profiles: DataFrame) -> DataFrame:
-    """(id, category, target, question, priority) for people to answer; ids are hashes of what is asked, so they stay."""
+def uncertain(hypotheses: DataFrame) -> DataFrame:
+    """(target, category, question, priority): one for each hypothesis of low confidence, and one for each uncertainty."""
+    low = hypotheses.where(F.col("confidence") < LOW_CONFIDENCE).select("target", F.lit("low_confidence").alias("category"), F.concat(F.lit("What would confirm or refute "), "target", F.lit("?")).alias("question"), F.lit("high").alias("priority"))
+    each = hypotheses.select("target", F.explode("uncertainties").alias("u")).withColumn("category", uncertainty_category(F.col("u")))
+    priority = F.when(F.col("category").isin("pii_policy", "ambiguous_date_basis"), "high").otherwise("medium")
+    return low.unionByName(each.select("target", "category", F.concat("target", F.lit(": "), F.translate("u", "_", " "), F.lit("?")).alias("question"), priority.alias("priority")))
+
+
+def questions(profiles: DataFrame, hypotheses: DataFrame | None = None, tables: Sequence[str] = ()) -> DataFrame:
+    """(id, category, target, question, priority) for people to answer; ids are hashes of what is asked, so they stay.
+
+    Nine categories: metric_definition, join_relationship, pii_policy, missing_evidence, ambiguous_date_basis; from a column `comment` of the
+    profiles, where they have one, comment_clarification and comment_profile_conflict; from hypotheses their uncertainties, of which low_confidence is
+    a category of its own; and missing_evidence with high priority for those of `tables` that have no profiled column, or for an input without any.
+    """
+    if "comment" not in profiles.columns:
+        profiles = profiles.withColumn("comment", F.lit(None).cast("string"))
     n, target = safe_token(F.col("column")), F.concat_ws(".", F.lit("column"), "table", "column")
     p = profiles.withColumns({"n": n, "target": target, "ref": F.concat_ws(".", "table", "column")})
     rules = F.array(
         F.when((F.col("type_guess") == "number") | hinted(F.col("n"), QUESTION_METRICS), F.struct(F.lit("metric_definition").alias("category"), F.concat(F.lit("Should "), "ref", F.lit(" become a metric, and with which filters, aggregation, unit and date basis?")).alias("question"), F.lit("medium").alias("priority"))),
         F.when(F.col("join_key_candidate") | (F.col("n") == "id") | F.col("n").endswith("_id"), F.struct(F.lit("join_relationship").alias("category"), F.concat(F.lit("Which table does "), "ref", F.lit(" join to, and with what cardinality?")).alias("question"), F.lit("medium").alias("priority"))),
         F.when(F.col("is_pii"), F.struct(F.lit("pii_policy").alias("category"), F.concat(F.lit("Which roles may use "), "ref", F.lit(", and do its raw values stay blocked?")).alias("question"), F.lit("high").alias("priority"))),
-        F.when(weak_evidence(F.col("null_ratio"), F.col("cardinality"), F.col("n")), F.struct(F.lit("missing_evidence").alias("category"), F.concat(F.lit("What does "), "ref", F.lit(" mean?")).alias("question"), F.lit("medium").alias("priority"))),
+        F.when(vague_comment(F.col("comment")), F.struct(F.lit("comment_clarification").alias("category"), F.concat(F.lit("The comment on "), "ref", F.lit(" is vague: what exactly does it hold?")).alias("question"), F.lit("medium").alias("priority"))),
+        F.when(conflicting_comment(F.col("comment"), F.col("n"), F.col("type_guess")), F.struct(F.lit("comment_profile_conflict").alias("category"), F.concat(F.lit("Comment and values of "), "ref", F.lit(" disagree: which is right?")).alias("question"), F.lit("high").alias("priority"))),
+        F.when(weak_evidence(F.col("null_ratio"), F.col("cardinality"), F.col("n")) & ((classify_comment(F.col("comment")) != "real_db_comment") | vague_comment(F.col("comment"))), F.struct(F.lit("missing_evidence").alias("category"), F.concat(F.lit("What does "), "ref", F.lit(" mean?")).alias("question"), F.lit("medium").alias("priority"))),
     )
     asked = p.select("target", F.explode(F.array_compact(rules)).alias("q")).select("target", "q.*")
     dates = p.where((F.col("type_guess") == "date") | hinted(F.col("n"), QUESTION_DATES)).groupBy("table").agg(F.array_sort(F.collect_set("n")).alias("d")).where(F.size("d") >= 2)
     dates = dates.select(F.concat(F.lit("table."), "table").alias("target"), F.lit("ambiguous_date_basis").alias("category"), F.concat(F.lit("Which date is the default of "), "table", F.lit(": "), F.array_join("d", ", "), F.lit("?")).alias("question"), F.lit("high").alias("priority"))
     every = asked.unionByName(dates)
+    if hypotheses is not None:
+        every = every.unionByName(uncertain(hypotheses))
+    spark = profiles.sparkSession
+    if tables:
+        bare = spark.createDataFrame([(t,) for t in tables], "table string").join(profiles.select("table").distinct(), "table", "left_anti")
+        every = every.unionByName(bare.select(F.concat(F.lit("table."), "table").alias("target"), F.lit("missing_evidence").alias("category"), F.concat("table", F.lit(" has no profiled column: leave it out, or scan it again?")).alias("question"), F.lit("high").alias("priority")))
+    nothing = profiles.agg(F.count("*").alias("n")).where("n = 0")
+    every = every.unionByName(nothing.select(F.lit("profiles").alias("target"), F.lit("missing_evidence").alias("category"), F.lit("Nothing was profiled: which tables are to be included?").alias("question"), F.lit("high").alias("priority")))
     key = F.substring(F.sha1(F.concat_ws("|", "category", "target", "question")), 1, 10)
     return every.select(F.concat(F.lit("question."), "category", F.lit("."), key).alias("id"), "category", "target", "question", "priority").distinct()
 

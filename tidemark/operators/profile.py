@@ -56,7 +56,7 @@ def profile(df: DataFrame, table: str, columns: Sequence[str] | None = None, low
     """One row a column: counts, ratio, cardinality, type, extrema, lengths, PII verdict, safe top values, join-key candidacy.
 
     Personal data by name is judged for every column, whatever its cardinality. By value, a column is
-    personal if at least half of all distinct present values, weighted by frequency, match. Columns of an
+    personal if at least half of all its present values match, not of the first few alone: rows of a distributed table have no order. Columns of an
     empty table have a row too: no value, ratio 0, type unknown.
     """
     return profile_counts(value_counts(df, columns), table, list(columns or df.columns), low_cardinality)

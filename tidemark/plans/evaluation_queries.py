@@ -9,6 +9,7 @@ from ..operators.containment import containing
 from ..operators.index import VectorIndex
 from ..tables import TABLES, table
 from ..workspace import Workspace
+from .derived import COLUMNS
 from .kit import Book
 
 B = Book()
@@ -83,13 +84,6 @@ def vector_index_search(spark, sf):
     return index.search(vectors.where("vec_id % 20 = 0"), 10, id_col="vec_id", vector_col="embedding", filters={"label": [0, 1, 2, 3]})
 
 
-#: Columns of the driver's tables; those of texts are marked, as only theirs have lengths that all engines agree on.
-COLUMNS = {
-    "region": "r_regionkey r_name*", "nation": "n_nationkey n_name* n_regionkey", "customer": "c_custkey c_name* c_nationkey c_acctbal c_mktsegment*", "supplier": "s_suppkey s_name* s_nationkey s_acctbal",
-    "part": "p_partkey p_name* p_brand* p_type* p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus* o_totalprice o_orderdate o_orderpriority*",
-    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag* l_linestatus* l_shipdate", "events": "event_id ts user_id event_type* value props*",
-    "documents": "doc_id text* lang* source* n_chars", "embeddings": "vec_id embedding label", "pages": "page_id url* html*", "benchmark": "item_id text*", "labels": "doc_id quality toxic", "conversations": "conv_id turn role* text*",
-}
 _TEXTS = [(t, c[:-1]) for t, cs in COLUMNS.items() for c in cs.split() if c[-1] == "*"]
 
 

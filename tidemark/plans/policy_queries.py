@@ -10,7 +10,7 @@ from ..operators import packs as K
 from ..operators import planner as Q
 from ..operators import preview as V
 from ..tables import register, table
-from . import demo
+from . import demo, derived
 from .kit import Book, values, values_sql
 
 B = Book()
@@ -102,11 +102,11 @@ def query_understanding(spark, sf):
     return spark.createDataFrame(rows, "kind string, card_id string")
 
 
-@B.add("SELECT * FROM (VALUES ('revenue', 'metric.net_revenue'), ('discount', 'metric.discount')) AS v(token, card_id)")
+@B.add(f"SELECT token, card_id FROM (SELECT card_id, unnest(string_split(label, ' ')) AS token FROM {derived.sql('cards')}) JOIN (SELECT DISTINCT unnest(string_split(q, ' ')) AS token FROM {derived.sql('spoken')}) USING (token)")
 def expected_semantics(spark, sf):
     """Cards that share a word with a question, unlike the planner's whole-phrase rule."""
-    cards = values(spark, "card_id, label", [("metric.net_revenue", "net revenue"), ("metric.discount", "discount"), ("metric.tax", "tax rate")])
-    tokens = values(spark, "q", [("revenue and discount by month",)]).select(F.explode(F.split("q", " ")).alias("token")).distinct()
+    cards = derived.relation(spark, sf, "cards")
+    tokens = derived.relation(spark, sf, "spoken").select(F.explode(F.split("q", " ")).alias("token")).distinct()
     return cards.select("card_id", F.explode(F.split("label", " ")).alias("token")).join(tokens, "token").select("token", "card_id")
 
 
@@ -145,133 +145,101 @@ def preview_empty(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").where("o_orderstatus = 'none'")
 
 
-_SQLS = [(1, "SELECT 1"), (2, "SELECT 'é'"), (3, "")]
-
-
-@B.add(f"SELECT id, sha256(q) AS fingerprint FROM {values_sql('id, q', _SQLS)}")
+@B.add(f"SELECT id, sha256(q) AS fingerprint FROM {derived.sql('statements')}")
 def sql_fingerprint(spark, sf):
-    return values(spark, "id, q", _SQLS).select("id", V.fingerprint(F.col("q")).alias("fingerprint"))
+    return derived.relation(spark, sf, "statements").select("id", V.fingerprint(F.col("q")).alias("fingerprint"))
 
 
-_POLICIES = [("p1", "analyst", "orders", "customer.c_name", 100), ("p1", "analyst", "customer", "customer.c_name", 100), ("p2", "analyst", "lineitem", "orders.o_comment", 50), ("p3", "admin", "supplier", "supplier.s_name", 1000)]
-_PV = values_sql("id, role, t, c, cap", _POLICIES)
+_PV = derived.sql("policies")
 
 
-def _policies(spark):
-    p = values(spark, "id, role, t, c, cap", _POLICIES)
+def _policies(spark, sf):
+    p = derived.relation(spark, sf, "policies")
     return p.groupBy("id").agg(F.collect_set("role").alias("roles"), F.collect_set("t").alias("allowed_tables"), F.collect_set("c").alias("blocked_columns"), F.min("cap").alias("max_preview_rows"))
 
 
 @B.add(f"SELECT CAST(min(cap) AS INT) AS cap FROM {_PV} WHERE role = 'analyst'")
 def policy_min_cap(spark, sf):
-    return K.roles_limits(_policies(spark), "analyst").select(F.col("max_preview_rows").alias("cap"))
+    return K.roles_limits(_policies(spark, sf), "analyst").select(F.col("max_preview_rows").alias("cap"))
 
 
 @B.add(f"SELECT array_to_string(list_sort(list(DISTINCT t)), ',') AS tables, array_to_string(list_sort(list(DISTINCT c)), ',') AS columns FROM {_PV}")
 def policy_union(spark, sf):
-    return K.roles_limits(_policies(spark), None).select(F.array_join("allowed_tables", ",").alias("tables"), F.array_join("blocked_columns", ",").alias("columns"))
+    return K.roles_limits(_policies(spark, sf), None).select(F.array_join("allowed_tables", ",").alias("tables"), F.array_join("blocked_columns", ",").alias("columns"))
 
 
 @B.add(f"SELECT 'analyst' AS role, CAST(count(DISTINCT t) AS INT) AS tables, CAST(count(DISTINCT c) AS INT) AS blocked, CAST(min(cap) AS INT) AS cap FROM {_PV} WHERE role = 'analyst' UNION ALL SELECT 'nobody', 0, 0, 0")
 def policy_envelope(spark, sf):
-    parts = [K.roles_limits(_policies(spark), r).select(F.lit(r).alias("role"), F.size("allowed_tables").alias("tables"), F.size("blocked_columns").alias("blocked"), F.col("max_preview_rows").alias("cap")) for r in ("analyst", "nobody")]
+    parts = [K.roles_limits(_policies(spark, sf), r).select(F.lit(r).alias("role"), F.size("allowed_tables").alias("tables"), F.size("blocked_columns").alias("blocked"), F.col("max_preview_rows").alias("cap")) for r in ("analyst", "nobody")]
     return parts[0].unionByName(parts[1])
 
 
-_READ = [(1, "customer.c_name"), (1, "orders.o_orderkey"), (2, "supplier.s_name"), (3, "lineitem.l_tax")]
-
-
-@B.add(f"SELECT r.sql_id, r.c AS blocked FROM {values_sql('sql_id, c', _READ)} r WHERE r.c IN (SELECT c FROM {_PV})")
+@B.add(f"SELECT r.sql_id, r.c AS blocked FROM {derived.sql('reads')} r WHERE r.c IN (SELECT c FROM {_PV})")
 def blocked_column_pairs(spark, sf):
-    blocked = _policies(spark).select(F.explode("blocked_columns").alias("c")).distinct()
-    return values(spark, "sql_id, c", _READ).join(blocked, "c", "left_semi").select("sql_id", F.col("c").alias("blocked"))
-
+    blocked = _policies(spark, sf).select(F.explode("blocked_columns").alias("c")).distinct()
+    return derived.relation(spark, sf, "reads").join(blocked, "c", "left_semi").select("sql_id", F.col("c").alias("blocked"))
 
-_JOINS = [("j1", "orders", "customer"), ("j2", "orders", "lineitem"), ("j3", "supplier", "nation")]
-_CANDIDATES = [("orders",), ("lineitem",), ("customer",), ("customer",)]
 
-
-@B.add(f"SELECT id FROM {values_sql('id, l, r', _JOINS)} WHERE l IN (SELECT t FROM {values_sql('t', _CANDIDATES)}) AND r IN (SELECT t FROM {values_sql('t', _CANDIDATES)})")
+@B.add(f"SELECT id FROM {derived.sql('joins')} WHERE l IN (SELECT t FROM {derived.sql('candidates')}) AND r IN (SELECT t FROM {derived.sql('candidates')})")
 def plan_join_recipes(spark, sf):
-    j, c = values(spark, "id, l, r", _JOINS), values(spark, "t", _CANDIDATES)
+    j, c = derived.relation(spark, sf, "joins"), derived.relation(spark, sf, "candidates")
     return j.join(c, j["l"] == c["t"], "left_semi").join(c, j["r"] == c["t"], "left_semi").select("id")
 
 
-@B.add(f"SELECT DISTINCT c.t AS table_name FROM {values_sql('t', _CANDIDATES)} c WHERE c.t IN (SELECT t FROM {_PV} WHERE role = 'analyst')")
+@B.add(f"SELECT DISTINCT c.t AS table_name FROM {derived.sql('segments')} c WHERE c.t IN (SELECT t FROM {_PV} WHERE role = 'analyst')")
 def plan_candidate_tables(spark, sf):
-    allowed = K.roles_limits(_policies(spark), "analyst").select(F.explode("allowed_tables").alias("t"))
-    return values(spark, "t", _CANDIDATES).distinct().join(allowed, "t", "left_semi").select(F.col("t").alias("table_name"))
-
-
-_QUESTIONS, _IDS = [("rq1", "metric.a"), ("rq2", "term.b"), ("rq3", "metric.z")], [("metric.a",), ("term.b",)]
+    allowed = K.roles_limits(_policies(spark, sf), "analyst").select(F.explode("allowed_tables").alias("t"))
+    return derived.relation(spark, sf, "segments").distinct().join(allowed, "t", "left_semi").select(F.col("t").alias("table_name"))
 
 
-@B.add(f"SELECT id FROM {values_sql('id, target', _QUESTIONS)} WHERE target IN (SELECT i FROM {values_sql('i', _IDS)})")
+@B.add(f"SELECT id FROM {derived.sql('questions')} WHERE target IN (SELECT i FROM {derived.sql('targets')})")
 def plan_reverse_questions(spark, sf):
-    return values(spark, "id, target", _QUESTIONS).join(values(spark, "i", _IDS), F.col("target") == F.col("i"), "left_semi").select("id")
-
-
-_RELATED = [("term.new", "metric.net"), ("term.new", "metric.gross"), ("term.old", "metric.net"), ("term.x", None)]
+    return derived.relation(spark, sf, "questions").join(derived.relation(spark, sf, "targets"), F.col("target") == F.col("i"), "left_semi").select("id")
 
 
-@B.add(f"SELECT DISTINCT m AS metric_id FROM {values_sql('t, m', _RELATED)} WHERE t IN ('term.new', 'term.x') AND m IS NOT NULL")
+@B.add(f"SELECT DISTINCT m AS metric_id FROM {derived.sql('related')} WHERE t IN ('term.Brand#2', 'term.Brand#17') AND m IS NOT NULL")
 def term_related_metrics(spark, sf):
-    terms = values(spark, "t, m", _RELATED).groupBy("t").agg(F.collect_list("m").alias("related"))
-    return terms.where(F.col("t").isin("term.new", "term.x")).select(F.explode("related").alias("metric_id")).distinct()
+    terms = derived.relation(spark, sf, "related").groupBy("t").agg(F.collect_set("m").alias("related"))
+    return terms.where(F.col("t").isin("term.Brand#2", "term.Brand#17")).select(F.explode("related").alias("metric_id")).distinct()
 
 
-@B.add(f"SELECT 'join' AS kind, count(*) AS n FROM {values_sql('id, l, r', _JOINS)} WHERE id IN ('j1', 'j3') UNION ALL SELECT 'question', count(*) FROM {values_sql('id, target', _QUESTIONS)} WHERE id IN ('rq1')")
+@B.add(f"SELECT 'join' AS kind, count(*) AS n FROM {derived.sql('joins')} WHERE id IN (SELECT u FROM {derived.sql('used')}) UNION ALL SELECT 'question', count(*) FROM {derived.sql('questions')} WHERE id IN (SELECT u FROM {derived.sql('used')})")
 def plan_definitions(spark, sf):
-    used = values(spark, "u", [("j1",), ("j3",), ("rq1",)])
-    parts = [values(spark, "id, l, r", _JOINS).select("id", F.lit("join").alias("kind")), values(spark, "id, target", _QUESTIONS).select("id", F.lit("question").alias("kind"))]
+    used = derived.relation(spark, sf, "used")
+    parts = [derived.relation(spark, sf, "joins").select("id", F.lit("join").alias("kind")), derived.relation(spark, sf, "questions").select("id", F.lit("question").alias("kind"))]
     return parts[0].unionByName(parts[1]).join(used, F.col("id") == F.col("u"), "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_SETS = [("v1", "a,b", "a"), ("v2", "a", "a,b"), ("v3", "c", "a,b"), ("v4", "", "a")]
-
-
-@B.add(f"SELECT id, len(list_filter(string_split(need, ','), lambda x: x <> '' AND NOT list_contains(string_split(have, ','), x))) = 0 AS contained, len(list_filter(string_split(need, ','), lambda x: x <> '' AND list_contains(string_split(have, ','), x))) > 0 AS overlapping FROM {values_sql('id, need, have', _SETS)}")
+@B.add(f"SELECT id, len(list_filter(string_split(need, ','), lambda x: x <> '' AND NOT list_contains(string_split(have, ','), x))) = 0 AS contained, len(list_filter(string_split(need, ','), lambda x: x <> '' AND list_contains(string_split(have, ','), x))) > 0 AS overlapping FROM {derived.sql('sets')}")
 def verified_query_match(spark, sf):
     sets = [F.filter(F.split(c, ","), lambda x: x != "") for c in ("need", "have")]
-    return values(spark, "id, need, have", _SETS).select("id", (F.size(F.array_except(*sets)) == 0).alias("contained"), F.coalesce(F.arrays_overlap(*sets), F.lit(False)).alias("overlapping"))
-
+    return derived.relation(spark, sf, "sets").select("id", (F.size(F.array_except(*sets)) == 0).alias("contained"), F.coalesce(F.arrays_overlap(*sets), F.lit(False)).alias("overlapping"))
 
-_COVER = [(1, "a,b,c", "a,b", False), (2, "a,b", "a,b", True), (3, "a,b,c", "c", True), (4, "a", "z", False)]
 
-
-@B.add(f"SELECT id, floor(CASE WHEN doubt THEN least(0.75::DOUBLE, s) ELSE s END * 1000 + 0.5) / 1000.0 AS score FROM (SELECT id, doubt, len(list_intersect(string_split(need, ','), string_split(have, ','))) / CAST(len(string_split(need, ',')) AS DOUBLE) AS s FROM {values_sql('id, need, have, doubt', _COVER)})")
+@B.add(f"SELECT id, floor(CASE WHEN doubt THEN least(0.75::DOUBLE, s) ELSE s END * 1000 + 0.5) / 1000.0 AS score FROM (SELECT id, doubt, len(list_intersect(string_split(need, ','), string_split(have, ','))) / CAST(len(string_split(need, ',')) AS DOUBLE) AS s FROM {derived.sql('covers')})")
 def coverage_score(spark, sf):
-    rows = values(spark, "id, need, have, doubt", _COVER)
+    rows = derived.relation(spark, sf, "covers")
     return rows.select("id", M.coverage(F.split("need", ","), F.split("have", ","), F.col("doubt")).alias("score"))
 
 
-_LONGEST = [("t1", "revenue"), ("t1", "net revenue"), ("t1", "net"), ("t2", "gross"), ("t2", "customers"), ("t3", "tax")]
-
-
-@B.add(f"SELECT card, label FROM (SELECT card, label, row_number() OVER (PARTITION BY card ORDER BY length(label) DESC, label) AS rn FROM {values_sql('card, label', _LONGEST)} WHERE contains('net revenue of new customers', label)) WHERE rn = 1")
+@B.add(f"SELECT card, label FROM (SELECT card, label, row_number() OVER (PARTITION BY card ORDER BY length(label) DESC, label) AS rn FROM {derived.sql('labels')} WHERE contains('net revenue of new customers', label)) WHERE rn = 1")
 def longest_match(spark, sf):
-    hits = values(spark, "card, label", _LONGEST).where(F.lit("net revenue of new customers").contains(F.col("label")))
+    hits = derived.relation(spark, sf, "labels").where(F.lit("net revenue of new customers").contains(F.col("label")))
     best = hits.groupBy("card").agg(F.min(F.struct((-F.length("label")).alias("n"), "label")).alias("m"))
     return best.select("card", F.col("m.label").alias("label"))
 
 
-_TERMS, _METRICS = [("term.a", "Net-Revenue"), ("term.b", "Churn")], [("metric.n", "net revenue")]
-
-
-@B.add(f"SELECT id FROM {values_sql('id, label', _TERMS)} WHERE trim(regexp_replace(translate(lower(label), '_.-', '   '), '\\s+', ' ', 'g')) NOT IN (SELECT label FROM {values_sql('id, label', _METRICS)})")
+@B.add(f"SELECT id FROM {derived.sql('duplicate_terms')} WHERE trim(regexp_replace(translate(lower(label), '_.-', '   '), '\\s+', ' ', 'g')) NOT IN (SELECT label FROM {derived.sql('metrics')})")
 def drop_metric_duplicates(spark, sf):
     from ..functions.text import norm_query
 
-    keyed = [values(spark, "id, label", rows).select("id", norm_query(F.col("label")).alias("k")) for rows in (_TERMS, _METRICS)]
+    keyed = [derived.relation(spark, sf, rows).select("id", norm_query(F.col("label")).alias("k")) for rows in ("duplicate_terms", "metrics")]
     return keyed[0].join(keyed[1], "k", "left_anti").select("id")
 
 
-_PACKS = [("p1", "sales", "approved"), ("p2", "sales", "draft"), ("p3", "hr", "approved")]
-
-
-@B.add(f"SELECT id FROM {values_sql('id, space, status', _PACKS)} WHERE space = 'sales'")
+@B.add(f"SELECT id FROM {derived.sql('packs')} WHERE space = 'n3'")
 def space_packs(spark, sf):
-    return values(spark, "id, space, status", _PACKS).where("space = 'sales'").select("id")
+    return derived.relation(spark, sf, "packs").where("space = 'n3'").select("id")
 
 
 @B.add("SELECT o_orderkey, o_orderstatus FROM (SELECT * FROM orders WHERE o_totalprice > 300000) ORDER BY o_orderkey LIMIT 25")

@@ -8,6 +8,7 @@ from ..functions import pii
 from ..functions.text import day, number, present, ratio4
 from ..operators import profile as P
 from ..tables import TABLES, table
+from . import derived
 from .kit import Book, values, values_sql
 
 B = Book()
@@ -104,10 +105,6 @@ def profile_weighted(spark, sf):
     return counts.select("value", "n", (F.length("value") * F.col("n")).alias("total_length"))
 
 
-_COLUMNS = [
-    ("email",), ("Contact E-Mail",), ("mobile_no",), ("full_name",), ("customer name",), ("product_name",), ("sheet_name",), ("manager",), ("zip",), ("passport_no",),
-    ("o_orderkey",), ("c_name",), ("user_name",), ("home_address",), ("tel",), ("telemetry",),
-]
 _N = "trim(regexp_replace(lower(trim(c)), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
@@ -119,9 +116,9 @@ def _hint(kind: str, hints: tuple[str, ...]) -> str:
 _PERSON = f"""CASE WHEN n IN ({', '.join(f"'{h}'" for h in pii.PERSON_NAMES)}) OR (string_split(n, '_')[-1] = 'name' AND len(list_intersect(string_split(n, '_')[:-2], [{', '.join(f"'{h}'" for h in pii.PERSON_WORDS)}])) > 0) THEN 'person_name' END"""
 
 
-@B.add(f"SELECT c AS column_name, array_to_string(list_sort(list_filter([{', '.join(_hint(k, h) for k, h in pii.NAME_HINTS.items())}, {_PERSON}], lambda x: x IS NOT NULL)), ',') AS categories FROM (SELECT c, {_N} AS n FROM {values_sql('c', _COLUMNS)})")
+@B.add(f"SELECT c AS column_name, array_to_string(list_sort(list_filter([{', '.join(_hint(k, h) for k, h in pii.NAME_HINTS.items())}, {_PERSON}], lambda x: x IS NOT NULL)), ',') AS categories FROM (SELECT c, {_N} AS n FROM (SELECT DISTINCT col AS c FROM {derived.CATALOG}))")
 def pii_by_name(spark, sf):
-    return values(spark, "c", _COLUMNS).select(F.col("c").alias("column_name"), F.array_join(pii.name_categories(F.col("c")), ",").alias("categories"))
+    return derived.columns(spark, sf).select(F.col("column").alias("c")).distinct().select(F.col("c").alias("column_name"), F.array_join(pii.name_categories(F.col("c")), ",").alias("categories"))
 
 
 _EMAIL, _PHONE = "'(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}'", "'(^|[^0-9])(\\+?[0-9][0-9\\-\\s().]{7,}[0-9])([^0-9]|$)'"
@@ -138,6 +135,31 @@ def pii_by_value_ratio(spark, sf):
     return _union(parts)
 
 
+_CONTACTS = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' ELSE 'a' || page_id || '@example.org' END AS mostly, CASE page_id % 4 WHEN 0 THEN 'b' || page_id || '@example.org' ELSE 'none given' END AS seldom, CASE page_id % 2 WHEN 0 THEN '+1 (555) 010-' || (1000 + page_id % 9000) ELSE ' n/a ' END AS call, url FROM pages"
+
+
+def _share_sql(c: str, pattern: str) -> str:
+    v = f"CASE WHEN lower(trim({c})) NOT IN ('', 'null', 'none', 'n/a', 'na', 'nan') THEN trim({c}) END"
+    return f"coalesce(CAST(count(*) FILTER (regexp_matches({v}, '{pattern}')) AS DOUBLE) / nullif(count({v}), 0), 0) >= 0.5"
+
+
+@B.add(" UNION ALL ".join(f"SELECT '{c}' AS column_name, {_share_sql(c, '^[^@[:space:]]+@[^@[:space:]]+[.][^@[:space:]]+$')} OR {_share_sql(c, '^[+][0-9][0-9[:space:]().-]{7,}[0-9]$')} AS is_pii, count(*) AS row_count FROM ({_CONTACTS})" for c in ("mostly", "seldom", "call", "url")))
+def pii_by_value_verdict(spark, sf):
+    """profile()'s verdict on columns of made-up contacts: personal if half of all present values have the shape of an address or a phone."""
+    contacts = derived.session(spark, sf).sql(_CONTACTS)
+    return P.profile(contacts, "contacts", ["mostly", "seldom", "call", "url"]).select(F.col("column").alias("column_name"), "is_pii", "row_count")
+
+
+_WHOLE = {"lineitem": "l_returnflag l_linestatus l_linenumber l_orderkey", "documents": "text lang source", "customer": "c_name c_mktsegment c_nationkey"}
+
+
+@B.add(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count(v) AS null_count, count(DISTINCT v) AS cardinality, coalesce(min(length(v)), 0) AS min_length, coalesce(max(length(v)), 0) AS max_length FROM (SELECT CASE WHEN lower(trim(CAST({c} AS VARCHAR))) NOT IN ('', 'null', 'none', 'n/a', 'na', 'nan') THEN trim(CAST({c} AS VARCHAR)) END AS v FROM {t})" for t, cs in _WHOLE.items() for c in cs.split()))
+def profile_whole_tables(spark, sf):
+    """profile() itself over whole columns of three tables."""
+    parts = [P.profile(table(spark, sf, t), t, cs.split()) for t, cs in _WHOLE.items()]
+    return _union(parts).select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), "row_count", "null_count", "cardinality", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("min_length", "max_length")])
+
+
 def _pii_flags(df, key, text):
     return df.select(F.col(key), pii.has_email(F.col(text)).alias("has_email"), pii.has_phone(F.col(text)).alias("has_phone")).where("has_email or has_phone")
 
@@ -183,16 +205,13 @@ def secret_scan(spark, sf):
     return _union(parts)
 
 
-_TEXTS = [(1, " a "), (2, ""), (3, "NULL"), (4, "N/A"), (5, "nan"), (6, "0"), (7, None), (8, "None "), (9, "1,234.5"), (10, "2026-1-3"), (11, "2026/01/03"), (12, "12d"), (13, "2026-13-40"), (14, "2026-01-03 10:11:12")]
-
-
 @B.add(f"""SELECT id, v AS value, CASE WHEN regexp_matches(replace(v, ',', ''), {_NUM}) THEN TRY_CAST(replace(v, ',', '') AS DOUBLE) END AS as_number,
 CAST(CASE WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') THEN CAST(try_strptime(v, '%Y-%m-%d') AS DATE) WHEN regexp_matches(v, '^[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}$') THEN CAST(try_strptime(v, '%Y/%m/%d') AS DATE)
 WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}[T ][0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}$') THEN CAST(try_strptime(replace(v, 'T', ' '), '%Y-%m-%d %H:%M:%S') AS DATE) END AS VARCHAR) AS as_date
-FROM (SELECT id, CASE WHEN lower(trim(t)) IN ('', 'null', 'none', 'n/a', 'na', 'nan') THEN NULL ELSE trim(t) END AS v FROM {values_sql('id, t', _TEXTS)})""")
+FROM (SELECT id, CASE WHEN lower(trim(t)) IN ('', 'null', 'none', 'n/a', 'na', 'nan') THEN NULL ELSE trim(t) END AS v FROM {derived.sql('cells')})""")
 def missing_normalised(spark, sf):
     v = present(F.col("t"))
-    return values(spark, "id, t", _TEXTS).select("id", v.alias("value"), number(v).alias("as_number"), day(v).cast("string").alias("as_date"))
+    return derived.relation(spark, sf, "cells").select("id", v.alias("value"), number(v).alias("as_number"), day(v).cast("string").alias("as_date"))
 
 
 @B.add("""SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import compare as M
+from ..operators import guard as G
 from ..streaming.tails import sessions, tumbling
 from ..tables import register, table
-from .kit import Book, values, values_sql
+from .kit import Book
 
 B = Book()
 
@@ -128,7 +130,7 @@ def case_filter(spark, sf):
 
 _CORRELATED = "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(p2.p_retailprice) FROM part p2 WHERE p2.p_brand = p.p_brand) + 1"
 _CTE = "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey) SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n FROM big JOIN customer ON c_custkey = o_custkey GROUP BY 1"
-_RECURSIVE = "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t"
+_RECURSIVE = "WITH RECURSIVE t(k, n) AS (SELECT c_custkey, CAST(1 AS BIGINT) FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT k + 1, n + 1 FROM t WHERE n < 5) SELECT k, n, count(o_orderkey) AS orders FROM t LEFT JOIN orders ON o_custkey = k GROUP BY k, n"
 
 
 def _sql(text, *names):
@@ -140,9 +142,46 @@ def _sql(text, *names):
     return run
 
 
+def _guarded(text, *names):
+    """The statement's rows, if the guard lets it pass."""
+
+    def run(spark, sf):
+        own = spark.newSession()
+        register(own, sf, names)
+        report = G.check(own, text, names, ["customer.c_name"])
+        if not report.passed:
+            raise PermissionError("; ".join(report.errors))
+        return own.sql(text)
+
+    return run
+
+
+_READS = "SELECT c_mktsegment, count(*) AS n, max(c_nationkey) AS last FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY c_mktsegment"
+B.add(_READS, name="guarded_rows")(_guarded(_READS, "customer", "orders"))
+
+_DRAFTS = {
+    "same": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey", "SELECT c AS k, sum(one) AS n FROM (SELECT o_custkey AS c, 1 AS one FROM orders) x GROUP BY c"),
+    "filter": ("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000", "SELECT o_orderkey FROM orders WHERE o_totalprice > 120000"),
+    "repeats": ("SELECT o_orderpriority FROM orders", "SELECT DISTINCT o_orderpriority FROM orders"),
+}
+
+
+def _bags(name: str, a: str, b: str) -> str:
+    return f"SELECT '{name}' AS name, (SELECT count(*) FROM ({a})) AS draft_rows, (SELECT count(*) FROM ({b})) AS trusted_rows, (SELECT count(*) FROM ({a} EXCEPT ALL ({b}))) AS only_draft, (SELECT count(*) FROM (({b}) EXCEPT ALL ({a}))) AS only_trusted"
+
+
+@B.add("SELECT *, only_draft + only_trusted = 0 AS equal FROM (" + " UNION ALL ".join(_bags(n, f"({a})", b) for n, (a, b) in _DRAFTS.items()) + ")")
+def results_compared(spark, sf):
+    """What drafts return against what trusted statements return, as bags of rows."""
+    own = spark.newSession()
+    register(own, sf, ("orders",))
+    parts = [M.compare_results(own, a, b, ["orders"], []).withColumn("name", F.lit(n)) for n, (a, b) in _DRAFTS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 B.add(_CORRELATED, name="subquery_correlated")(_sql(_CORRELATED, "part"))
 B.add(_CTE, name="cte")(_sql(_CTE, "orders", "customer"))
-B.add(_RECURSIVE, name="cte_recursive")(_sql(_RECURSIVE))
+B.add(_RECURSIVE, name="cte_recursive")(_guarded(_RECURSIVE, "customer", "orders"))
 
 
 @B.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
@@ -218,27 +257,28 @@ def fn_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("s256"), F.md5("text").alias("m"), F.substring(F.sha1("text"), 1, 10).alias("s1"))
 
 
-_PAIRS = [("a", 1), ("b", 2), ("a", 3)]
+_PAIRS = "(SELECT event_type AS k, user_id AS v FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL)"
 
 
-@B.add(f"SELECT k, max(v) AS v FROM {values_sql('k, v', _PAIRS)} GROUP BY k")
+@B.add(f"SELECT k, max(v) AS v FROM {_PAIRS} GROUP BY k")
 def fn_map(spark, sf):
-    m = values(spark, "k, v", _PAIRS).groupBy("k").agg(F.max("v").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    m = table(spark, sf, "events").where("event_type IS NOT NULL AND user_id IS NOT NULL").groupBy(F.col("event_type").alias("k")).agg(F.max("user_id").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     return m.select(F.explode("m").alias("k", "v"))
 
 
-@B.add("SELECT 'int' AS t, 'int' AS kind UNION ALL SELECT 'string', 'string' UNION ALL SELECT 'double', 'double' UNION ALL SELECT 'array', 'array<int>'")
-def fn_typeof(spark, sf):
-    return spark.sql("SELECT 'int' AS t, typeof(1) AS kind UNION ALL SELECT 'string', typeof('a') UNION ALL SELECT 'double', typeof(1D) UNION ALL SELECT 'array', typeof(array(1))")
+_KINDS = "CASE typeof({}) WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' END"
 
 
-_URLS = [(1, "mysql://user@db.example.org:3306/shop"), (2, "https://a.example.com/x/y?z=1")]
+@B.add(" UNION ALL ".join(f"SELECT '{t}.{c}' AS col, {_KINDS.format(c)} AS kind, count(*) AS n FROM {t} GROUP BY 2" for t, c in (("events", "value"), ("events", "event_type"), ("events", "user_id"), ("embeddings", "embedding"))))
+def fn_typeof(spark, sf):
+    parts = [table(spark, sf, t).groupBy(F.typeof(c).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(f"{t}.{c}").alias("col"), "kind", "n") for t, c in (("events", "value"), ("events", "event_type"), ("events", "user_id"), ("embeddings", "embedding"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@B.add("SELECT * FROM (VALUES (1, 'mysql', 'db.example.org', '/shop'), (2, 'https', 'a.example.com', '/x/y')) AS v(id, scheme, host, path)")
+@B.add(r"SELECT page_id AS id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages WHERE regexp_matches(url, '^[a-z]+://')")
 def fn_url(spark, sf):
-    u = F.col("u")
-    return values(spark, "id, u", _URLS).select("id", F.try_parse_url(u, F.lit("PROTOCOL")).alias("scheme"), F.try_parse_url(u, F.lit("HOST")).alias("host"), F.try_parse_url(u, F.lit("PATH")).alias("path"))
+    u = F.col("url")
+    return table(spark, sf, "pages").where(u.rlike("^[a-z]+://")).select(F.col("page_id").alias("id"), F.try_parse_url(u, F.lit("PROTOCOL")).alias("scheme"), F.try_parse_url(u, F.lit("HOST")).alias("host"), F.try_parse_url(u, F.lit("PATH")).alias("path"))
 
 
 @B.add("SELECT coalesce(c_mktsegment, 'all') AS segment, coalesce(o_orderstatus, 'all') AS status, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, o_orderstatus)")
