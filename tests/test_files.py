@@ -3,6 +3,8 @@ import zipfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.sources import files, logs, xlsx
 from tidemark.sources.database import ScanConfig, UnsupportedConnector, catalog, load_table, may_load, query, sample_rows
 from tidemark.sources.logs import UnsafeEntry
@@ -106,7 +108,36 @@ def test_database_scan_profiles_in_the_database(spark, tmp_path):
     assert (note.null_count, note.null_ratio, note.type_guess) == (40, 1.0, "unknown") and by["FIXTURE_EMPTY", "a"].row_count == 0
     assert {(r.table_name, r.provenance, r.coverage) for r in found["gaps"].collect()} == {("FIXTURE_EMPTY", "none", 0.0), ("FIXTURE_ORDERS", "none", 0.0)}
     assert quoted("mysql", "a`b", "c") == "`a``b`.`c`" and quoted("postgresql", 'x"; DROP') == '"x""; DROP"'
-    assert frequencies_sql("postgresql", "s", "t", "c", 20)[1].endswith("LIMIT 21")
+    assert frequencies_sql("postgresql", "s", "t", "c", 20).endswith("LIMIT 21")
+
+
+def test_a_table_is_read_in_parallel_by_ranges_of_its_key(spark, tmp_path):
+    from tidemark.sources.database import predicates, ranges, read_table
+
+    url = f"jdbc:derby:{tmp_path}/wide;create=true"
+    rows = spark.range(200_000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL WHEN id % 2 = 0 THEN id % 1000 ELSE id * 7 END AS k", "id AS v")
+    load_table(rows.repartition(4), url, "fixture_wide")
+    schema = query(spark, url, "SELECT CURRENT SCHEMA AS s FROM SYSIBM.SYSDUMMY1").head()[0]
+    got = read_table(spark, url, schema, "FIXTURE_WIDE", "k", 8)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert got.rdd.getNumPartitions() == 8 and sum(r["count"] for r in sizes) == 200_000
+    assert sorted(r["count"] for r in sizes)[-2] < 60_000  # half of all keys are in one cell; the others are even
+    one = read_table(spark, url, schema, "FIXTURE_WIDE")
+    assert one.rdd.getNumPartitions() == 1 and got.exceptAll(one).count() == one.exceptAll(got).count() == 0
+    assert predicates(spark, url, schema, "FIXTURE_WIDE", "k", 1) == ["1 = 1"]
+    assert ranges([(0, 5), (1, 1), (4, 1), (9, 3)], 2) == [(0, 1), (1, 10)] and ranges([], 3) == [] and ranges([(2, 9)], 4) == [(2, 3)]
+
+
+def test_definitions_and_comments(spark, tmp_path):
+    from tidemark.sources.database import definition
+
+    df = spark.createDataFrame([(1, "a", 1.5)], "id long not null, v string, `x y` double")
+    said = {"v": "it's \\ so", "none": "x"}
+    assert definition("postgresql", df, "t", "T", said) == ['CREATE TABLE "t" ("id" BIGINT NOT NULL, "v" TEXT, "x y" DOUBLE PRECISION)', """COMMENT ON TABLE "t" IS 'T'""", """COMMENT ON COLUMN "t"."v" IS 'it''s \\ so'"""]
+    assert definition("mysql", df, "t", "T", said) == ["CREATE TABLE `t` (`id` BIGINT NOT NULL, `v` TEXT COMMENT 'it''s \\\\ so', `x y` DOUBLE PRECISION) COMMENT 'T'"]
+    url = f"jdbc:derby:{tmp_path}/defined;create=true"
+    load_table(df, url, "fixture_d", comment="T", comments=said)
+    assert [tuple(r) for r in query(spark, url, 'SELECT * FROM "fixture_d"').collect()] == [(1, "a", 1.5)]
 
 
 def test_connection_options_reach_every_driver(spark, tmp_path):

@@ -100,7 +100,7 @@ def test_questions_of_all_nine_categories(spark):
     assert ("comment_clarification", "column.orders.status") in found and ("comment_profile_conflict", "column.orders.amount") in found and ("missing_evidence", "table.bare") in found
     assert ("missing_evidence", "column.orders.note") not in found and ("missing_evidence", "column.orders.status") in found
     assert ("low_confidence", "metric.orders.amount") in found
-    assert {r.priority for r in asked if r.category in ("low_confidence", "pii_policy", "ambiguous_date_basis", "comment_profile_conflict")} == {"high"}
+    assert {r.priority for r in asked if r.category in ("pii_policy", "ambiguous_date_basis", "comment_profile_conflict")} == {"high"}
     assert [r.target for r in draft.questions(profiles.limit(0)).collect()] == ["profiles"]
 
 

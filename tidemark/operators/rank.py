@@ -25,13 +25,16 @@ def _normal(query: str) -> str:
     return query.lower().translate(str.maketrans("_.-", "   "))
 
 
-def lexical_score(text: Column, query: str, generic: Sequence[str] = GENERIC) -> Column:
-    """10 + length for the whole phrase, 3 + length for each term found as a substring; generic terms alone: 0."""
+def haystack(text: Column) -> Column:
+    return norm(F.coalesce(text, F.lit("")))
+
+
+def lexical_score(hay: Column, query: str, generic: Sequence[str] = GENERIC) -> Column:
+    """10 + length for the whole phrase, 3 + length for each term found as a substring of a haystack(); generic terms alone: 0."""
     q = _normal(query)
     terms = q.split()
     if not q.strip():
         return F.lit(0)
-    hay = norm(F.coalesce(text, F.lit("")))
     phrase = hay.contains(q)
     hits = [F.when(hay.contains(t), 3 + len(t)).otherwise(0) for t in terms]
     total = sum(hits, F.when(phrase, 10 + len(q)).otherwise(0))
@@ -48,7 +51,9 @@ def top(scored: DataFrame, k: int, *ties: str, score: str = "score") -> DataFram
 
 
 def lexical_topk(df: DataFrame, text: str, query: str, k: int, *ties: str) -> DataFrame:
-    return top(df.withColumn("score", lexical_score(F.col(text), query)).where("score > 0"), k, *ties)
+    """The k best texts that score at all. The text is normalised once, in a column of its own; rows without a score are last, so they go after the cut."""
+    scored = df.withColumn("_hay", haystack(F.col(text))).withColumn("score", lexical_score(F.col("_hay"), query)).drop("_hay")
+    return top(scored, k, *ties).where("score > 0")
 
 
 def clamp(k: int, low: int = 1, high: int = 100) -> int:

@@ -14,8 +14,8 @@ from .profile import LOW_CARDINALITY, profile_counts
 def counted(spark: SparkSession, url: str, schema: str, table: str, columns: list[str], threshold: int = LOW_CARDINALITY, **options: str) -> DataFrame:
     """(column, value, n) of a table's columns, at most threshold + 1 values each; the last one's count holds those of all further values."""
     rows: list[tuple[str, str | None, int]] = []
-    for c in columns:
-        n, present, pairs = D.frequencies(spark, url, schema, table, c, threshold, **options)
+    n, every = D.totals(spark, url, schema, table, columns, **options)
+    for c, present, pairs in zip(columns, every, D.frequencies(spark, url, schema, table, columns, threshold, **options), strict=True):
         rest = present - sum(k for _, k in pairs)  # over the threshold no value is shown, so the last one may stand for the rest
         rows += [(c, v, k + (rest if i == len(pairs) - 1 else 0)) for i, (v, k) in enumerate(pairs)]
         rows.append((c, None, n - present))
@@ -25,7 +25,7 @@ def counted(spark: SparkSession, url: str, schema: str, table: str, columns: lis
 def scan_database(spark: SparkSession, url: str, config: D.ScanConfig, threshold: int = LOW_CARDINALITY) -> dict[str, DataFrame]:
     """tables, columns, profiles and gaps of a database within the caps of config.
 
-    The lists are as long as the caps (25 tables of 100 columns), so they are read on the driver; each column costs the database two queries.
+    The lists are as long as the caps (25 tables of 100 columns), so they are read on the driver; a table costs the database one query for all totals, and one a column for frequencies, a few at a time.
     """
     tables = D.select_tables(D.catalog(spark, url, "tables", **config.options), config)
     listed = [r.asDict() for r in tables.collect()]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import pairwise
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -85,23 +87,76 @@ def quoted(kind: str, *names: str) -> str:
     return ".".join(q + n.replace(q, q * 2) + q for n in names)
 
 
-def frequencies_sql(kind: str, schema: str, table: str, column: str, threshold: int, is_text: bool = True) -> tuple[str, str]:
-    """What the database is asked for a column's profile: rows and present values; and the threshold + 1 most frequent values."""
+def totals_sql(kind: str, schema: str, table: str, columns: Sequence[str]) -> str:
+    """Rows, and the present values of every column, by one scan in the database."""
+    return f"SELECT COUNT(*) AS n_rows{''.join(f', COUNT({quoted(kind, c)}) AS p{i}' for i, c in enumerate(columns))} FROM {quoted(kind, schema, table)}"
+
+
+def totals(spark: SparkSession, url: str, schema: str, table: str, columns: Sequence[str], **options: str) -> tuple[int, list[int]]:
+    n, *present = query(spark, url, totals_sql(kind_of(url), schema, table, columns), **options).head()
+    return int(n), [int(p) for p in present]
+
+
+def frequencies_sql(kind: str, schema: str, table: str, column: str, threshold: int, is_text: bool = True) -> str:
+    """What the database is asked for a column's threshold + 1 most frequent values."""
     t, c = quoted(kind, schema, table), quoted(kind, column)
     kinds = {"mysql": "CHAR", "derby": "VARCHAR(4000)"}
     text = f"CAST({c} AS {kinds.get(kind, 'TEXT')})" if is_text or kind != "derby" else c  # Derby casts no floating point number to text
     end = f"FETCH FIRST {threshold + 1} ROWS ONLY" if kind == "derby" else f"LIMIT {threshold + 1}"
-    grouped = f"SELECT v AS value_text, COUNT(*) AS n_rows FROM (SELECT {text} AS v FROM {t} WHERE {c} IS NOT NULL) x GROUP BY v ORDER BY n_rows DESC, value_text {end}"
-    return f"SELECT COUNT(*) AS n_rows, COUNT({c}) AS n_present FROM {t}", grouped
+    return f"SELECT v AS value_text, COUNT(*) AS n_rows FROM (SELECT {text} AS v FROM {t} WHERE {c} IS NOT NULL) x GROUP BY v ORDER BY n_rows DESC, value_text {end}"
+
+
+def frequencies(spark: SparkSession, url: str, schema: str, table: str, columns: Sequence[str], threshold: int, at_once: int = 4, **options: str) -> list[list[tuple[str, int]]]:
+    """At most threshold + 1 (value, count) pairs of each column, a few columns at a time; nothing else leaves the database."""
+    kind = kind_of(url)
+    texts = {c for c, t in query(spark, url, f"SELECT * FROM {quoted(kind, schema, table)}", **options).dtypes if t == "string"}
 
+    def ask(column: str) -> list[tuple[str, int]]:
+        sql = frequencies_sql(kind, schema, table, column, threshold, kind != "derby" or column in texts)
+        return [(str(r[0]), int(r[1])) for r in query(spark, url, sql, **options).collect()]
 
-def frequencies(spark: SparkSession, url: str, schema: str, table: str, column: str, threshold: int, **options: str) -> tuple[int, int, list[tuple[str, int]]]:
-    """Rows, present values and at most threshold + 1 (value, count) pairs of a column; nothing else leaves the database."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(ask, columns))
+
+
+def ranges(histogram: Sequence[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+    """Neighbouring cells (cell, count), in order, as at most `parts` runs [first, end) of about equal counts; together they hold every cell."""
+    total, out, held = sum(n for _, n in histogram), [], 0
+    first = histogram[0][0] if histogram else 0
+    for i, (cell, n) in enumerate(histogram):
+        held += n
+        if held * parts >= total * (len(out) + 1) and i + 1 < len(histogram):
+            out.append((first, cell + 1))
+            first = cell + 1
+    return [*out, (first, histogram[-1][0] + 1)] if histogram else []
+
+
+def predicates(spark: SparkSession, url: str, schema: str, table: str, key: str, parts: int, cells: int = 1024, **options: str) -> list[str]:
+    """WHERE conditions that cut a table into about equal parts by an integer key, from a histogram that the database makes; no row is in two.
+
+    Parts are as even as the histogram's `cells` equal ranges of keys allow. The first part has null keys, and all outer parts are open,
+    so rows that come between the two readings aren't lost.
+    """
+    kind = kind_of(url)
+    t, c = quoted(kind, schema, table), quoted(kind, key)
+    low, high = query(spark, url, f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM {t}", **options).head()
+    if low is None or parts < 2:
+        return ["1 = 1"]
+    low, width = int(low), max(1, -(-(int(high) - int(low) + 1) // cells))
+    divide = f"({c} - ({low})) {'DIV' if kind == 'mysql' else '/'} {width}"
+    found = query(spark, url, f"SELECT cell, COUNT(*) AS n FROM (SELECT {divide} AS cell FROM {t} WHERE {c} IS NOT NULL) x GROUP BY cell ORDER BY cell", **options).collect()
+    cuts = [low + end * width for _, end in ranges([(int(r[0]), int(r[1])) for r in found], parts)[:-1]]
+    if not cuts:
+        return ["1 = 1"]
+    return [f"{c} < {cuts[0]} OR {c} IS NULL", *(f"{c} >= {a} AND {c} < {b}" for a, b in pairwise(cuts)), f"{c} >= {cuts[-1]}"]
+
+
+def read_table(spark: SparkSession, url: str, schema: str, table: str, key: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A whole table, by as many connections at a time as tasks, each with a range of an integer key; without a key by one."""
     kind = kind_of(url)
-    is_text = kind != "derby" or query(spark, url, f"SELECT {quoted(kind, column)} FROM {quoted(kind, schema, table)}", **options).dtypes[0][1] == "string"
-    totals, grouped = frequencies_sql(kind, schema, table, column, threshold, is_text)
-    rows, present = query(spark, url, totals, **options).head()
-    return int(rows), int(present), [(str(r[0]), int(r[1])) for r in query(spark, url, grouped, **options).collect()]
+    where = predicates(spark, url, schema, table, key, parts, **options) if key else ["1 = 1"]
+    properties = ({"driver": DRIVERS[kind]} if kind in DRIVERS else {}) | options
+    return spark.read.jdbc(url, quoted(kind, schema, table), predicates=where, properties=properties)
 
 
 def select_tables(tables: DataFrame, config: ScanConfig) -> DataFrame:
@@ -134,8 +189,51 @@ def may_load(url: str, table: str, allowed_hosts: tuple[str, ...] = ("localhost"
     return here and table.lower().startswith(prefix)
 
 
-def load_table(df: DataFrame, url: str, table: str, mode: str = "errorifexists", **options: str) -> None:
+_TYPES = {"byte": "SMALLINT", "short": "SMALLINT", "integer": "INTEGER", "long": "BIGINT", "float": "REAL", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
+def definition(kind: str, df: DataFrame, table: str, comment: str | None = None, comments: Mapping[str, str] | None = None) -> list[str]:
+    """CREATE TABLE for a frame, with the comments on the table and its columns in the database's own way; Derby has none."""
+    text = "VARCHAR(32000)" if kind == "derby" else "TEXT"
+    said = lambda t: "'" + t.replace("\\", "\\\\" if kind == "mysql" else "\\").replace("'", "''") + "'"
+    columns = []
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        of = f"DECIMAL({f.dataType.precision}, {f.dataType.scale})" if name == "decimal" else _TYPES.get(name, text)
+        note = (comments or {}).get(f.name)
+        columns.append(f"{quoted(kind, f.name)} {of}{'' if f.nullable else ' NOT NULL'}{f' COMMENT {said(note)}' if note and kind == 'mysql' else ''}")
+    out = [f"CREATE TABLE {quoted(kind, table)} ({', '.join(columns)}){f' COMMENT {said(comment)}' if comment and kind == 'mysql' else ''}"]
+    if kind == "postgresql":
+        out += [f"COMMENT ON TABLE {quoted(kind, table)} IS {said(comment)}"] if comment else []
+        out += [f"COMMENT ON COLUMN {quoted(kind, table, c)} IS {said(t)}" for c, t in (comments or {}).items() if c in df.columns]
+    return out
+
+
+def execute(spark: SparkSession, url: str, statements: Iterable[str], **options: str) -> None:
+    """Statements without a result, in one transaction, from the driver."""
+    jvm, kind = spark.sparkContext._jvm, kind_of(url)
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, v)
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    connection = jvm.java.lang.Class.forName(DRIVERS[kind], True, loader).getDeclaredConstructor(None).newInstance(None).connect(url, properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for s in statements:
+            statement.execute(s)
+        connection.commit()
+    finally:
+        connection.rollback()
+        connection.close()
+
+
+def load_table(df: DataFrame, url: str, table: str, mode: str = "errorifexists", comment: str | None = None, comments: Mapping[str, str] | None = None, **options: str) -> None:
+    """A frame as a fixture. With comments the table is created first, under its own definition, and the rows are appended."""
     if not may_load(url, table):
         raise PermissionError(f"{table}: fixtures go to tables named fixture_* of a local database")
     kind = kind_of(url)
+    if comment or comments:
+        execute(spark=df.sparkSession, url=url, statements=definition(kind, df, table, comment, comments), **options)
+        table, mode = quoted(kind, table), "append"
     df.write.format("jdbc").options(**({"url": url, "dbtable": table, "driver": DRIVERS[kind]} | options)).mode(mode).save()
