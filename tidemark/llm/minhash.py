@@ -107,7 +107,7 @@ def parities(unit: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in text_parts(batch.column(3)):
+        for a, b in text_parts(batch.column(3), 1 << 20):
             *keys, text = (c.slice(a, b - a) for c in batch.columns)
             unit, offsets = elements(text, shingle)
             sums = []
