@@ -90,7 +90,7 @@ def test_profile_and_draft_keep_personal_values_out(spark):
     assert {"metric_definition", "join_relationship", "pii_policy"} <= asked
 
 
-def test_questions_of_all_nine_categories(spark):
+def test_questions_of_eight_categories(spark):
     df = spark.createDataFrame([(1, "a@example.org", "x", 5.0, "2026-01-03", "2026-01-04", None), (2, "b@example.org", "y", 6.0, "2026-01-03", "2026-01-05", None)], "order_id int, mail string, status string, amount double, paid_date string, sent_date string, note string")
     comments = spark.createDataFrame([("status", "code"), ("amount", "name of the payer"), ("note", "what the clerk wrote down")], "column string, comment string")
     profiles = profile.profile(df, "orders").join(comments, "column", "left")

@@ -156,7 +156,7 @@ def uncertain(hypotheses: DataFrame) -> DataFrame:
 def questions(profiles: DataFrame, hypotheses: DataFrame | None = None, tables: Sequence[str] = ()) -> DataFrame:
     """(id, category, target, question, priority) for people to answer; ids are hashes of what is asked, so they stay.
 
-    Nine categories: metric_definition, join_relationship, pii_policy, missing_evidence, ambiguous_date_basis; from a column `comment` of the
+    Eight categories: metric_definition, join_relationship, pii_policy, missing_evidence, ambiguous_date_basis; from a column `comment` of the
     profiles, where they have one, comment_clarification and comment_profile_conflict; from hypotheses their uncertainties, of which low_confidence is
     a category of its own; and missing_evidence with high priority for those of `tables` that have no profiled column, or for an input without any.
     """
