@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -74,6 +75,24 @@ def test_checksums_depend_on_rows_only(spark):
     assert table_checksum(spark.createDataFrame([(1, "a")], "k int, t string"), ["k"]).head().root == hashlib.sha256(one.encode()).hexdigest()
 
 
+def test_checksum_of_lineitem_follows_its_sql_above_two_levels_and_with_nulls(spark, sf, tmp_path):
+    from tests.oracle import assert_same
+    from tidemark.plans import registry
+
+    line = table(spark, sf, "lineitem")
+    small = line.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 9 > 0, F.col("l_orderkey"))).withColumn("l_linenumber", F.when(F.col("l_linenumber") % 5 > 0, F.col("l_linenumber")))
+    ids = spark.range(0, (1 << 20) + 1500, 1, 4)  # more rows than 1024 nodes of 1024
+    large = ids.select(F.col("id").alias("l_orderkey"), *(F.lit("1").cast(line.schema[c].dataType).alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")))
+    for name, rows, nodes in (("nulls", small, 1), ("large", large, 2), ("none", line.limit(0), 0)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}/out")
+        next((tmp_path / name / "out").glob("*.parquet")).rename(tmp_path / name / "lineitem.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/{name}/lineitem.parquet'")
+        found = registry.QUERIES["checksum_lineitem"](spark, f"{tmp_path}/{name}")
+        assert found.count() == nodes
+        assert_same(found, con, registry.ORACLES["checksum_lineitem"])
+
+
 def test_sketches_are_exact_or_within_their_bounds():
     rng = np.random.default_rng(1)
     values = pd.Series(np.concatenate([rng.lognormal(3, 2, 40_000), -rng.lognormal(1, 1, 9_000), np.zeros(1_000), [np.nan] * 50]))
