@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -563,6 +564,30 @@ def test_one_of_two_records_of_an_id_is_damaged(spark):
         warc.audit(ws, first, warc.tree(ws, second.leaves, 500))
 
 
+def test_records_are_shuffled_as_gzip_members(spark):
+    def files():
+        it = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        out = {}
+        while it.hasNext():
+            f = it.next()
+            out[f.getPath()] = f.length()
+        return out
+
+    words = ["".join(random.Random(i).choices("abcdefgh", k=6)) for i in range(2000)]
+    pages = spark.createDataFrame([(i, f"u{i}", " ".join(random.Random(i).choices(words, k=800))) for i in range(400)], "page_id long, url string, html string")
+    ws = Workspace(spark, "t")
+    rows, n = warc.laid_out(pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), shards=4)
+    before = files()
+    made = warc.write_replicas(ws, rows, n, warc.damage(F.col("record").cast("string"), F.col("_id")))
+    shuffled = sum(size for path, size in files().items() if path not in before and "shuffle" in path)
+    paths = [[r.path.removeprefix("file://") for r in m.collect()] for m in made]
+    written = sum(os.path.getsize(p) for p in paths[0])
+    assert 0 < shuffled < 1.1 * written
+    second = {r.rid: r.digest for r in warc.read_records(made[1]).collect()}
+    first = {r.rid: r.digest for r in warc.read_records(made[0]).collect()}
+    assert len(first) == 400 and len(second) == 399 and sum(first[r] != second[r] for r in second) == 1
+
+
 def test_warc_files_round_trip(spark, tmp_path, monkeypatch):
     import gzip
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 from .warcfile import member, open_folder, scan, write_file
+from .words import text_parts
 
 SHARDS, SHARD_BYTES, RANGE_BITS, STEP_BITS = 64, 256 << 20, 16, 4
 DATE = "2024-01-01T00:00:00Z"
@@ -75,18 +76,31 @@ def laid_out(records: DataFrame, id_col: str = "page_id", shards: int = SHARDS,
 def write_replicas(ws: Workspace, rows: DataFrame, shards: int = SHARDS, damage: Column | None = None) -> list[DataFrame]:
     """WARC files of a replica for `record` and, if given, of one for `damage` (null: lost); rows are (shard, _id, digest, record).
 
+    Records become gzip members before they are dealt to shards, so that these are shuffled, and a record that both replicas have only once.
     Each task sorts its shards and streams every shard into one file a replica. File names are new for each attempt, and
     only files of successful attempts are in the manifests (shard, path).
     """
     folder = ws.path("warc")
     open_folder(folder, create=True)
     two = damage is not None
-    sort = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("_id").asc_nulls_first(), "digest")
-    both = sort.select("shard", "record", (damage if two else F.lit(None)).cast("binary").alias("second"))
-    made = ws.keep(both.mapInArrow(lambda it: _written(it, folder, two), "replica int, shard long, path string"), "manifest")
+    both = rows.select("shard", "_id", "digest", "record", (damage if two else F.lit(None)).cast("binary").alias("second"))
+    same = F.col("second").eqNullSafe(F.col("record"))
+    both = both.select("shard", "_id", "digest", "record", F.when(~same, F.col("second")).alias("second"), same.alias("same"))
+    members = both.mapInArrow(_packed, both.schema)
+    sort = members.repartition(shards, "shard").sortWithinPartitions("shard", F.col("_id").asc_nulls_first(), "digest").select("shard", "record", "second", "same")
+    made = ws.keep(sort.mapInArrow(lambda it: _written(it, folder, two), "replica int, shard long, path string"), "manifest")
     return [made.where(f"replica = {k}").select("shard", "path") for k in range(1 + two)]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their records as gzip members, a few MB at a time."""
+    for batch in batches:
+        for a, b in text_parts(batch.column(3)):
+            part = batch.slice(a, b - a)
+            packed = [pa.array([None if r is None else member(r) for r in part.column(k).to_pylist()], pa.binary()) for k in (3, 4)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed, part.column(5)], names=part.schema.names)
+
+
 def _written(batches: Iterator[pa.RecordBatch], folder: str, second: bool) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     shard, files = None, []
@@ -96,7 +110,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, second: bool) -> It
             f.close()
 
     for batch in batches:
-        for s, *records in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for s, first, other, same in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if s != shard:
                 end()
                 shard, files = s, []
@@ -104,10 +118,9 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, second: bool) -> It
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     files.append(write_file(path))
                     out.append((k, s, path))
-            packed = {r: member(r) for r in set(records) if r is not None}
-            for f, r in zip(files, records, strict=False):
+            for f, r in zip(files, (first, first if same else other), strict=False):
                 if r is not None:
-                    f.write(packed[r])
+                    f.write(r)
     end()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string()), strict=True)], names=["replica", "shard", "path"])

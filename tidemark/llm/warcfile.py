@@ -33,7 +33,7 @@ def write_file(path: str):
 
 def member(record: bytes) -> bytes:
     """A record as a gzip member."""
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(record) + z.flush()
 
 
