@@ -1,7 +1,9 @@
 import hashlib
 import os
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +163,36 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in e.encode(texts)] == want and [x.tolist() for x in e.encode(texts)] == want
 
 
+def test_encoder_keeps_frequent_words_when_it_forgets():
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.given = tok, Counter()
+
+        def encode_batch_fast(self, texts, **options):
+            self.given.update(w for t in texts for w in t.split(" ")[1:])
+            return self.tok.encode_batch_fast(texts, **options)
+
+    e = Encoder(sstable.byte_bpe_path(), most=200)
+    tok = e.tok
+    e.tok = counted = Counted(tok)
+    often = [f"often{i}" for i in range(60)]
+    for n in range(30):
+        texts = ["begin " + " ".join(random.Random(n).sample(often * 2, 120)), "begin " + " ".join(f"rare{n}x{i}" for i in range(100))]
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+        assert len(e.known) <= 400
+    assert {w: counted.given[w] for w in often} == dict.fromkeys(often, 1)
+
+
+def test_texts_with_odd_spaces_are_told_as_by_a_pattern():
+    from tidemark.llm.encode import _WHITE, odd
+
+    assert _WHITE == [c for c in map(chr, range(0x110000)) if re.match(r"[^\S ]", c)]
+    rng = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(rng.choices([" ", "a", "é", "日", rng.choice(_WHITE)], (3, 6, 1, 1, 1), k=rng.randint(0, 9)))
+        assert odd(t) == bool(re.search(r" \s|\s |\A | \Z", t))
+
+
 def test_mixing_targets_and_ties(spark):
     rows = [(i, "w " * (i % 7), f"s{i % 3}") for i in range(60)] + [(60, None, "s0"), (61, "a b", None), (None, "a b c", "s1"), (5, "w " * 5, "s2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
