@@ -28,20 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .passages import SIZE, shared_words
 from .store import Workspace
-from .words import U, mix, prefix, raw, span_hash, text_parts
+from .words import U, prefix, raw, runs_of, span_hash, text_parts, window_minimum
 
 LENGTH, GRAM, BUCKET_BYTES, BATCH, PIECE = 400, 32, 7 << 18, 1 << 18, 2 << 20
-_TOP = np.iinfo(np.uint64).max
-
-
-def window_minimum(h: np.ndarray, size: int) -> np.ndarray:
-    """Minimum of every `size` neighbours, by running minima of blocks from both sides."""
-    pad = np.concatenate([h, np.full(-len(h) % size, _TOP, U)]).reshape(-1, size)
-    ahead = np.minimum.accumulate(pad, axis=1).ravel()
-    back = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
-    m = len(h) - size + 1
-    return np.minimum(back[:m], ahead[size - 1 : size - 1 + m])
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -51,18 +42,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     at = np.arange(len(data) - gram + 1)
     h = span_hash(prefix(data), at, at + gram)
     low = window_minimum(h, length - gram + 1)  # of windows across documents too; those are dropped
-    size = np.diff(offsets)
-    starts = np.maximum(size - length + 1, 0)
-    doc_of = np.full(len(low), -1, np.int64)
-    inside = np.repeat(offsets[:-1], starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
-    doc_of[inside] = np.repeat(np.arange(len(size)), starts)
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc_of[1:] != doc_of[:-1])
-    begin = np.flatnonzero(new)
-    n = np.diff(np.concatenate([begin, [len(low)]]))
-    ok = doc_of[begin] >= 0
-    begin, n = begin[ok], n[ok]
-    doc, key = doc_of[begin], low[begin]
+    doc, key, begin, n = runs_of(low, offsets, length)
     return doc, key, begin - offsets[:-1][doc], n, _twice(h, key, begin, n, length, gram)
 
 
@@ -272,7 +252,7 @@ def _ordered(batches: Iterator[pa.RecordBatch], length: int, first_stays: bool)
 
 
 def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, whole, ranges) to the removed spans and the bytes that are left."""
+    """(id, text, whole, ranges, n_shared) to the removed spans and the bytes that are left; n_shared stays."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
         for a, b in text_parts(batch.column(1), PIECE):
@@ -288,7 +268,7 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(data), [{"start": x, "stop": y} for x, y in spans], kept))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), span, pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, batch.column(4).slice(a, b - a)], names=["_id", "n_bytes", "spans", "kept", "n_shared"])
 
 
 def _judged(ws: Workspace, one: DataFrame, length: int, first_stays: bool, bucket_bytes: int) -> DataFrame:
@@ -362,21 +342,28 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, text: str, length: int, firs
     return copies, ranges
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, first_stays: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Per row: id, n_bytes, spans (removed bytes: start, stop), kept (the other bytes). first_stays keeps the first copy by document id and place."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, first_stays: bool = False, bucket_bytes: int = BUCKET_BYTES, passage_words: int = 0) -> DataFrame:
+    """Per row: id, n_bytes, spans (removed bytes: start, stop), kept (the other bytes). first_stays keeps the first copy by document id and place.
+
+    With passage_words also n_shared: words in runs of that many or more that another row has as well, removed or not (see passages.py).
+    """
     ws = Workspace(docs.sparkSession, "substrings")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     copies, ranges = repeated_ranges(rows, ws, "_text", length, first_stays, bucket_bytes)
     known = copies.where("many > 1").join(ranges, ["t1", "t2"], "full")
-    keyed = rows.withColumn("t1", F.xxhash64("_text")).withColumn("t2", F.xxhash64(F.lit(1), "_text")).join(known, ["t1", "t2"], "left")
+    keyed = rows.withColumn("t1", F.xxhash64("_text")).withColumn("t2", F.xxhash64(F.lit(1), "_text"))
+    shared = F.lit(0).cast("long")
+    if passage_words:
+        known, shared = known.join(shared_words(keyed, copies, ws, passage_words), ["t1", "t2"], "full"), F.coalesce("n_shared", shared)
+    keyed = keyed.join(known, ["t1", "t2"], "left")
     whole = (F.coalesce("many", F.lit(1)) > 1) & (F.octet_length("_text") >= length)
     whole = whole & ~F.col("_id").eqNullSafe(F.col("first")) if first_stays else whole
-    out = keyed.select("_id", "_text", whole.alias("whole"), "ranges").mapInArrow(lambda it: _removed(it, length), "_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
-    return out.withColumnRenamed("_id", id_col)
+    out = keyed.select("_id", "_text", whole.alias("whole"), "ranges", shared.alias("n_shared")).mapInArrow(lambda it: _removed(it, length), "_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary, n_shared long")
+    return (out if passage_words else out.drop("n_shared")).withColumnRenamed("_id", id_col)
 
 
 def op8_longest_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and kept_bytes and has_repeats, whether anything was removed."""
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256; kept_bytes and has_repeats, whether anything was removed; n_passage_words, words in runs of over 50 that another document has."""
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage_words=SIZE)
     left = F.octet_length("kept").cast("long")
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left.alias("kept_bytes"), (F.size("spans") > 0).alias("has_repeats"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left.alias("kept_bytes"), (F.size("spans") > 0).alias("has_repeats"), F.col("n_shared").alias("n_passage_words"))

@@ -58,6 +58,31 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(U) * U(0xBF58476D1CE4E5B9))
 
 
+def window_minimum(h: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of every `size` neighbours, by running minima of blocks from both sides."""
+    pad = np.concatenate([h, np.full(-len(h) % size, U(0xFFFFFFFFFFFFFFFF), U)]).reshape(-1, size)
+    ahead = np.minimum.accumulate(pad, axis=1).ravel()
+    back = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
+    m = len(h) - size + 1
+    return np.minimum(back[:m], ahead[size - 1 : size - 1 + m])
+
+
+def runs_of(low: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal values of windows of `length` that don't cross a document's border: document, value, first window in low, windows."""
+    size = np.diff(offsets)
+    starts = np.maximum(size - length + 1, 0)
+    doc_of = np.full(len(low), -1, np.int64)
+    inside = np.repeat(offsets[:-1], starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+    doc_of[inside] = np.repeat(np.arange(len(size)), starts)
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (doc_of[1:] != doc_of[:-1])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.concatenate([begin, [len(low)]]))
+    ok = doc_of[begin] >= 0
+    begin, n = begin[ok], n[ok]
+    return doc_of[begin], low[begin], begin, n
+
+
 def text_parts(column: pa.Array | pa.ChunkedArray, part_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about part_bytes of text each, so that numpy's working memory is bounded."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
